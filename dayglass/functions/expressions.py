@@ -37,15 +37,15 @@ def split_of(day: str, cfg: EngineConfig) -> Column:
 
 
 # ---- entropy and shares ------------------------------------------------------------------
-def entropy_bits(counts: Sequence[Column]) -> Column:
-    """Shannon entropy of a bag given as one count column per distinct value; empty bag is 0.
+def entropy_terms(counts: Sequence[Column]) -> tuple[Column, Column]:
+    """n and sum(c log2 c) of a bag given by its counts."""
+    spread = [F.coalesce(c * F.log2(c), F.lit(0.0)) for c in counts]
+    return reduce(add, counts).cast("double"), reduce(add, spread)
 
-    Written as log2(n) - sum(c log2 c)/n, which needs one term per counter. Pass plain columns:
-    window sums belong in a projection below, or the planner sees each of them many times.
-    """
-    n = F.nullif(reduce(add, counts).cast("double"), F.lit(0.0))
-    spread = reduce(add, [F.coalesce(c * F.log2(c), F.lit(0.0)) for c in counts])
-    return F.coalesce(F.greatest(F.log2(n) - spread / n, F.lit(0.0)), F.lit(0.0))
+
+def entropy_bits(n: Column, spread: Column) -> Column:
+    """Shannon entropy log2(n) - sum(c log2 c)/n; an empty bag is 0."""
+    return F.when(n > 0, F.greatest(F.log2(n) - spread / n, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -55,9 +55,8 @@ def share(part: Column, whole: Column) -> Column:
 # ---- scores ------------------------------------------------------------------------------
 def compress_z(z: Column, threshold: float) -> Column:
     """Keep |z| up to the threshold, let it grow only logarithmically beyond."""
-    size = F.abs(z)
-    soft = F.lit(threshold) + F.log1p(F.greatest(size - threshold, F.lit(0.0)))
-    return F.signum(z) * F.least(size, soft)
+    soft = F.signum(z) * (F.lit(threshold) + F.log1p(F.abs(z) - threshold))
+    return F.when(F.abs(z) > threshold, soft).otherwise(z)
 
 
 def excess_score(raw: Column, baseline: Column, scale: Column, k: float) -> Column:

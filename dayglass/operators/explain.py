@@ -3,47 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..config import EngineConfig
 from ..functions.expressions import compress_z
 
 
-def contributions(columns: Sequence[str], mean: Column, std: Column, population_std: Column,
-                  cfg: EngineConfig) -> Column:
-    """All features as array<struct>, in feature order; shares sum to 100 (or are all 0)."""
-    zs = []
-    for i, name in enumerate(columns):
-        floor = F.greatest(F.lit(cfg.std_floor_fraction) * population_std[i], F.lit(1e-9))
-        zs.append((F.col(name) - mean[i]) / F.greatest(std[i], floor))
-    return F.transform(
-        F.array(*[F.struct(F.lit(n).alias("feature"), z.alias("z"), F.lit(w).alias("weight"))
-                  for n, z, w in zip(columns, zs, cfg.weights)]),
-        lambda x: x.withField("pull", F.abs(compress_z(x["z"], cfg.z_cap)) * x["weight"]))
-
-
-def top_features(parts: Column, count: int, cfg: EngineConfig) -> Column:
-    """The `count` strongest features; equal shares keep feature order (a stable array sort)."""
-    total = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x["pull"])
-    whole = F.when(total == 0, F.lit(1.0)).otherwise(total)
-    ranked = F.array_sort(F.transform(parts, lambda x, i: F.struct(
-        (-x["pull"] / whole * 100).alias("order"), i.alias("place"), x["feature"].alias("feature"),
-        x["z"].alias("z"))))
-    return F.transform(F.slice(ranked, 1, count), lambda x: F.struct(
-        x["feature"].alias("feature"),
+def explain(df: DataFrame, columns: Sequence[str], model: DataFrame, cfg: EngineConfig,
+            count: int | None = None) -> DataFrame:
+    """Adds `top_features`: the strongest features with their share of the weighted deviation.
+
+    Shares of all features sum to 100 (or are all 0); equal shares keep feature order.
+    Sessions of unseen roles get NULL. The steps are separate short projections over plain
+    columns; only the chosen few pass through an array function.
+    """
+    places = range(len(columns))
+    rows = df.join(model.select("role", "mean", "std", "population_std"), "role", "left")
+    zs, pulls = {}, {}
+    for i in places:
+        floor = F.greatest(F.lit(cfg.std_floor_fraction) * F.get("population_std", F.lit(i)), F.lit(1e-9))
+        zs[f"_z{i}"] = (F.col(columns[i]) - F.get("mean", F.lit(i))) / F.greatest(F.get("std", F.lit(i)), floor)
+        pulls[f"_p{i}"] = F.abs(compress_z(F.col(f"_z{i}"), cfg.z_cap)) * F.lit(cfg.weights[i])
+    rows = rows.withColumns(zs).withColumns(pulls)
+    rows = rows.withColumn("_total", reduce(add, [F.col(p) for p in pulls]))
+    rows = rows.withColumn("_whole", F.when(F.col("_total") == 0, F.lit(1.0)).otherwise(F.col("_total")))
+    cells = [F.struct((-(F.col(f"_p{i}") / F.col("_whole") * 100)).alias("order"), F.lit(i).alias("place"),
+                      F.col(f"_z{i}").alias("z")) for i in places]
+    rows = rows.withColumn("_ranked", F.slice(F.array_sort(F.array(*cells)), 1, count or cfg.top_features))
+    names = F.array(*[F.lit(c) for c in columns])
+    top = F.transform("_ranked", lambda x: F.struct(
+        F.get(names, x["place"]).alias("feature"),
         F.round(-x["order"], 1).alias("pct_contribution"),
         F.round(x["z"], 2).alias("z_score"),
         (F.abs(x["z"]) > cfg.z_cap).alias("z_capped_for_display"),
         F.when(x["z"] > 0, F.lit("above peer norm")).otherwise(F.lit("below peer norm")).alias("direction")))
-
-
-def explain(df: DataFrame, columns: Sequence[str], model: DataFrame, cfg: EngineConfig,
-            count: int | None = None) -> DataFrame:
-    """Adds `top_features`; sessions of unseen roles get NULL."""
-    joined = df.join(model.select("role", "mean", "std", "population_std"), "role", "left")
-    parts = contributions(columns, F.col("mean"), F.col("std"), F.col("population_std"), cfg)
-    joined = joined.withColumn("_parts", parts)
-    top = top_features(F.col("_parts"), cfg.top_features if count is None else count, cfg)
-    return (joined.withColumn("top_features", F.when(F.col("mean").isNotNull(), top))
-            .drop("mean", "std", "population_std", "_parts"))
+    return (rows.withColumn("top_features", F.when(F.col("mean").isNotNull(), top))
+            .drop("mean", "std", "population_std", "_total", "_whole", "_ranked", *zs, *pulls))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import EngineConfig
-from ..functions.expressions import day_of_week, entropy_bits, split_of
+from ..functions.expressions import entropy_bits, entropy_terms, split_of
 from ..session import materialize
 from . import timeline
 from .sessions import (
@@ -19,28 +19,48 @@ def entropy_of(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("c"))
     parts = counts.groupBy(*keys).agg(F.sum("c").cast("double").alias("n"),
                                       F.sum(F.col("c") * F.log2("c")).alias("s"))
-    return parts.select(*keys, F.greatest(F.log2("n") - F.col("s") / F.col("n"), F.lit(0.0)).alias("entropy"))
+    return parts.select(*keys, entropy_bits(F.col("n"), F.col("s")).alias("entropy"))
 
 
-def _last_days(days: int):
-    """The last `days` calendar days up to and including the row's own."""
-    return (Window.partitionBy("user_id").orderBy(F.unix_date("day"))
-            .rangeBetween(-(days - 1), Window.currentRow))
+def _in_last_days(counter: Column, days: int) -> Column:
+    """Sum of a counter over the last `days` calendar days, the row's own included.
+
+    Taken as a difference of two running sums. Spark extends such frames row by row, whereas
+    it re-adds every row of a bounded frame for each output row.
+    """
+    by_day = Window.partitionBy("user_id").orderBy(F.unix_date("day"))
+    upto = F.sum(counter).over(by_day.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    older = F.sum(counter).over(by_day.rangeBetween(Window.unboundedPreceding, -days))
+    return upto - F.coalesce(older, F.lit(0))
+
+
+BITS = 8  # room per weekday in the packed counter: windows of up to 255 weeks
 
 
 def rolling_entropies(user_days: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Entropy of event hours and of active weekdays over their calendar windows.
 
     Both windows slide over counters of folded user-days, so a user costs at most one row per
-    day, and share one sort. Each active day counts once for the weekday, whatever its events.
+    day, and share one sort. Each active day counts once for the weekday, whatever its events;
+    the seven weekday counts therefore fit into one packed number.
     """
-    hours, dows = _last_days(cfg.hour_window_days), _last_days(cfg.dow_window_days)
-    sums = {f"_{c}": F.sum(c).over(hours) for c in HOURS}
-    sums |= {f"_d{d}": F.sum(F.when(day_of_week("day") == d, 1).otherwise(0)).over(dows) for d in range(7)}
-    return (user_days.withColumns(sums)
-            .withColumn("hour_entropy_7d", entropy_bits([F.col(f"_{c}") for c in HOURS]))
-            .withColumn("dow_entropy_30d", entropy_bits([F.col(f"_d{d}") for d in range(7)]))
-            .drop(*sums))
+    one_day = F.expr(f"shiftleft(1L, {BITS} * weekday(day))")
+    sums = {f"_{c}": _in_last_days(F.col(c), cfg.hour_window_days) for c in HOURS}
+    sums["_dow"] = _in_last_days(one_day, cfg.dow_window_days)
+    mask = (1 << BITS) - 1
+    dows = {f"_d{d}": F.shiftright("_dow", BITS * d).bitwiseAND(F.lit(mask)) for d in range(7)}
+    rows = user_days.withColumns(sums).withColumns(dows)
+    rows = with_entropy(rows, [f"_{c}" for c in HOURS], "hour_entropy_7d")
+    rows = with_entropy(rows, list(dows), "dow_entropy_30d")
+    return rows.drop(*sums, *dows)
+
+
+def with_entropy(df: DataFrame, counters: list[str], out: str) -> DataFrame:
+    """Shannon entropy in bits of a bag given as one counter column per distinct value: an
+    empty bag has none. One term per counter, in short projections that compile well."""
+    n, spread = entropy_terms([F.col(c) for c in counters])
+    return (df.withColumns({"_n": n, "_spread": spread})
+            .withColumn(out, entropy_bits(F.col("_n"), F.col("_spread"))).drop("_n", "_spread"))
 
 
 def first_seen(cells: DataFrame) -> DataFrame:

@@ -29,46 +29,53 @@ def inverse_with_ridge(cov: Column, ridge: float) -> Column:
     return invert(cov)
 
 
-def mahalanobis(columns: Sequence[str], mean: Column, cov_inv: Column) -> Column:
-    """sqrt(d' S d) as one generated expression; S is symmetric, so each pair appears once."""
+def with_mahalanobis(df: DataFrame, columns: Sequence[str], out: str) -> DataFrame:
+    """Adds sqrt(d' S d) for rows that carry `mean` and the row-major symmetric `cov_inv`.
+
+    Three short projections (differences, one weighted sum per feature, total) in place of one
+    expression of 55 products, which would outgrow what the JVM compiles.
+    """
     d = len(columns)
-    diff = [F.col(c) - mean[i] for i, c in enumerate(columns)]
-    terms = []
+    diff = {f"_d{i}": F.col(c) - F.get("mean", F.lit(i)) for i, c in enumerate(columns)}
+    part = {}
     for i in range(d):
-        terms.append(diff[i] * diff[i] * cov_inv[d * i + i])
-        terms += [diff[i] * diff[j] * (cov_inv[d * i + j] + cov_inv[d * j + i]) for j in range(i + 1, d)]
-    return F.sqrt(F.greatest(reduce(add, terms), F.lit(0.0)))
+        own = F.col(f"_d{i}") * F.get("cov_inv", F.lit(d * i + i))
+        cross = [F.col(f"_d{j}") * (F.lit(2.0) * F.get("cov_inv", F.lit(d * i + j))) for j in range(i + 1, d)]
+        part[f"_q{i}"] = F.col(f"_d{i}") * reduce(add, cross, own)
+    total = reduce(add, [F.col(q) for q in part])
+    return (df.withColumns(diff).withColumns(part)
+            .withColumn(out, F.when(F.col("mean").isNotNull(), F.sqrt(F.greatest(total, F.lit(0.0)))))
+            .drop(*diff, *part))
 
 
-def role_moments(train: DataFrame, columns: Sequence[str], cfg: EngineConfig) -> DataFrame:
+def role_moments(train: DataFrame, columns: Sequence[str], cfg: EngineConfig,
+                 keep=lambda df, label: df) -> DataFrame:
     """role, n, mean, std, cov_inv, population_std. A role with fewer than two training rows
     has no covariance of its own and takes the whole population's."""
-    everyone = group_moments(train, columns).first()
-    roles = group_moments(train.where(F.col("role").isNotNull()), columns, ["role"])
+    everyone = train.agg(*[F.stddev_pop(c) for c in columns]).first()
+    roles = keep(group_moments(train.where(F.col("role").isNotNull()), columns, ["role"]), "moments")
 
     def numbers(values) -> Column:
-        return F.array(*[F.lit(float(v)) for v in values])
+        return F.array(*[F.lit(float(v or 0.0)) for v in values])
 
-    if everyone["n"] > 1:
-        roles = roles.withColumn("cov", F.when(F.col("n") > 1, F.col("cov")).otherwise(numbers(everyone["cov"])))
-    roles = roles.where(F.col("cov")[0].isNotNull())
-    std = [0.0 if v is None else v for v in everyone["std"]]
-    return roles.select("role", "n", "mean", "std",
-                        inverse_with_ridge(F.col("cov"), cfg.ridge).alias("cov_inv"),
-                        numbers(std).alias("population_std"))
+    if roles.where("n < 2").limit(1).count():
+        whole = group_moments(train, columns).first()
+        if whole["n"] > 1:
+            roles = roles.withColumn("cov", F.when(F.col("n") > 1, F.col("cov")).otherwise(numbers(whole["cov"])))
+    return roles.where(F.get("cov", F.lit(0)).isNotNull()).select(
+        "role", "n", "mean", "std", inverse_with_ridge(F.col("cov"), cfg.ridge).alias("cov_inv"),
+        numbers(everyone).alias("population_std"))
 
 
 def with_distance(df: DataFrame, columns: Sequence[str], roles: DataFrame) -> DataFrame:
     """Adds `peer_distance`; sessions of unseen roles get NULL."""
-    model = roles.select("role", "mean", "cov_inv")
-    return (df.join(model, "role", "left")
-            .withColumn("peer_distance", mahalanobis(columns, F.col("mean"), F.col("cov_inv")))
-            .drop("mean", "cov_inv"))
+    rows = df.join(roles.select("role", "mean", "cov_inv"), "role", "left")
+    return with_mahalanobis(rows, columns, "peer_distance").drop("mean", "cov_inv")
 
 
 def fit_peers(train: DataFrame, columns: Sequence[str], cfg: EngineConfig, keep=lambda df, label: df) -> DataFrame:
     """The role model table. `keep` writes intermediate tables that several jobs read."""
-    roles = keep(role_moments(train, columns, cfg), "role-moments")
+    roles = keep(role_moments(train, columns, cfg, keep), "role-moments")
     distances = keep(with_distance(train, columns, roles).select("role", "peer_distance"), "distances")
     fit = robust_baseline(distances.where(F.col("role").isNotNull()), F.col("peer_distance"), ["role"])
     return roles.join(fit.select("role", "baseline", "scale"), "role")

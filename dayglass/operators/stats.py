@@ -92,17 +92,26 @@ def standardised(columns: Sequence[str], params) -> list[Column]:
 def group_moments(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """n, mean[], std[] (population) and cov[] (sample, row-major square) per group.
 
-    55 pairwise central-moment aggregates merge map-side, so a dominant group is no hot spot.
+    Two passes, means first: sums of products of centred values neither cancel nor need more
+    than one running number per pair of columns. All sums merge map-side, so a dominant group
+    is no hot spot.
     """
-    d = len(columns)
-    upper = {(i, j): F.covar_samp(columns[i], columns[j]).alias(f"_c{i}_{j}") for i in range(d) for j in range(i, d)}
-    sums = df.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.array(*[F.avg(c) for c in columns]).alias("mean"),
-        F.array(*[F.stddev_pop(c) for c in columns]).alias("std"),
-        *upper.values())
-    square = [F.col(f"_c{min(i, j)}_{max(i, j)}") for i in range(d) for j in range(d)]
-    return sums.select(*keys, "n", "mean", "std", F.array(*square).alias("cov"))
+    keys, d = list(keys), len(columns)
+    means = df.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*[F.avg(c) for c in columns]).alias("mean"))
+    if keys:
+        rows = df.select(*keys, *columns).join(means, keys)
+        centre = [F.get("mean", F.lit(i)) for i in range(d)]
+    else:  # one group: its means are one row, so they travel as literals
+        whole = means.first()
+        centre = [F.lit(m).cast("double") for m in whole["mean"]]
+        rows = df.select(*columns).withColumns({"n": F.lit(whole["n"]).cast("bigint"), "mean": F.array(*centre)})
+    rows = rows.select(*keys, "n", "mean", *[(F.col(c) - centre[i]).alias(f"_{i}") for i, c in enumerate(columns)])
+    products = [F.sum(F.col(f"_{i}") * F.col(f"_{j}")).alias(f"_s{i}_{j}") for i in range(d) for j in range(i, d)]
+    sums = rows.groupBy(*keys, "n").agg(*products, F.any_value("mean").alias("mean"))
+    free = F.nullif((F.col("n") - 1).cast("double"), F.lit(0.0))
+    std = [F.sqrt(F.col(f"_s{i}_{i}") / F.col("n")) for i in range(d)]
+    cov = [F.col(f"_s{min(i, j)}_{max(i, j)}") / free for i in range(d) for j in range(d)]
+    return sums.select(*keys, "n", "mean", F.array(*std).alias("std"), F.array(*cov).alias("cov"))
 
 
 def count_by(df: DataFrame, *keys: str) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions.expressions import (
     hour_of_day, midnight_text, risk_tier, split_of, stepup_passed,
 )
 from ..operators import audit, decisions, explain, features, feeds, forest, ledgers, peers, sessions, stats
-from ..session import materialize
+from ..session import materialize, tune
 from ..sources import events as source, logs
 from . import risk_model
 
@@ -26,7 +26,7 @@ class Inputs:
     """The supplied tables in the engine's shapes; all lazy."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: EngineConfig | None = None):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = tune(spark), sf_dir
         self.cfg = cfg or fixture_config()
 
     @cached_property
