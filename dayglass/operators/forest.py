@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -94,50 +95,57 @@ def fit_forest(df: DataFrame, columns: Sequence[str], key: Sequence[str], n_rows
 
 
 # ---- scoring -----------------------------------------------------------------------------
-class PackedForest:
-    """The node table as complete binary trees of numpy arrays, for vectorised descent."""
-
-    def __init__(self, nodes: pd.DataFrame, tree_rows: int):
-        self.levels = int(nodes["depth"].max())
-        trees = np.sort(nodes["tree_id"].unique())
-        inner, last = 2**self.levels - 1, 2**self.levels
-        shape = (len(trees), inner)
-        self.feature = np.zeros(shape, dtype=np.int32)
-        self.threshold = np.full(shape, np.inf)
-        self.path = np.zeros((len(trees), last))
-        self.norm = float(mean_path(tree_rows)) or 1.0
-        place = np.searchsorted(trees, nodes["tree_id"].to_numpy())
-        node, depth = nodes["node_id"].to_numpy(), nodes["depth"].to_numpy()
-        split = nodes["feature"].to_numpy() >= 0
-        self.feature[place[split], node[split]] = nodes["feature"].to_numpy()[split]
-        self.threshold[place[split], node[split]] = nodes["threshold"].to_numpy()[split]
-        # a leaf above the last level always goes left; its path length sits below it
-        steps = self.levels - depth[~split]
-        slot = (node[~split] + 1) * 2**steps - 1 - inner
-        leaf_path = depth[~split] + mean_path(nodes["rows"].to_numpy()[~split])
-        self.path[place[~split], slot] = leaf_path
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """2^(-mean path / normal path): near 1 is anomalous, 0.5 and below is ordinary."""
-        n, width = x.shape
-        flat, base = x.ravel(), np.arange(n) * width
-        total = np.zeros(n)
-        inner = self.feature.shape[1]
-        for feature, threshold, path in zip(self.feature, self.threshold, self.path):
-            at = np.zeros(n, dtype=np.int64)
-            for _ in range(self.levels):
-                at = 2 * at + 1 + (flat[base + feature[at]] > threshold[at])
-            total += path[at - inner]
-        return 2.0 ** (-(total / len(self.path)) / self.norm)
+class PackedForest(NamedTuple):
+    """The node table as complete binary trees of arrays, for vectorised descent."""
+
+    feature: np.ndarray    # tree x inner node
+    threshold: np.ndarray  # tree x inner node; infinite where a leaf sits above the last level
+    path: np.ndarray       # tree x last level: path length of the leaf that ends there
+    norm: float
+
+
+def pack_forest(nodes: pd.DataFrame, tree_rows: int) -> PackedForest:
+    levels = int(nodes["depth"].max())
+    trees = np.sort(nodes["tree_id"].unique())
+    inner = 2**levels - 1
+    feature = np.zeros((len(trees), inner), dtype=np.int32)
+    threshold = np.full((len(trees), inner), np.inf)
+    path = np.zeros((len(trees), inner + 1))
+    place = np.searchsorted(trees, nodes["tree_id"].to_numpy())
+    node, depth = nodes["node_id"].to_numpy(), nodes["depth"].to_numpy()
+    split = nodes["feature"].to_numpy() >= 0
+    feature[place[split], node[split]] = nodes["feature"].to_numpy()[split]
+    threshold[place[split], node[split]] = nodes["threshold"].to_numpy()[split]
+    # below a leaf every step goes left, so its path length belongs at the leftmost slot
+    steps = levels - depth[~split]
+    slot = (node[~split] + 1) * 2**steps - 1 - inner
+    path[place[~split], slot] = depth[~split] + mean_path(nodes["rows"].to_numpy()[~split])
+    return PackedForest(feature, threshold, path, float(mean_path(tree_rows)) or 1.0)
+
+
+def anomaly(forest: PackedForest, x: np.ndarray) -> np.ndarray:
+    """2^(-mean path / normal path): near 1 is anomalous, 0.5 and below is ordinary."""
+    n, width = x.shape
+    flat, base = x.ravel(), np.arange(n) * width
+    total = np.zeros(n)
+    inner = forest.feature.shape[1]
+    for feature, threshold, path in zip(forest.feature, forest.threshold, forest.path):
+        at = np.zeros(n, dtype=np.int64)
+        while at[:1].size and at[0] < inner:  # all rows go down level by level
+            at = 2 * at + 1 + (flat[base + feature[at]] > threshold[at])
+        total += path[at - inner]
+    return 2.0 ** (-(total / len(forest.path)) / forest.norm)
 
 
 def forest_score(nodes: pd.DataFrame, columns: Sequence[Column], tree_rows: int, spark) -> Column:
-    """Raw anomaly score as an Arrow UDF; the packed trees (a few MB, fixed) are broadcast."""
-    packed = spark.sparkContext.broadcast(PackedForest(nodes, tree_rows))
+    """Raw anomaly score as an Arrow UDF; the packed trees (a few MB, fixed) are broadcast as
+    plain arrays."""
+    packed = spark.sparkContext.broadcast(tuple(pack_forest(nodes, tree_rows)))
 
     @F.pandas_udf("double")
     def raw(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        trees = PackedForest(*packed.value)
         for batch in batches:
-            yield pd.Series(packed.value.score(np.column_stack(batch)))
+            yield pd.Series(anomaly(trees, np.column_stack(batch)))
 
     return raw(*columns)

@@ -29,24 +29,26 @@ def _of(source: str, value: Column) -> Column:
     return F.when(F.col("source") == source, value)
 
 
-def activity_cells(activity: DataFrame) -> DataFrame:
+def log_totals() -> list[Column]:
+    """What each log contributes to a group of events. NULL fields do not count."""
     size, upload = F.col("size_mb"), F.col("upload_mb")
-    return (
-        activity.groupBy(*SESSION, hour_of_day("ts").alias("hour"), "pc", "device_id")
-        .agg(
-            F.count("*").alias("n_events"),
-            F.min(_of("logon", F.col("ts"))).alias("first_logon"),
-            F.max(_of("logon", F.col("ts"))).alias("last_logon"),
-            F.count(_of("file", F.col("activity"))).alias("n_file_events"),
-            F.sum(_of("file", size)).alias("file_volume_mb"),
-            F.sum(_of("file", F.when(F.col("to_removable_media"), size))).alias("removable_mb"),
-            F.count(_of("http", F.col("url"))).alias("n_http_events"),
-            F.sum(_of("http", upload)).alias("http_export_mb"),
-            F.count(_of("email", size)).alias("n_email_events"),
-            F.sum(_of("email", size)).alias("email_volume_mb"),
-            F.count(_of("email", F.when(F.col("to_domain_type") == "external", 1))).alias("email_external_count"),
-        )
-    )
+    return [
+        F.count("*").alias("n_events"),
+        F.min(_of("logon", F.col("ts"))).alias("first_logon"),
+        F.max(_of("logon", F.col("ts"))).alias("last_logon"),
+        F.count(_of("file", F.col("activity"))).alias("n_file_events"),
+        F.sum(_of("file", size)).alias("file_volume_mb"),
+        F.sum(_of("file", F.when(F.col("to_removable_media"), size))).alias("removable_mb"),
+        F.count(_of("http", F.col("url"))).alias("n_http_events"),
+        F.sum(_of("http", upload)).alias("http_export_mb"),
+        F.count(_of("email", size)).alias("n_email_events"),
+        F.sum(_of("email", size)).alias("email_volume_mb"),
+        F.count(_of("email", F.when(F.col("to_domain_type") == "external", 1))).alias("email_external_count"),
+    ]
+
+
+def activity_cells(activity: DataFrame) -> DataFrame:
+    return activity.groupBy(*SESSION, hour_of_day("ts").alias("hour"), "pc", "device_id").agg(*log_totals())
 
 
 def span_minutes(first: str, last: str) -> Column:
@@ -77,6 +79,10 @@ def fold_cells(cells: DataFrame, distinct_counts: bool = False) -> DataFrame:
         *[F.coalesce(F.sum(F.when(F.col("hour") == h, F.col("n_events"))), F.lit(0)).alias(c)
           for h, c in enumerate(HOURS)],
     )
+    return finish_fold(folded)
+
+
+def finish_fold(folded: DataFrame) -> DataFrame:
     return (folded.withColumn("session_duration_min", span_minutes("first_logon", "last_logon"))
             .withColumn("export_volume_mb", F.col("removable_mb"))
             .drop("first_logon", "last_logon"))
