@@ -25,8 +25,8 @@ def shard_of(key: Column, shards: int) -> Column:
     return F.conv(digest, 16, 10).cast("int") % shards
 
 
-def chain_of(day: str, user: str, cfg: EngineConfig) -> Column:
-    return F.concat_ws("/", F.date_format(day, "yyyy-MM-dd"), shard_of(F.col(user), cfg.audit_shards).cast("string"))
+def chain_of(day: str, key: str, cfg: EngineConfig) -> Column:
+    return F.concat_ws("/", F.date_format(day, "yyyy-MM-dd"), shard_of(F.col(key), cfg.audit_shards).cast("string"))
 
 
 def shards_needed(events: DataFrame, entries_per_chain: int = 1_000_000) -> int:
@@ -35,10 +35,14 @@ def shards_needed(events: DataFrame, entries_per_chain: int = 1_000_000) -> int:
     return max(1, -(-busiest // entries_per_chain))
 
 
-def number_entries(events: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """chain_id and a 0-based seq; events need day, user_id and step_no."""
-    rows = events.withColumn("chain_id", chain_of("day", "user_id", cfg))
-    order = Window.partitionBy("chain_id").orderBy("user_id", "step_no")
+def number_entries(events: DataFrame, cfg: EngineConfig, key: str = "user_id") -> DataFrame:
+    """chain_id and a 0-based seq; events need day, step_no and the key.
+
+    Session events are keyed by user, since a user has one session a day. Events of which one
+    user may have very many, such as resume requests, are keyed by their own id instead.
+    """
+    rows = events.withColumn("chain_id", chain_of("day", key, cfg))
+    order = Window.partitionBy("chain_id").orderBy(key, "step_no")
     return rows.withColumn("seq", F.row_number().over(order).cast("bigint") - 1)
 
 

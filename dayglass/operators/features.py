@@ -132,21 +132,23 @@ def feature_matrix(activity: DataFrame, directory: DataFrame, answers: DataFrame
                    counts: DataFrame | None = None) -> DataFrame:
     """Id columns and the ten features of every user-day.
 
-    Cells and user-days are written once to the shared folder, as several branches read them.
+    Cells, user-days and bigrams are written once to the shared folder, as several branches
+    read them.
     Pass frozen `counts` to price sequences against an earlier period.
     """
     cells = materialize(activity_cells(activity), "cells")
     days = materialize(fold_cells(cells), "user-days")
     largest = days.agg(F.max(F.greatest("n_http_events", "n_file_events"))).first()[0] or 0
-    bigrams = session_bigrams(activity, cfg, largest)
+    bigrams = materialize(session_bigrams(activity, cfg, largest), "bigrams")
     if counts is None:
-        counts = bigram_counts(bigrams, cfg)
+        counts = materialize(bigram_counts(bigrams, cfg), "bigram-counts")
     rarity = bigram_rarity(bigrams, counts)
     flags = new_item_days(cells, days, cfg)
 
-    table = rolling_entropies(days, cfg).withColumn("after_hours_ratio", after_hours(cfg))
-    table = volumes(table).join(flags, SESSION, "left").join(rarity, SESSION, "left")
-    table = attach_labels(attach_roles(table, directory), answers)
+    # roles first, while rows are still partitioned by user; the other joins share (user, day)
+    table = attach_roles(rolling_entropies(days, cfg), directory)
+    table = volumes(table.withColumn("after_hours_ratio", after_hours(cfg)))
+    table = attach_labels(table.join(flags, SESSION, "left").join(rarity, SESSION, "left"), answers)
     numbers = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cfg.features]
     return table.select("user_id", "role", "day", "is_malicious", "scenario_id",
                         split_of("day", cfg).alias("split"), *numbers)

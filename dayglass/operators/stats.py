@@ -1,4 +1,9 @@
-"""Exact order statistics, fitted moments and evaluation metrics, all as Spark aggregates."""
+"""Exact order statistics, fitted moments and evaluation metrics, all as Spark aggregates.
+
+Per-group results that are joined back to the rows they came from are written first. A written
+table has a size that Spark knows when it plans, so it broadcasts the small ones and never
+shuffles the rows by a group that may hold most of them; a large one is joined as usual.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import EngineConfig
+from ..session import materialize
 
 # Accuracy of the quantile sketch that brackets a median, and the bracket's half width in
 # units of the sketch's rank error.
@@ -33,7 +39,7 @@ def exact_median(df: DataFrame, value: Column, keys: Sequence[str] = ()) -> Data
     rows = df.select(*keys, value.cast("double").alias("_x")).where(F.col("_x").isNotNull())
     ends = _bracket(rows, keys)
     if keys:
-        rows = rows.join(ends, keys)
+        rows = rows.join(materialize(ends, "brackets"), keys)
     else:  # one group: its bracket is one row, so it travels as literals
         found = ends.first()
         low, high = found["_ends"] or (None, None)
@@ -61,6 +67,7 @@ def robust_baseline(df: DataFrame, value: Column, keys: Sequence[str] = ()) -> D
     middle = exact_median(rows, F.col("_v"), keys).withColumnRenamed("median", "baseline")
     spread = rows.groupBy(*keys).agg(F.stddev_pop("_v").alias("std"))
     if keys:
+        middle = materialize(middle, "medians")
         away = rows.join(middle, keys)
         mad = exact_median(away, F.abs(F.col("_v") - F.col("baseline")), keys)
         fit = (middle.join(mad.select(*keys, F.col("median").alias("mad")), keys)
@@ -99,7 +106,7 @@ def group_moments(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (
     keys, d = list(keys), len(columns)
     means = df.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*[F.avg(c) for c in columns]).alias("mean"))
     if keys:
-        rows = df.select(*keys, *columns).join(means, keys)
+        rows = df.select(*keys, *columns).join(materialize(means, "means"), keys)
         centre = [F.get("mean", F.lit(i)) for i in range(d)]
     else:  # one group: its means are one row, so they travel as literals
         whole = means.first()
@@ -240,11 +247,9 @@ def _tie_hits(ties: DataFrame, take: int, label: str, key: Sequence[str]) -> int
 
 def topk_report(df: DataFrame, **options) -> DataFrame:
     rows = topk_hits(df, **options)
-    spark = df.sparkSession
-    table = spark.createDataFrame(
+    return df.sparkSession.createDataFrame(
         [(r["share"], r["k"], r["hits"], r["hits"] / max(r["n_positive"], 1), r["hits"] / r["k"]) for r in rows],
-        "share double, k bigint, hits bigint, recall double, precision double")
-    return table
+        "share double, k bigint, hits bigint, recall_at_k double, precision_at_k double")
 
 
 def evaluation_report(df: DataFrame, score: str = "risk_score", label: str = "is_malicious",

@@ -373,7 +373,7 @@ BODIES: dict[str, str] = {
     "q_hour_entropy_7d": f"SELECT {KEY}, round(e, 6) + 0.0 AS hour_entropy_7d FROM hour_ent",
     "q_dow_entropy_30d": f"SELECT {KEY}, round(e, 6) + 0.0 AS dow_entropy_30d FROM dow_ent",
     "q_new_flags": f"SELECT {KEY}, CAST(new_host_flag AS BIGINT) AS new_host_flag, CAST(new_device_flag AS BIGINT) AS new_device_flag FROM flag",
-    "q_bigrams": "SELECT kind, a, b, n AS count FROM bicount",
+    "q_bigrams": "SELECT kind, a, b, n FROM bicount",
     "q_url_rarity": f"SELECT {KEY}, {_r('url_bigram_rarity')} FROM feat",
     "q_file_rarity": f"SELECT {KEY}, {_r('file_bigram_rarity')} FROM feat",
     "q_feature_matrix": f"""SELECT user_id, role, {DAY}, CAST(is_malicious AS BIGINT) AS is_malicious, scenario_id, split,
@@ -419,8 +419,8 @@ BODIES: dict[str, str] = {
     "q_roc_auc": """SELECT round((sum(y * r) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 6) + 0.0 AS roc_auc
         FROM (SELECT y, avg(rn) OVER (PARTITION BY s) AS r FROM (SELECT y, s, row_number() OVER (ORDER BY s) AS rn FROM held))""",
     "q_avg_precision": "SELECT round(sum(pos / p * cum_pos / cum_n), 6) + 0.0 AS pr_auc FROM curve, (SELECT sum(y) AS p FROM held)",
-    "q_topk_recall": """SELECT share, k, CAST(hits AS BIGINT) AS hits, round(hits / greatest(p, 1), 6) + 0.0 AS recall,
-        round(hits / k, 6) + 0.0 AS precision FROM topk""",
+    "q_topk_recall": """SELECT share, k, CAST(hits AS BIGINT) AS hits, round(hits / greatest(p, 1), 6) + 0.0 AS recall_at_k,
+        round(hits / k, 6) + 0.0 AS precision_at_k FROM topk""",
     "q_eval_report": """SELECT h.n AS n_sessions, CAST(h.p AS BIGINT) AS n_malicious_labeled,
           '1:' || CAST(round_even((h.n - h.p) / greatest(h.p, 1), 0) AS BIGINT) AS imbalance_ratio,
           round(a.roc, 4) + 0.0 AS roc_auc, round(b.ap, 4) + 0.0 AS pr_auc, """ + ", ".join(
@@ -458,18 +458,18 @@ BODIES: dict[str, str] = {
         CAST(300 AS BIGINT) AS ttl_seconds, epoch_us(CAST(day + 1 AS TIMESTAMP)) AS issued_at,
         epoch_us(CAST(day + 1 AS TIMESTAMP)) + 300000000 AS expires_at
         FROM lease WHERE action IN ('stepup_flagged', 'stepup_required_passed')""",
-    "q_lease_outcomes": """SELECT t.id AS attempt_id, epoch_us(t.t_at) AS at, t.lease_id, CASE WHEN s.lease_id IS NULL THEN 'unknown'
+    "q_lease_outcomes": """SELECT t.id AS attempt_id, epoch_us(t.t_at) AS at_us, t.lease_id, CASE WHEN s.lease_id IS NULL THEN 'unknown'
           WHEN s.revoked < t.id THEN 'revoked' WHEN s.redeemed < t.id THEN 'already_redeemed'
           WHEN t.t_at > s.expires_at THEN 'expired' ELSE 'redeemed' END AS outcome
         FROM tries t LEFT JOIN state s ON s.lease_id = t.lease_id""",
-    "q_single_revokes": """SELECT t.id AS revoke_id, epoch_us(t.t_at) AS at, t.lease_id, CAST(coalesce(s.revoked = t.id, false) AS BIGINT) AS effective
+    "q_single_revokes": """SELECT t.id AS revoke_id, epoch_us(t.t_at) AS at_us, t.lease_id, CAST(coalesce(s.revoked = t.id, false) AS BIGINT) AS effective
         FROM singles t LEFT JOIN state s ON s.lease_id = t.lease_id""",
     "q_bulk_revoke": "SELECT b.id AS bulk_id, b.user_id, s.lease_id FROM bulks b JOIN state s ON s.revoked = b.id",
     "q_live_leases": """SELECT s.lease_id, s.user_id, epoch_us(s.issued_at) AS issued_at, epoch_us(s.expires_at) AS expires_at
         FROM state s LEFT JOIN ev r ON r.event_id = s.redeemed LEFT JOIN ev v ON v.event_id = s.revoked
         WHERE TIMESTAMP '2024-01-16 00:00:00' BETWEEN s.issued_at AND s.expires_at
           AND coalesce(r.ts > TIMESTAMP '2024-01-16 00:00:00', true) AND coalesce(v.ts > TIMESTAMP '2024-01-16 00:00:00', true)""",
-    "q_resume_requests": "SELECT request_id, epoch_us(t_at) AS at, user_id, approver, quarantine_id, outcome FROM resumed",
+    "q_resume_requests": "SELECT request_id, epoch_us(t_at) AS at_us, user_id, approver, quarantine_id, outcome FROM resumed",
     "q_resume_events": """SELECT request_id, user_id, CAST(CAST(t_at AS DATE) AS VARCHAR) AS day, CAST(step_no AS BIGINT) AS step_no,
         strftime(t_at, '%Y-%m-%d %H:%M:%S') AS event_time, event_type, payload FROM resume_fan""",
     "q_quarantine_ledger": "SELECT * FROM qledger",

@@ -264,7 +264,8 @@ def new_flags(x):
 
 @query()
 def bigrams(x):
-    return features.bigram_counts(features.session_bigrams(x.activity, x.cfg), x.cfg)
+    counts = features.bigram_counts(features.session_bigrams(x.activity, x.cfg), x.cfg)
+    return counts.withColumnRenamed("count", "n")
 
 
 def _rarity(x, kind):
@@ -520,12 +521,12 @@ def lease_grants(x):
 
 @query()
 def lease_outcomes(x):
-    return ledgers.redeem_outcomes(x.attempts, x.states)
+    return ledgers.redeem_outcomes(x.attempts, x.states).withColumnRenamed("at", "at_us")
 
 
 @query()
 def single_revokes(x):
-    return ledgers.revoke_outcomes(x.revokes, x.states)
+    return ledgers.revoke_outcomes(x.revokes, x.states).withColumnRenamed("at", "at_us")
 
 
 @query()
@@ -540,7 +541,7 @@ def live_leases(x):
 
 @query()
 def resume_requests(x):
-    return x.resumes
+    return x.resumes.withColumnRenamed("at", "at_us")
 
 
 @query()

@@ -15,15 +15,19 @@ BAD_ROW = "_bad_row"
 
 def read_table(spark: SparkSession, path: str, schema: StructType, fmt: str = "csv",
                keep_bad_rows: bool = False) -> DataFrame:
-    """Read with a declared schema. CSV rows that do not parse are dropped, or kept apart in
-    a `_bad_row` column when asked; nothing is ever inferred."""
+    """Read with a declared schema; nothing is ever inferred. CSV rows that do not parse are
+    dropped, or kept with their text in a `_bad_row` column when asked."""
     if fmt != "csv":
         return spark.read.schema(schema).format(fmt).load(path)
     wide = StructType(schema.fields + [StructField(BAD_ROW, StringType(), True)])
     rows = (spark.read.schema(wide)
             .options(header="true", mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_ROW)
             .csv(path))
-    return rows if keep_bad_rows else rows.where(F.col(BAD_ROW).isNull()).drop(BAD_ROW)
+    if keep_bad_rows:
+        return rows
+    # the key column comes first in every schema; a row without its key is no use either
+    usable = F.col(BAD_ROW).isNull() & F.col(schema.names[0]).isNotNull()
+    return rows.where(usable).drop(BAD_ROW)
 
 
 def read_logs(spark: SparkSession, folder: str, fmt: str = "csv") -> dict[str, DataFrame]:
