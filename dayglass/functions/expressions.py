@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import ACTION_LABELS, EngineConfig
 
@@ -52,6 +52,17 @@ def share(part: Column, whole: Column) -> Column:
     return F.coalesce(part / F.nullif(whole.cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
+# ---- arrays ------------------------------------------------------------------------------
+def unpacked(df: DataFrame, keep: Sequence[str], array: Column, place: str = "step_no") -> DataFrame:
+    """One row per element of a computed array: the kept columns, its place and its fields.
+
+    A plain explode makes the planner test the array's size in a filter of its own, which
+    repeats the whole computation of the array; the outer form does not.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias("_pos", "_cell")).where(F.col("_pos").isNotNull())
+    return rows.select(*keep, F.col("_pos").cast("bigint").alias(place), "_cell.*")
+
+
 # ---- scores ------------------------------------------------------------------------------
 def compress_z(z: Column, threshold: float) -> Column:
     """Keep |z| up to the threshold, let it grow only logarithmically beyond."""

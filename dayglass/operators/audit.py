@@ -9,7 +9,7 @@ hashed is built by Spark; only the running hash itself is Python, streamed over
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -35,15 +35,19 @@ def shards_needed(events: DataFrame, entries_per_chain: int = 1_000_000) -> int:
     return max(1, -(-busiest // entries_per_chain))
 
 
-def number_entries(events: DataFrame, cfg: EngineConfig, key: str = "user_id") -> DataFrame:
-    """chain_id and a 0-based seq; events need day, step_no and the key.
+def with_chain(events: DataFrame, cfg: EngineConfig, key: str = "user_id") -> DataFrame:
+    """Assign each event to its chain by day and key.
 
     Session events are keyed by user, since a user has one session a day. Events of which one
     user may have very many, such as resume requests, are keyed by their own id instead.
     """
-    rows = events.withColumn("chain_id", chain_of("day", key, cfg))
+    return events.withColumn("chain_id", chain_of("day", key, cfg))
+
+
+def number_entries(events: DataFrame, cfg: EngineConfig, key: str = "user_id") -> DataFrame:
+    """chain_id and the 0-based seq within it; events need day, step_no and the key."""
     order = Window.partitionBy("chain_id").orderBy(key, "step_no")
-    return rows.withColumn("seq", F.row_number().over(order).cast("bigint") - 1)
+    return with_chain(events, cfg, key).withColumn("seq", F.row_number().over(order).cast("bigint") - 1)
 
 
 # ---- canonical form ------------------------------------------------------------------------
@@ -53,44 +57,48 @@ def _json_string(column: str) -> Column:
     return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
 
 
-def canonical_parts() -> tuple[Column, Column]:
-    """The canonical entry around the previous hash: keys in sorted order, compact, every
-    field but the entry's own hash."""
+def _canonical_parts() -> tuple[Column, Column]:
+    """The canonical entry before the previous hash and after the seq: keys in sorted order,
+    compact, every field but the entry's own hash."""
     before = F.concat(F.lit('{"event_type":'), _json_string("event_type"), F.lit(',"payload":'), F.col("payload"),
                       F.lit(',"prev_hash":"'))
-    after = F.concat(F.lit('","seq":'), F.col("seq").cast("string"), F.lit(',"timestamp":'),
-                     _json_string("event_time"), F.lit("}"))
+    after = F.concat(F.lit(',"timestamp":'), _json_string("event_time"), F.lit("}"))
     return before, after
 
 
+SEQ = '","seq":'
+
+
 def canonical_entry() -> Column:
-    before, after = canonical_parts()
-    return F.concat(before, F.col("prev_hash"), after)
+    before, after = _canonical_parts()
+    return F.concat(before, F.col("prev_hash"), F.lit(SEQ), F.col("seq").cast("string"), after)
 
 
 # ---- chaining ------------------------------------------------------------------------------
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Running hash over rows sorted by (chain_id, seq). Only the last hash is carried from one
-    Arrow batch to the next, so a chain of any length needs constant memory."""
-    chain, last = None, GENESIS
+    """Number and hash rows sorted by chain. Only the last hash and number pass from one Arrow
+    batch to the next, so a chain of any length needs constant memory."""
+    chain, last, number = None, GENESIS, 0
     for pdf in batches:
-        prev, own = [], []
-        for c, head, tail in zip(pdf["chain_id"], pdf["_before"], pdf["_after"]):
+        seq, prev, own = [], [], []
+        for c, before, after in zip(pdf["chain_id"], pdf["_before"], pdf["_after"]):
             if c != chain:
-                chain, last = c, GENESIS
+                chain, last, number = c, GENESIS, 0
+            seq.append(number)
             prev.append(last)
-            last = hashlib.sha256(f"{head}{last}{tail}".encode()).hexdigest()
+            last = hashlib.sha256(f"{before}{last}{SEQ}{number}{after}".encode()).hexdigest()
             own.append(last)
-        yield pdf.drop(columns=["_before", "_after"]).assign(prev_hash=prev, entry_hash=own)
+            number += 1
+        yield pdf[["chain_id", "event_time", "event_type", "payload"]].assign(seq=seq, prev_hash=prev, entry_hash=own)[ENTRY]
 
 
-def build_chains(entries: DataFrame) -> DataFrame:
-    """Add prev_hash and entry_hash. Each chain is one sorted run of one partition."""
-    before, after = canonical_parts()
-    rows = entries.select("chain_id", "seq", "event_time", "event_type", "payload",
-                          before.alias("_before"), after.alias("_after"))
-    rows = rows.repartition("chain_id").sortWithinPartitions("chain_id", "seq")
-    return rows.mapInPandas(
+def build_chains(entries: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
+    """Number and chain the entries of each chain_id in the given order: seq, prev_hash and
+    entry_hash. One shuffle; each chain is one sorted run of one partition."""
+    before, after = _canonical_parts()
+    rows = entries.withColumns({"_before": before, "_after": after})
+    rows = rows.select("chain_id", *order, "event_time", "event_type", "payload", "_before", "_after")
+    return rows.repartition("chain_id").sortWithinPartitions("chain_id", *order).mapInPandas(
         _fold, "chain_id string, seq bigint, event_time string, event_type string, payload string, "
                "prev_hash string, entry_hash string")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import EngineConfig
 from ..functions.expressions import (
-    canonical_json, canonical_number, clean_nan, midnight_text, stepup_passed,
+    canonical_json, canonical_number, clean_nan, midnight_text, stepup_passed, unpacked,
 )
 
 QUARANTINED = ("quarantined_after_failed_stepup", "auto_quarantined")
@@ -127,9 +127,8 @@ def decision_events(decisions: DataFrame, entitlements: DataFrame, cfg: EngineCo
         event("lease_redeemed", go_on, lease_id=F.col("lease_id"), secret_id=F.col("secret_id"), user=user),
     ]
     emitted = F.filter(F.array(*candidates), lambda e: e.isNotNull())
-    return (rows.select("user_id", "day", F.posexplode(emitted))
-            .select("user_id", "day", F.col("pos").cast("bigint").alias("step_no"),
-                    F.date_format(decision_time(), "yyyy-MM-dd HH:mm:ss").alias("event_time"), "col.*"))
+    rows = rows.withColumn("event_time", F.date_format(decision_time(), "yyyy-MM-dd HH:mm:ss"))
+    return unpacked(rows, ["user_id", "day", "event_time"], emitted)
 
 
 def run_policy(scored: DataFrame, entitlements: DataFrame, cfg: EngineConfig) -> dict[str, DataFrame]:

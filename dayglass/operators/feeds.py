@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.expressions import action_label
+from ..functions.expressions import action_label, unpacked
 
 FEED_TIERS = ("Medium", "High", "Critical")
 
@@ -36,5 +36,4 @@ def drilldown(scored: DataFrame, user_id=None, day=None) -> DataFrame:
     """Explanation rows, of one session when its key is given."""
     if user_id is not None:
         scored = scored.where((F.col("user_id") == user_id) & (F.col("day") == F.lit(day)))
-    return scored.select("user_id", "day", "risk_score", "risk_tier", F.posexplode("top_features")).select(
-        "user_id", "day", "risk_score", "risk_tier", F.col("pos").cast("bigint").alias("place"), "col.*")
+    return unpacked(scored, ["user_id", "day", "risk_score", "risk_tier"], F.col("top_features"), "place")

@@ -51,7 +51,8 @@ def tree_samples(df: DataFrame, columns: Sequence[str], key: Sequence[str], n_ro
     cutoff = min(1.0, 2.0 * take / pool + 20.0 / pool)
     trees = F.filter(F.sequence(F.lit(0), F.lit(cfg.n_trees - 1)),
                      lambda t: _unit(*keys, t, F.lit(cfg.seed + 1)) < cutoff)
-    drawn = rows.withColumn("tree_id", F.explode(trees))
+    # the outer form spares a size test that would hash every pair twice
+    drawn = rows.withColumn("tree_id", F.explode_outer(trees)).where(F.col("tree_id").isNotNull())
     order = Window.partitionBy("tree_id").orderBy(F.xxhash64(*keys, "tree_id", F.lit(cfg.seed + 2)), *key)
     return (drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= take)
             .select("tree_id", "place", *columns))

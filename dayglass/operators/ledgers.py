@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import EngineConfig
-from ..functions.expressions import canonical_json
+from ..functions.expressions import canonical_json, unpacked
 from . import timeline
 
 MOMENT = "struct<at: timestamp_ntz, id: bigint>"
@@ -171,7 +171,6 @@ def resume_events(outcomes: DataFrame, directory: DataFrame, entitlements: DataF
               expires_at=expires),
         event("quarantine_released", "approved", user=user, approved_by=approver, lease_id=lease),
     ), lambda e: e.isNotNull())
-    return (rows.select("request_id", "user_id", "at", F.posexplode(emitted))
-            .select("request_id", "user_id", F.col("at").cast("date").alias("day"),
-                    F.col("pos").cast("bigint").alias("step_no"),
-                    F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("event_time"), "col.*"))
+    rows = rows.withColumns({"day": F.col("at").cast("date"),
+                             "event_time": F.date_format("at", "yyyy-MM-dd HH:mm:ss")})
+    return unpacked(rows, ["request_id", "user_id", "day", "event_time"], emitted)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..config import EngineConfig, fixture_config
 from ..functions.expressions import (
     blend, canonical_json, canonical_number, compress_z, day_of_week, epoch_micros, excess_score,
-    hour_of_day, midnight_text, risk_tier, split_of, stepup_passed,
+    hour_of_day, midnight_text, risk_tier, split_of, stepup_passed, unpacked,
 )
 from ..operators import audit, decisions, explain, features, feeds, forest, ledgers, peers, sessions, stats
 from ..session import materialize, tune
@@ -103,7 +103,7 @@ class Inputs:
 
     @cached_property
     def chained(self) -> DataFrame:
-        return audit.build_chains(audit.number_entries(self.decision_events, self.cfg))
+        return audit.build_chains(audit.with_chain(self.decision_events, self.cfg), ["user_id", "step_no"])
 
     # ---- ledgers
     @cached_property
@@ -389,8 +389,7 @@ def contributions(x):
     feats, names = x.kept_features, list(x.cfg.features)
     roles = peers.role_moments(feats.where("split = 'train'"), names, x.cfg)
     full = explain.explain(feats, names, roles, x.cfg, count=len(names))
-    return full.select("user_id", "day", F.posexplode("top_features")).select(
-        "user_id", "day", F.col("pos").alias("place"), "col.*")
+    return unpacked(full, ["user_id", "day"], F.col("top_features"), "place")
 
 
 def _detect(x):
