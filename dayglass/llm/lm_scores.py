@@ -27,6 +27,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import materialize
@@ -37,7 +38,7 @@ BLOCK_CHARS = 24_000_000
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never holds
 HELD_OUT, HELD_OUT_IS = 7, 2
 STATE = "block int, gram long, word binary, n long"
-SLICE_WINDOWS = 1 << 22
+SLICE_WINDOWS = 1 << 20
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,17 +53,14 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return packed[data[ORDER:] != START], np.cumsum(sizes) - sizes
 
 
-def slices(texts: list[bytes]):
-    """Lists of texts with about SLICE_WINDOWS windows each."""
-    held, size = [], 0
-    for text in texts:
-        held.append(text)
-        size += len(text)
-        if size >= SLICE_WINDOWS:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def slices(block: pa.Table):
+    """Tables of consecutive rows with about SLICE_WINDOWS bytes of text each, and their texts."""
+    ends = np.cumsum(pc.binary_length(block["text"]).to_numpy())
+    number = ends // SLICE_WINDOWS
+    for part in np.split(np.arange(len(ends)), np.flatnonzero(np.diff(number)) + 1):
+        if len(part):
+            rows = block.slice(part[0], len(part))
+            yield rows, [x.encode().lower() for x in rows["text"].to_pylist()]
 
 
 def merged(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,17 +72,17 @@ def merged(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 def block_state(block: pa.Table) -> pa.Table:
     """What a block needs and counts: its distinct windows and words (the end token as the empty
     word) with their training occurrences."""
-    texts = [x.encode().lower() for x in block["text"].to_pylist()]
-    train = block["train"].to_pylist()
     grams, counts, words, other = [], [], Counter(), set()
-    for learned in (True, False):
-        for part in slices([x for x, t in zip(texts, train) if t == learned]):
-            keys, times = np.unique(windows(part)[0], return_counts=True)
-            grams.append(keys)
-            counts.append(times * learned)
-    for text, learned in zip(texts, train):
-        words.update(text.split()) if learned else other.update(text.split())
-    words[b""] = sum(train)
+    for rows, texts in slices(block):
+        for learned in (True, False):
+            own = [x for x, t in zip(texts, rows["train"].to_pylist()) if t == learned]
+            if own:
+                keys, times = np.unique(windows(own)[0], return_counts=True)
+                grams.append(keys)
+                counts.append(times * learned)
+            for text in own:
+                words.update(text.split()) if learned else other.update(text.split())
+            words[b""] += learned * len(own)
     for word in other:
         words.setdefault(word, 0)
     keys, times = merged(grams, counts)
@@ -139,45 +137,47 @@ def window_scores(state: DataFrame) -> DataFrame:
     level = None
     for size in range(1, ORDER + 2):
         level = materialize(trie_level(counts, size, level), "ppm-level")
-    return level.select(F.col("w").alias("gram"), F.log10("fresh").alias("lp"))
+    return level.select(F.col("w").alias("gram"), F.log10("fresh").cast("float").alias("lp"))
 
 
 def score_block(docs: pa.Table, needed: pa.Table, total: int, distinct: int) -> pa.Table:
-    is_gram = needed["gram"].is_valid()
-    grams, words = needed.filter(is_gram), needed.filter(needed["word"].is_valid())
+    grams, words = needed.filter(needed["gram"].is_valid()), needed.filter(needed["word"].is_valid())
     keys, values = grams["gram"].to_numpy(), grams["lp"].to_numpy()
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
     count_of = dict(zip(words["word"].to_pylist(), words["c"].to_pylist()))
-    texts = [x.encode().lower() for x in docs["text"].to_pylist()]
-    scores, base, n_tokens, n_known = [], [], [], []
-    for part in slices(texts):
-        packed, starts = windows(part)
-        scores += np.add.reduceat(values[np.searchsorted(keys, packed)], starts).tolist()
-        for text in part:
+    del needed, grams, words, order
+    out = []
+    for rows, texts in slices(docs):
+        packed, starts = windows(texts)
+        scores = np.add.reduceat(values[np.searchsorted(keys, packed)].astype(np.float64), starts)
+        base, n_tokens, n_known = [], [], []
+        for text in texts:
             found = text.split()
             found.append(b"")
             c = np.fromiter(map(count_of.__getitem__, found), np.float64, len(found))
             n_tokens.append(len(found))
             n_known.append(int(np.count_nonzero(c)))
             base.append(float(np.log10((c + 1) / (total + distinct + 1)).sum()))
-    return pa.table({
-        "doc_id": docs["doc_id"], "held_out": pa.array([not t for t in docs["train"].to_pylist()], pa.bool_()),
-        "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-        "train_tokens": pa.array([total] * len(texts), pa.int64()), "base_score": pa.array(base, pa.float64()),
-        "score": pa.array(scores, pa.float64()), "n_bytes": pa.array([len(x) for x in texts], pa.int64())})
+        out.append(pa.table({
+            "doc_id": rows["doc_id"], "held_out": pc.invert(rows["train"]), "n_tokens": pa.array(n_tokens, pa.int64()),
+            "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([total] * len(texts), pa.int64()),
+            "base_score": pa.array(base, pa.float64()), "score": pa.array(scores), "n_bytes": pa.array([len(x) for x in texts], pa.int64())}))
+    return pa.concat_tables(out)
 
 
 def score(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes of every text."""
     blocks = in_blocks(docs, block_chars)
     state = materialize(blocks.groupBy("block").applyInArrow(block_state, STATE), "ppm-state")
-    words = materialize(state.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")), "ppm-words")
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
+    own = W.partitionBy("word")  # a row for each block at most
+    words = state.where("word IS NOT NULL").select(
+        "block", "word", F.sum("n").over(own).alias("c"), (F.row_number().over(own.orderBy("block")) == 1).alias("first"))
+    words = materialize(words, "ppm-words")
+    total, distinct = words.where("first AND c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     needed_grams = state.where("gram IS NOT NULL").select("block", "gram").join(window_scores(state), "gram")
-    needed_words = state.where("word IS NOT NULL").select("block", "word").join(words, "word")
     needed = needed_grams.select("block", "gram", "lp", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c")).unionByName(
-        needed_words.select("block", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("lp"), "word", "c"))
+        words.select("block", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("float").alias("lp"), "word", "c"))
 
     def run(docs_of_block: pa.Table, needed_of_block: pa.Table) -> pa.Table:
         return score_block(docs_of_block, needed_of_block, total, distinct)
