@@ -34,7 +34,7 @@ from ..session import materialize
 from .common import id_remainder, table, whole_text
 
 ORDER = 5
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 12_000_000
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never holds
 HELD_OUT, HELD_OUT_IS = 7, 2
 STATE = "block int, gram long, word binary, n long"
