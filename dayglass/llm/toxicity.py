@@ -125,15 +125,13 @@ def segments_of(gains: np.ndarray) -> list[tuple[float, int, int]]:
     return maximal_segments(places, gains[places], DRIFT)
 
 
-def lower_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
-    """Log-odds of holding the feature, toxic against clean, less `CAUTION` standard errors."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        prior = PRIOR * (toxic + clean)
-        a, b = toxic + prior, clean + prior
-        weight = PRIOR * (n_toxic + n_clean)
-        odds = np.log(a) - np.log(n_toxic + weight - a) - np.log(b) + np.log(n_clean + weight - b)
-        low = odds - CAUTION * np.sqrt(1 / a + 1 / b)
-    return np.where((toxic > 0) & np.isfinite(low), low, -1.0).astype(np.float32)
+def lower_odds(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
+    """Log-odds of holding the feature, toxic against clean, less `CAUTION` standard errors; null
+    where no toxic text holds it."""
+    a, b = toxic + PRIOR * (toxic + clean), clean + PRIOR * (toxic + clean)
+    weight = PRIOR * (n_toxic + n_clean)
+    odds = F.log(a) - F.log(n_toxic + weight - a) - F.log(b) + F.log(n_clean + weight - b)
+    return F.when(toxic > 0, odds - CAUTION * F.sqrt(1 / a + 1 / b))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -168,19 +166,21 @@ def count_features(rows: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     spark = docs.sparkSession
     rows = materialize(training_rows(docs, labels), "toxic-training")
-    frame = count_features(rows).toPandas()  # at most BUCKETS + 1 rows of five numbers
-    counts, texts = np.zeros((4, BUCKETS)), np.zeros(4, int)
-    values = frame[["n0", "n1", "n2", "n3"]].to_numpy(np.float64)
-    whole = frame["bucket"].to_numpy() < 0
-    texts[:] = values[whole].sum(axis=0)
-    counts[:, frame["bucket"].to_numpy()[~whole].astype(int)] = values[~whole].T
+    counts = materialize(count_features(rows), "toxic-counts")
+    texts = list(counts.where("bucket = -1").select("n0", "n1", "n2", "n3").first() or (0, 0, 0, 0))
     if min(texts[0] + texts[2], texts[1] + texts[3]) == 0:
         return Model(None)
-    model = Model(lower_odds(counts[1] + counts[3], counts[0] + counts[2], texts[1] + texts[3], texts[0] + texts[2]))
-    # features of the other half; with no toxic text there, a half has no say
-    other = [lower_odds(counts[3], counts[2], texts[3], texts[2]), lower_odds(counts[1], counts[0], texts[1], texts[0])]
-    shared = spark.sparkContext.broadcast(other)
-    usable = [texts[3] > 0 and texts[2] > 0, texts[1] > 0 and texts[0] > 0]
+    clean, toxic = [F.col("n0"), F.col("n2")], [F.col("n1"), F.col("n3")]
+    # in `half0` the features of half 1 alone, and the other way round
+    odds = {"whole": lower_odds(toxic[0] + toxic[1], clean[0] + clean[1], texts[1] + texts[3], texts[0] + texts[2]),
+            "half0": lower_odds(toxic[1], clean[1], texts[3], texts[2]), "half1": lower_odds(toxic[0], clean[0], texts[1], texts[0])}
+    telling = counts.where("bucket >= 0").select("bucket", *(c.cast("float").alias(k) for k, c in odds.items()))
+    telling = telling.where(" OR ".join(f"{k} >= {LEAST}" for k in odds)).toPandas()  # at most BUCKETS rows, mostly a few
+    dense = np.full((3, BUCKETS), -1.0, np.float32)
+    dense[:, telling["bucket"].to_numpy()] = telling[["whole", "half0", "half1"]].fillna(-1.0).to_numpy(np.float32).T
+    model = Model(dense[0])
+    shared = spark.sparkContext.broadcast([dense[1], dense[2]])
+    usable = [texts[3] > 0 and texts[2] > 0, texts[1] > 0 and texts[0] > 0]  # a half without toxic texts has no say
     seen = materialize(_scored_training(rows, shared, usable), "toxic-evidence")
     _fit_law(model, seen)
     _fit_curve(model, seen)
