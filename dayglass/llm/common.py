@@ -10,6 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = r"[\x20\x09-\x0D]+"
+BATCH_ROWS = 500  # rows that a Python worker turns into objects at a time
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +56,7 @@ def with_columns(df: DataFrame, fields: str, work: Callable[..., list], setup: C
 
     def each(batches):
         state = (setup(),) if setup else ()
-        for batch in batches:
+        for batch in (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS)):
             old = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield [*old, *work(batch, *state)]
 
@@ -63,15 +64,15 @@ def with_columns(df: DataFrame, fields: str, work: Callable[..., list], setup: C
 
 
 class Memo(dict):
-    """A function's results by argument; forgets all of them beyond `most` entries, so that a
-    worker's memory stays bounded whatever the number of distinct words."""
+    """A function's results by argument. Only the first `most` are kept (frequent words come
+    early), so that a worker's memory stays bounded whatever the number of distinct words."""
 
     def __init__(self, function: Callable, most: int = 400_000):
         super().__init__()
         self.function, self.most = function, most
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.function(key)
+        value = self.function(key)
+        if len(self) < self.most:
+            self[key] = value
         return value

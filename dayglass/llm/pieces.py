@@ -142,7 +142,10 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary | None = None) -> DataFram
         return spelled
 
     def work(batch: pa.RecordBatch, spelled: list[bytes]) -> list:
-        return [[b"".join(map(spelled.__getitem__, ids or ())).decode()[1:] for ids in batch["ids"].to_pylist()]]
+        every = batch["ids"].values.to_numpy(zero_copy_only=False)  # one text at a time becomes Python numbers
+        offsets, null = batch["ids"].offsets.to_numpy(), batch["ids"].is_null().to_numpy(zero_copy_only=False)
+        ends = np.where(null, offsets[:-1], offsets[1:]).tolist()
+        return [[b"".join(map(spelled.__getitem__, every[a:b].tolist())).decode()[1:] for a, b in zip(offsets[:-1].tolist(), ends)]]
 
     return with_columns(encoded, "decoded string", work, setup)
 
