@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..session import materialize
 from .common import id_remainder, table, whole_text
 
-ORDER = 5
+ORDER = 4
 BLOCK_CHARS = 12_000_000
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never holds
 HELD_OUT, HELD_OUT_IS = 7, 2
