@@ -122,11 +122,13 @@ def chain_the_heads(heads: DataFrame) -> DataFrame:
 # ---- verification --------------------------------------------------------------------------
 def verify(chained: DataFrame, order: str = "seq") -> DataFrame:
     """(chain_id, seq, ok, error) per entry. A broken link is blamed on the entry after the
-    gap, and checking goes on from the hash stored there."""
+    gap, and checking goes on from the hash stored there. An entry without a number could not
+    be read; it is flagged itself, and so is the entry after it."""
     before = F.lag("entry_hash").over(Window.partitionBy("chain_id").orderBy(order))
     rows = (chained.withColumn("_expected", F.coalesce(before, F.lit(GENESIS)))
             .withColumn("_own", F.sha2(canonical_entry(), 256)))
-    error = (F.when(~F.col("prev_hash").eqNullSafe(F.col("_expected")), F.lit("chain break"))
+    error = (F.when(F.col("seq").isNull(), F.lit("unreadable"))
+             .when(~F.col("prev_hash").eqNullSafe(F.col("_expected")), F.lit("chain break"))
              .when(~F.col("entry_hash").eqNullSafe(F.col("_own")), F.lit("hash mismatch")))
     return (rows.withColumn("error", error)
             .select("chain_id", "seq", F.col("error").isNull().alias("ok"), "error"))

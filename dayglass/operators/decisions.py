@@ -133,10 +133,12 @@ def decision_events(decisions: DataFrame, entitlements: DataFrame, cfg: EngineCo
 
 def run_policy(scored: DataFrame, entitlements: DataFrame, cfg: EngineConfig) -> dict[str, DataFrame]:
     """Decisions, events and lease grants of a batch of sessions; order is kept in columns
-    (day, user_id, step_no)."""
-    decisions = decide(scored, cfg)
+    (day, user_id, step_no). Sessions without a tier are not decided and come as `rejects`."""
+    sessions = scored_cleaned(scored)
+    tiered = F.col("risk_tier").isNotNull()
+    decisions = decide(sessions.where(tiered), cfg)
     return {"decisions": decisions, "events": decision_events(decisions, entitlements, cfg),
-            "grants": lease_grants(decisions, entitlements, cfg)}
+            "grants": lease_grants(decisions, entitlements, cfg), "rejects": sessions.where(~tiered)}
 
 
 def quarantine_precision(decisions: DataFrame, labels: DataFrame) -> DataFrame:

@@ -145,16 +145,22 @@ def false_positive_rates(scored: DataFrame) -> DataFrame:
 BUCKETS_PER_POINT = 100
 
 
+def _rank_score(score: str) -> Column:
+    """The score to rank by: least of all where there is none."""
+    least = F.lit(float("-inf"))
+    return F.coalesce(F.nanvl(F.col(score).cast("double"), least), least)
+
+
 def score_curve(df: DataFrame, score: str = "risk_score", label: str = "is_malicious") -> DataFrame:
     """One row per distinct score, with rows and positives at and above it.
 
     A global running sum without a global sort: distinct scores are counted with map-side
     combine (so ties, however many, are one row), fall into at most 10,001 score buckets, and
     only the bucket totals pass through one ordered window; each bucket then runs its own.
+    Sessions without a score rank below all others, so a labelled one counts as a miss.
     """
     positive = F.sum(F.col(label).cast("bigint")).alias("pos")
-    steps = (df.where(F.col(score).isNotNull())
-             .groupBy(F.col(score).cast("double").alias("score")).agg(F.count("*").alias("n"), positive))
+    steps = df.groupBy(_rank_score(score).alias("score")).agg(F.count("*").alias("n"), positive)
     clipped = F.greatest(F.least(F.col("score"), F.lit(100.0)), F.lit(0.0))
     steps = steps.withColumn("bucket", F.floor(clipped * BUCKETS_PER_POINT).cast("int"))
     above = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -225,7 +231,7 @@ def topk_hits(df: DataFrame, shares: Sequence[float] = TOP_SHARES, score: str =
         elif k == at["n0"] + at["n"] or at["pos"] in (0, at["n"]):
             hits = at["p0"] + (min(k - at["n0"], at["pos"]) if at["pos"] in (0, at["n"]) else at["pos"])
         else:
-            hits = at["p0"] + _tie_hits(df.where(F.col(score) == F.lit(at["score"])), k - at["n0"], label, key)
+            hits = at["p0"] + _tie_hits(df.where(_rank_score(score) == F.lit(at["score"])), k - at["n0"], label, key)
         out.append({"share": part, "k": k, "n": n, "n_positive": pos, "hits": int(hits)})
     return out
 
@@ -259,12 +265,12 @@ def evaluation_report(df: DataFrame, score: str = "risk_score", label: str = "is
     cells = {}
     for r in topk_hits(df, TOP_SHARES, score, label, key):
         name = f"top{int(r['share'] * 100)}pct"
-        cells[f"recall_{name}"] = F.round(F.lit(r["hits"] / max(r["n_positive"], 1)), 3)
-        cells[f"precision_{name}"] = F.round(F.lit(r["hits"] / r["k"]), 3)
+        cells[f"recall_{name}"] = F.bround(F.lit(r["hits"] / max(r["n_positive"], 1)), 3)
+        cells[f"precision_{name}"] = F.bround(F.lit(r["hits"] / r["k"]), 3)
     rate = F.bround((F.col("n_sessions") - F.col("n_malicious_labeled"))
                     / F.greatest(F.col("n_malicious_labeled"), F.lit(1)))
     return metrics.select(
         "n_sessions", "n_malicious_labeled",
         F.concat(F.lit("1:"), rate.cast("bigint").cast("string")).alias("imbalance_ratio"),
-        F.round("roc_auc", 4).alias("roc_auc"), F.round("pr_auc", 4).alias("pr_auc"),
+        F.bround("roc_auc", 4).alias("roc_auc"), F.bround("pr_auc", 4).alias("pr_auc"),
         *[v.alias(k) for k, v in cells.items()])

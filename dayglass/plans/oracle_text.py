@@ -403,7 +403,7 @@ BODIES: dict[str, str] = {
         FROM (SELECT p.user_id, p.day, (p.max_value - r.m) / r.s AS z FROM peak p JOIN (
           SELECT role, avg(max_value) AS m, stddev_pop(max_value) AS s FROM peak WHERE split = 'train' GROUP BY role) r
           ON r.role = p.role)""",
-    "q_contributions": f"""SELECT {KEY}, place, feature, round(pct, 1) + 0.0 AS pct_contribution, round(z, 2) + 0.0 AS z_score,
+    "q_contributions": f"""SELECT {KEY}, place, feature, round_even(pct, 1) + 0.0 AS pct_contribution, round_even(z, 2) + 0.0 AS z_score,
         CAST(abs(z) > 15 AS BIGINT) AS z_capped_for_display,
         CASE WHEN z > 0 THEN 'above peer norm' ELSE 'below peer norm' END AS direction FROM contrib""",
     "q_role_counts": "SELECT role, count(*) AS n FROM dir GROUP BY role",
@@ -423,9 +423,9 @@ BODIES: dict[str, str] = {
         round(hits / k, 6) + 0.0 AS precision_at_k FROM topk""",
     "q_eval_report": """SELECT h.n AS n_sessions, CAST(h.p AS BIGINT) AS n_malicious_labeled,
           '1:' || CAST(round_even((h.n - h.p) / greatest(h.p, 1), 0) AS BIGINT) AS imbalance_ratio,
-          round(a.roc, 4) + 0.0 AS roc_auc, round(b.ap, 4) + 0.0 AS pr_auc, """ + ", ".join(
-        f"round((SELECT hits / greatest(p, 1) FROM topk WHERE round(share, 2) = 0.0{s}), 3) + 0.0 AS recall_top{s}pct, "
-        f"round((SELECT hits / k FROM topk WHERE round(share, 2) = 0.0{s}), 3) + 0.0 AS precision_top{s}pct" for s in (1, 2, 5)) + """
+          round_even(a.roc, 4) + 0.0 AS roc_auc, round_even(b.ap, 4) + 0.0 AS pr_auc, """ + ", ".join(
+        f"round_even((SELECT hits / greatest(p, 1) FROM topk WHERE round(share, 2) = 0.0{s}), 3) + 0.0 AS recall_top{s}pct, "
+        f"round_even((SELECT hits / k FROM topk WHERE round(share, 2) = 0.0{s}), 3) + 0.0 AS precision_top{s}pct" for s in (1, 2, 5)) + """
         FROM (SELECT count(*) AS n, sum(y) AS p FROM held) h, (
           SELECT (sum(y * r) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)) AS roc
           FROM (SELECT y, avg(rn) OVER (PARTITION BY s) AS r FROM (SELECT y, s, row_number() OVER (ORDER BY s) AS rn FROM held))) a, (
@@ -440,7 +440,7 @@ BODIES: dict[str, str] = {
         ORDER BY risk_score DESC, user_id, day LIMIT 15)""",
     "q_labelled_sessions": f"SELECT {SCORED}, scenario_id FROM scored WHERE is_malicious",
     "q_drilldown": f"""SELECT s.user_id, CAST(s.day AS VARCHAR) AS day, {_r('s.risk_score')}, s.risk_tier, c.place, c.feature,
-        round(c.pct, 1) + 0.0 AS pct_contribution, round(c.z, 2) + 0.0 AS z_score, CAST(abs(c.z) > 15 AS BIGINT) AS z_capped_for_display,
+        round_even(c.pct, 1) + 0.0 AS pct_contribution, round_even(c.z, 2) + 0.0 AS z_score, CAST(abs(c.z) > 15 AS BIGINT) AS z_capped_for_display,
         CASE WHEN c.z > 0 THEN 'above peer norm' ELSE 'below peer norm' END AS direction
         FROM scored s JOIN contrib c ON c.user_id = s.user_id AND c.day = s.day
         WHERE s.split = 'test' AND s.risk_tier <> 'Low' AND c.place < 4""",

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .schemas import AUDIT_SCHEMA
 
+BAD_LINE = "bad_line"
 LINE = sorted(f.name for f in AUDIT_SCHEMA.fields if f.name != "chain_id")
 
 
@@ -16,5 +18,9 @@ def write_audit(chained: DataFrame, folder: str) -> None:
 
 
 def read_audit(spark: SparkSession, folder: str) -> DataFrame:
-    """Read for verification; blank lines are skipped. Nothing but the log is needed."""
-    return spark.read.schema(AUDIT_SCHEMA).json(folder).select(*AUDIT_SCHEMA.names).where(F.col("seq").isNotNull())
+    """Read for verification; nothing but the log is needed. Blank lines are skipped. A line that
+    does not parse stays as a row with its text in `bad_line`, which `verify` flags."""
+    lines = spark.read.schema("value string, chain_id string").text(folder).where(F.trim("value") != "")
+    fields = StructType([f for f in AUDIT_SCHEMA.fields if f.name != "chain_id"] + [StructField(BAD_LINE, StringType())])
+    entry = F.from_json("value", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE})
+    return lines.select("chain_id", entry.alias("entry")).select("chain_id", "entry.*").select(*AUDIT_SCHEMA.names, BAD_LINE)

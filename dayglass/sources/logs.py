@@ -15,8 +15,8 @@ BAD_ROW = "_bad_row"
 
 def read_table(spark: SparkSession, path: str, schema: StructType, fmt: str = "csv",
                keep_bad_rows: bool = False) -> DataFrame:
-    """Read with a declared schema; nothing is ever inferred. CSV rows that do not parse are
-    dropped, or kept with their text in a `_bad_row` column when asked."""
+    """Read with a declared schema; nothing is ever inferred. CSV rows that do not parse or lack
+    their key go to `read_rejects`, or are kept with their text in a `_bad_row` column when asked."""
     if fmt != "csv":
         return spark.read.schema(schema).format(fmt).load(path)
     wide = StructType(schema.fields + [StructField(BAD_ROW, StringType(), True)])
@@ -25,9 +25,28 @@ def read_table(spark: SparkSession, path: str, schema: StructType, fmt: str = "c
             .csv(path))
     if keep_bad_rows:
         return rows
-    # the key column comes first in every schema; a row without its key is no use either
-    usable = F.col(BAD_ROW).isNull() & F.col(schema.names[0]).isNotNull()
-    return rows.where(usable).drop(BAD_ROW)
+    return rows.where(_usable(schema)).drop(BAD_ROW)
+
+
+def _usable(schema: StructType) -> Column:
+    """The key column comes first in every schema; a row without its key is no use either."""
+    return F.col(BAD_ROW).isNull() & F.col(schema.names[0]).isNotNull()
+
+
+def read_rejects(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """(reason, line) of the CSV rows that `read_table` leaves out; the line of a row without a
+    key is its parsed content as JSON."""
+    rows = read_table(spark, path, schema, keep_bad_rows=True).where(~_usable(schema))
+    unparsed = F.col(BAD_ROW).isNotNull()
+    return rows.select(F.when(unparsed, F.lit("unparsable")).otherwise(F.lit("no key")).alias("reason"),
+                       F.coalesce(F.col(BAD_ROW), F.to_json(F.struct(*schema.names))).alias("line"))
+
+
+def read_log_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, reason, line) of all rows that `read_logs` leaves out of CSV logs."""
+    return reduce(DataFrame.unionByName, [
+        read_rejects(spark, f"{folder}/{name}.csv", schema).select(F.lit(name).alias("source"), "reason", "line")
+        for name, schema in LOG_SCHEMAS.items()])
 
 
 def read_logs(spark: SparkSession, folder: str, fmt: str = "csv") -> dict[str, DataFrame]:
@@ -36,8 +55,11 @@ def read_logs(spark: SparkSession, folder: str, fmt: str = "csv") -> dict[str, D
 
 
 def read_directory(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    return (read_table(spark, path, DIRECTORY_SCHEMA, fmt)
-            .withColumnRenamed("user", "user_id").dropDuplicates(["user_id"]))
+    """One row per user: the latest hired, among those the greatest role."""
+    rows = read_table(spark, path, DIRECTORY_SCHEMA, fmt).withColumnRenamed("user", "user_id")
+    names = [c for c in rows.columns if c != "user_id"]
+    order = sorted(names, key=lambda c: ["hire_date", "role"].index(c) if c in ("hire_date", "role") else 2)
+    return rows.groupBy("user_id").agg(F.max(F.struct(*order)).alias("_row")).select("user_id", *[f"_row.{c}" for c in names])
 
 
 def read_answers(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:

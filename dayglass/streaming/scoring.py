@@ -21,11 +21,12 @@ def frozen_rarity(activity: DataFrame, counts: DataFrame, model: RiskModel) -> D
 
 
 def decide_stream(scored: DataFrame, entitlements: DataFrame, model: RiskModel, folder: str) -> DataStreamWriter:
-    """Decisions and audit events per micro-batch. A batch that is retried overwrites its own
-    output, so each lands exactly once."""
+    """Decisions, audit events and rejects (sessions without a score) per micro-batch. A batch
+    that is retried overwrites its own output, so each lands exactly once."""
 
     def write(batch: DataFrame, number: int) -> None:
         decisions = decide(batch.where("risk_score IS NOT NULL"), model.cfg)
+        batch.where("risk_score IS NULL").drop("top_features").write.mode("overwrite").parquet(f"{folder}/rejects/batch={number}")
         decisions.drop("top_features").write.mode("overwrite").parquet(f"{folder}/decisions/batch={number}")
         decision_events(decisions, entitlements, model.cfg).write.mode("overwrite").parquet(f"{folder}/events/batch={number}")
 

@@ -95,10 +95,30 @@ def test_file_round_trip(spark, chained, tmp_path):
     part.write_text("\n" + part.read_text() + "\n\n")  # blank lines are skipped
     (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
     again = audit_files.read_audit(spark, folder)
+    assert again.where("bad_line IS NOT NULL").count() == 0
+    again = again.drop("bad_line")
     assert again.exceptAll(chained.select(*again.columns)).count() == 0 and again.count() == chained.count()
     assert audit.verify(again).where("NOT ok").count() == 0
 
 
+@pytest.mark.parametrize("place", [0, 1, -1])
+def test_damaged_line_is_flagged(spark, chained, tmp_path, place):
+    folder = str(tmp_path / "log")
+    audit_files.write_audit(chained, folder)
+    part = next(p for p in sorted((tmp_path / "log").glob("chain_id=*/part-*.json")) if len(p.read_text().splitlines()) > 2)
+    lines = part.read_text().splitlines()
+    lines[place] = lines[place][:len(lines[place]) // 2]
+    part.write_text("\n".join(lines) + "\n")
+    (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    again = audit_files.read_audit(spark, folder)
+    assert [r.bad_line for r in again.where("bad_line IS NOT NULL").collect()] == [lines[place]]
+    bad = audit.verify(again).where("NOT ok").collect()
+    # the line itself, and the entry whose link leads to it, if there is one
+    assert sorted(r.error for r in bad) == (["unreadable"] if place == -1 else ["chain break", "unreadable"])
+    assert audit.verify_summary(audit.verify(again)).first().total == chained.count()
+    assert audit.verify_heads(again, audit.chain_heads(chained)).where("NOT ok").count() == int(place == -1)
+
+
 def test_search_and_pick(chained):
     hits = audit.search(chained, "STEPUP").collect()
     assert 0 < len(hits) <= 100 and all("stepup" in r.event_type for r in hits)
@@ -126,6 +146,23 @@ def test_csv_layout(spark, tmp_path):
     assert activity.count() == 4
     bad = logs.read_table(spark, str(tmp_path / "logon.csv"), LOG_SCHEMAS["logon"], keep_bad_rows=True)
     assert [bool(r[logs.BAD_ROW]) for r in bad.collect()] == [False, True]
+    rejects = logs.read_log_rejects(spark, str(tmp_path)).collect()
+    assert [(r.source, r.reason, r.line) for r in rejects] == [("logon", "unparsable", "not a date,ann,p1,Logon")]
+
+
+def test_rows_without_a_key_are_rejects(spark, tmp_path):
+    (tmp_path / "logon.csv").write_text("date,user,pc,activity\n,ann,p1,Logon\n2026-01-05 08:00:00,ann,p1,Logon\n")
+    (row,) = logs.read_rejects(spark, str(tmp_path / "logon.csv"), LOG_SCHEMAS["logon"]).collect()
+    assert row.reason == "no key" and json.loads(row.line)["user"] == "ann"
+
+
+def test_directory_keeps_the_latest_hired(spark, tmp_path):
+    body = "user,role,hire_date,is_night_shift\n"
+    rows = ["ann,DBA,2020-01-01 00:00:00,false", "ann,SOC,2021-01-01 00:00:00,true", "ann,DEV,2021-01-01 00:00:00,false", "bob,DBA,,false"]
+    for order in (rows, rows[::-1]):
+        (tmp_path / "d.csv").write_text(body + "\n".join(order) + "\n")
+        found = {r.user_id: (r.role, r.is_night_shift) for r in logs.read_directory(spark, str(tmp_path / "d.csv")).collect()}
+        assert found == {"ann": ("SOC", True), "bob": ("DBA", False)}
 
 
 def test_directory_and_answers(spark, tmp_path):

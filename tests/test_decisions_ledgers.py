@@ -77,6 +77,15 @@ def test_unknown_tier_is_an_error(scored, cfg, tier):
         decisions.decide(bad, cfg).collect()
 
 
+def test_policy_run_hands_back_unscored_sessions(scored, ent, cfg):
+    lost = F.col("user_id") == "u3"
+    mixed = scored.withColumn("risk_tier", F.when(~lost, F.col("risk_tier"))).withColumn(
+        "risk_score", F.when(lost, F.lit(float("nan"))).otherwise(F.col("risk_score")))
+    out = decisions.run_policy(mixed, ent, cfg)
+    assert [(r.user_id, r.risk_score) for r in out["rejects"].collect()] == [("u3", None)]
+    assert out["decisions"].count() == 119 and out["events"].where("user_id = 'u3'").count() == 0
+
+
 def test_precision(scored, cfg, spark):
     made = decisions.decide(scored, cfg, forced=F.lit(False))
     row = decisions.quarantine_precision(made, scored).first()

@@ -56,6 +56,23 @@ def test_one_tie_group_holds_everything(spark):
         assert r["hits"] == sum(order[:r["k"]])
 
 
+def test_unscored_sessions_count_as_misses(spark):
+    pairs = [(100.0 - u, u < 5) for u in range(100)]
+    scored = table(spark, pairs)
+    for none in ("NULL", "'NaN'"):
+        lost = scored.limit(5).selectExpr("user_id + 1000 AS user_id", "day", "split", "true AS is_malicious", f"CAST({none} AS DOUBLE) AS risk_score")
+        row = stats.evaluation_report(scored.unionByName(lost)).first()
+        assert (row.n_sessions, row.n_malicious_labeled) == (105, 10)
+        assert row.recall_top5pct == 0.5 and row.precision_top5pct == 1.0
+        assert row.roc_auc == 0.5
+
+
+def test_half_even_rounding(spark):
+    # one positive among 16 rows at the cut: 1/16 = 0.0625
+    pairs = [(100.0, u == 0) for u in range(16)] + [(0.0, False)] * 304
+    assert stats.evaluation_report(table(spark, pairs)).first().precision_top5pct == 0.062
+
+
 def test_no_positives(spark):
     row = stats.evaluation_report(table(spark, [(1.0, False), (2.0, False), (3.0, False)])).first()
     assert row.roc_auc is None and row.pr_auc is None
