@@ -10,9 +10,11 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from dayglass.llm import (
     chat_format, components, fingerprints, jaccard_join, lm_scores, mixing, pieces, quality_rules, secret_scans, toxicity, url_filters,
 )
+from dayglass.session import materialize
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -518,3 +520,55 @@ def test_next_document_over_many_ranges(spark, odd, none):
     one = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     assert fingerprints.with_next(one).first().next_text == "a b c d e f"
     assert fingerprints.fingerprint(odd).count() == len(ODD)
+
+
+# ---- the pipeline
+def merged_spans(text):
+    """Text with every found secret, overlapping ones as one, replaced by the mark."""
+    spans = sorted((m.start(), m.end()) for _, _, pattern, group, least in secret_scans.RULES
+                   for m in re.finditer(pattern, text) if len(m[group]) >= least)
+    out, at = [], 0
+    for a, b in spans:
+        if a >= at:
+            out += [text[at:a], secret_scans.MARK]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def test_pipeline_equals_brute_force(spark, docs):
+    """Each stage on what its predecessor kept: the model's verdicts are taken as they are (their
+    accuracy is tested above), groups, secrets, order and pieces are computed plainly."""
+    folder, text_of = {}, {r.doc_id: r.text or "" for r in docs.collect()}
+    current = docs
+    for name, stage in corpus_pipeline.STAGES:
+        current = materialize(stage(spark, current, SF), f"test-{name}")
+        folder[name] = current.collect()
+    toxic = {r.doc_id for r in toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))).where("predicted = 1").collect()}
+    kept = {d: t for d, t in text_of.items() if d not in toxic}
+    assert {r.doc_id: r.text or "" for r in folder["toxicity"]} == kept
+
+    rows = list(kept.items())
+    classes = brute_links(rows)[1]
+    alone = {d for (d, t), c in zip(rows, classes) if d == c or not brute_sets(t)}
+    assert sorted(r.doc_id for r in folder["ngram_jaccard_join"]) == sorted(alone)
+
+    redacted = {d: merged_spans(kept[d]) for d in alone}
+    for name in ("secret_scans", "mixing"):  # the mixture drops and repeats none
+        assert Counter((r.doc_id, r.text or "", r.n_chars) for r in folder[name]) == Counter((d, t, len(t)) for d, t in redacted.items())
+
+    encoder = pieces.Encoder(pieces.load_vocabulary())
+    assert {r.doc_id: r.ids for r in folder["sentencepiece"]} == {d: list(encoder.encode(t)[0]) for d, t in redacted.items()}
+    whole = corpus_pipeline.run(spark, SF).collect()
+    assert sorted((r.doc_id, tuple(r.ids)) for r in whole) == sorted((r.doc_id, tuple(r.ids)) for r in folder["sentencepiece"])
+
+
+def test_pipeline_stages_keep_odd_rows(spark, odd, none):
+    """Null columns, empty and long texts, repeated rows, clashing names and an empty table pass
+    through every stage; only the repeated row goes, as a copy."""
+    for frame, expected in ((odd, len(ODD) - 1), (none, 0)):
+        current = frame
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            current = materialize(stage(spark, current, SF), f"odd-{name}")
+            assert current.count() == (expected if k else frame.count()), name
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert current.columns == corpus_pipeline.COLUMNS
