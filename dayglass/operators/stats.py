@@ -134,10 +134,11 @@ def tier_counts(scored: DataFrame, cfg: EngineConfig) -> DataFrame:
 
 
 def false_positive_rates(scored: DataFrame) -> DataFrame:
-    """Share of benign sessions called High or above, and Medium or above, per split."""
+    """Share of sessions called High or above, and Medium or above, per split: of all training
+    sessions, and of the benign held-out ones."""
     high = F.avg(F.when(F.col("risk_tier").isin("High", "Critical"), 1.0).otherwise(0.0))
     medium = F.avg(F.when(F.col("risk_tier").isin("Medium", "High", "Critical"), 1.0).otherwise(0.0))
-    return (scored.where(~F.col("is_malicious")).groupBy("split")
+    return (scored.where((F.col("split") == "train") | ~F.col("is_malicious")).groupBy("split")
             .agg(F.count("*").alias("n"), high.alias("fpr_high"), medium.alias("fpr_medium")))
 
 

@@ -414,7 +414,7 @@ BODIES: dict[str, str] = {
     "q_action_counts": "SELECT action, count(*) AS n FROM dec GROUP BY action",
     "q_fpr": """SELECT split, count(*) AS n, round(avg(CASE WHEN risk_tier IN ('High', 'Critical') THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS fpr_high,
         round(avg(CASE WHEN risk_tier <> 'Low' THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS fpr_medium
-        FROM scored WHERE NOT is_malicious GROUP BY split""",
+        FROM scored WHERE split = 'train' OR NOT is_malicious GROUP BY split""",
     "q_score_curve": f"SELECT {_r('score')}, n, CAST(pos AS BIGINT) AS pos, CAST(cum_n AS BIGINT) AS cum_n, CAST(cum_pos AS BIGINT) AS cum_pos FROM curve",
     "q_roc_auc": """SELECT round((sum(y * r) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 6) + 0.0 AS roc_auc
         FROM (SELECT y, avg(rn) OVER (PARTITION BY s) AS r FROM (SELECT y, s, row_number() OVER (ORDER BY s) AS rn FROM held))""",

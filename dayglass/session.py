@@ -16,8 +16,9 @@ TUNING = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the performance settings to a session made elsewhere, unless it has its own."""
+    own = spark.conf.getAll  # settings of start-up and of run time, without defaults
     for key, value in TUNING.items():
-        if key not in dict(spark.sparkContext.getConf().getAll()):
+        if key not in own:
             spark.conf.set(key, value)
     return spark
 

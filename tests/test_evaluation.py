@@ -7,6 +7,7 @@ import random
 import pytest
 
 from dayglass.operators import stats
+from dayglass.session import TUNING, tune
 
 DAY = dt.date(2024, 1, 20)
 
@@ -88,3 +89,21 @@ def test_empty_tiers_are_kept(spark, cfg):
     df = table(spark, [(1.0, False), (50.0, True)]).withColumn("risk_tier", risk_tier(F.col("risk_score"), cfg))
     got = {r.risk_tier: r.n for r in stats.tier_counts(df, cfg).collect()}
     assert got == {"Low": 1, "Medium": 1, "High": 0, "Critical": 0}
+
+
+def test_train_rate_counts_all_sessions_and_the_held_out_rate_benign_ones(spark):
+    rows = [("train", True, "High"), ("train", False, "Low"), ("test", True, "High"), ("test", False, "Medium"), ("test", False, "Low")]
+    got = {r.split: (r.n, r.fpr_high, r.fpr_medium) for r in stats.false_positive_rates(
+        spark.createDataFrame(rows, "split string, is_malicious boolean, risk_tier string")).collect()}
+    assert got == {"train": (2, 0.5, 0.5), "test": (2, 0.0, 0.5)}
+
+
+def test_tune_leaves_settings_of_the_session_alone(spark):
+    key, before = "spark.sql.codegen.hugeMethodLimit", spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    try:
+        spark.conf.set(key, "12345")
+        assert tune(spark).conf.get(key) == "12345"
+        spark.conf.unset(key)
+        assert tune(spark).conf.get(key) == TUNING[key]
+    finally:
+        spark.conf.set(key, before)
