@@ -10,8 +10,9 @@ level by level from order 0 up, as joins of the trie's levels.
 
 Documents are dealt into blocks of about `BLOCK_CHARS` characters. Each block states the distinct
 windows and words it needs and adds what its training texts count; the counts are summed over
-all blocks, and each block gets back the values of its own windows and words alone. Nothing of
-corpus size is broadcast, and a task holds one block.
+all blocks, and each block gets back the values of its own windows and words alone, as sorted
+rows ahead of its texts. Nothing of corpus size is broadcast, and a task holds the values of one
+block and a batch of texts.
 
 A text is its bytes with A-Z lower-cased, after `ORDER` start bytes and before one end byte. The
 score is the log10 probability of the whole; the base score is that of add-one word counts.
@@ -31,14 +32,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import materialize
-from .common import id_remainder, table, whole_text
+from .common import id_remainder, map_columns, table, whole_text
 
-ORDER = 4
+ORDER = 5
 BLOCK_CHARS = 12_000_000
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never holds
 HELD_OUT, HELD_OUT_IS = 7, 2
 STATE = "block int, gram long, word binary, n long"
-SLICE_WINDOWS = 1 << 20
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
+IS_WORD, IS_GRAM, IS_TRAINED, IS_HELD_OUT = range(4)  # kinds of rows, in the order in which a block is read
+SLICE_WINDOWS, OUT_ROWS = 1 << 20, 1 << 15
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +63,7 @@ def slices(block: pa.Table):
     for part in np.split(np.arange(len(ends)), np.flatnonzero(np.diff(number)) + 1):
         if len(part):
             rows = block.slice(part[0], len(part))
-            yield rows, [x.encode().lower() for x in rows["text"].to_pylist()]
+            yield rows, [x.lower() for x in rows["text"].to_pylist()]
 
 
 def merged(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,11 +90,12 @@ def block_state(block: pa.Table) -> pa.Table:
         words.setdefault(word, 0)
     keys, times = merged(grams, counts)
     number, n, m = block["block"][0].as_py(), len(keys), len(words)
-    return pa.table({
+    state = pa.table({
         "block": pa.array(np.full(n + m, number, np.int32)),
         "gram": pa.concat_arrays([pa.array(keys), pa.nulls(m, pa.int64())]),
         "word": pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(list(words), pa.binary())]),
         "n": pa.array(np.concatenate([times, np.fromiter(words.values(), np.int64, m)]))})
+    return pa.Table.from_batches(state.to_batches(max_chunksize=OUT_ROWS))  # else the JVM gets the block as one batch
 
 
 def in_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -99,7 +103,8 @@ def in_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), (id_remainder(HELD_OUT) != HELD_OUT_IS).alias("train"))
     chars = rows.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     dealt = F.xxhash64("doc_id", F.substring("text", 1, 100))
-    return rows.withColumn("block", F.pmod(dealt, F.lit(max(1, -(-chars // block_chars)))).cast("int"))
+    rows = rows.withColumn("block", F.pmod(dealt, F.lit(max(1, -(-chars // block_chars)))).cast("int"))
+    return rows.withColumn("text", F.col("text").cast("binary"))
 
 
 def trie_level(counts: DataFrame, size: int, shorter: DataFrame | None) -> DataFrame:
@@ -109,7 +114,10 @@ def trie_level(counts: DataFrame, size: int, shorter: DataFrame | None) -> DataF
     `seen_shorter` sums the counts, one level below, of the bytes seen in this context: what an
     escape excludes there.
     """
-    rows = counts.groupBy(F.col("gram").bitwiseAND((1 << 8 * size) - 1).alias("w")).agg(F.sum("c").alias("c"))
+    if size > ORDER:  # whole windows, counted already
+        rows = counts.select(F.col("gram").alias("w"), "c")
+    else:
+        rows = counts.groupBy(F.col("gram").bitwiseAND((1 << 8 * size) - 1).alias("w")).agg(F.sum("c").alias("c"))
     if shorter is None:
         rows = rows.withColumns({"c_s": F.lit(0).cast("long"), "n_s": F.lit(0).cast("long"), "d_s": F.lit(256).cast("long"),
                                  "after_s": F.lit(0.0), "fresh_s": F.lit(1 / 256)})
@@ -136,21 +144,15 @@ def window_scores(state: DataFrame) -> DataFrame:
     counts = materialize(state.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("c")), "ppm-counts")
     level = None
     for size in range(1, ORDER + 2):
-        level = materialize(trie_level(counts, size, level), "ppm-level")
-    return level.select(F.col("w").alias("gram"), F.log10("fresh").cast("float").alias("lp"))
-
-
-def score_block(docs: pa.Table, needed: pa.Table, total: int, distinct: int) -> pa.Table:
-    grams, words = needed.filter(needed["gram"].is_valid()), needed.filter(needed["word"].is_valid())
-    keys, values = grams["gram"].to_numpy(), grams["lp"].to_numpy()
-    order = np.argsort(keys)
-    keys, values = keys[order], values[order]
-    count_of = dict(zip(words["word"].to_pylist(), words["c"].to_pylist()))
-    del needed, grams, words, order
-    out = []
+        level = trie_level(counts, size, level)
+        level = level if size > ORDER else materialize(level, "ppm-level")  # the last one is read once
+    return level.select(F.col("w").alias("gram"), F.log10("fresh").alias("lp"))
+
+
+def score_texts(docs: pa.Table, keys: np.ndarray, values: np.ndarray, count_of: dict[bytes, int], total: int, distinct: int):
     for rows, texts in slices(docs):
         packed, starts = windows(texts)
-        scores = np.add.reduceat(values[np.searchsorted(keys, packed)].astype(np.float64), starts)
+        scores = np.add.reduceat(values[np.searchsorted(keys, packed)], starts)
         base, n_tokens, n_known = [], [], []
         for text in texts:
             found = text.split()
@@ -159,11 +161,31 @@ def score_block(docs: pa.Table, needed: pa.Table, total: int, distinct: int) ->
             n_tokens.append(len(found))
             n_known.append(int(np.count_nonzero(c)))
             base.append(float(np.log10((c + 1) / (total + distinct + 1)).sum()))
-        out.append(pa.table({
-            "doc_id": rows["doc_id"], "held_out": pc.invert(rows["train"]), "n_tokens": pa.array(n_tokens, pa.int64()),
-            "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([total] * len(texts), pa.int64()),
-            "base_score": pa.array(base, pa.float64()), "score": pa.array(scores), "n_bytes": pa.array([len(x) for x in texts], pa.int64())}))
-    return pa.concat_tables(out)
+        yield [rows["number"].combine_chunks(), pc.equal(rows["kind"], IS_HELD_OUT).combine_chunks(), n_tokens, n_known, [total] * len(texts), base, scores,
+               [len(x) for x in texts]]
+
+
+def score_stream(batches, total: int, distinct: int):
+    """Scores of the texts in rows ordered by block, kind and number: a block's words and windows
+    come before its texts and are kept until the next block."""
+    block, keys, values, count_of = None, [], [], {}
+    for batch in batches:
+        whole = pa.Table.from_batches([batch])
+        place = whole["block"].to_numpy().astype(np.int64) * 4 + whole["kind"].to_numpy()
+        for at in np.split(np.arange(len(place)), np.flatnonzero(np.diff(place)) + 1):
+            if not len(at):
+                continue
+            rows, (number, kind) = whole.slice(at[0], len(at)), divmod(int(place[at[0]]), 4)
+            if number != block:
+                block, keys, values, count_of = number, [], [], {}
+            if kind == IS_WORD:
+                count_of.update(zip(rows["text"].to_pylist(), rows["number"].to_pylist()))
+            elif kind == IS_GRAM:
+                keys.append(rows["number"].to_numpy())
+                values.append(rows["lp"].to_numpy())
+            else:
+                keys, values = [np.concatenate(keys)], [np.concatenate(values)]
+                yield from score_texts(rows, keys[0], values[0], count_of, total, distinct)
 
 
 def score(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -176,14 +198,13 @@ def score(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     words = materialize(words, "ppm-words")
     total, distinct = words.where("first AND c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     needed_grams = state.where("gram IS NOT NULL").select("block", "gram").join(window_scores(state), "gram")
-    needed = needed_grams.select("block", "gram", "lp", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c")).unionByName(
-        words.select("block", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("float").alias("lp"), "word", "c"))
-
-    def run(docs_of_block: pa.Table, needed_of_block: pa.Table) -> pa.Table:
-        return score_block(docs_of_block, needed_of_block, total, distinct)
-
-    return blocks.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(
-        run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
+    no_value, nothing = F.lit(None).cast("double"), F.lit(None).cast("binary")
+    rows = words.select("block", F.lit(IS_WORD).alias("kind"), F.col("c").alias("number"), no_value.alias("lp"), F.col("word").alias("text"))
+    rows = rows.unionByName(needed_grams.select("block", F.lit(IS_GRAM).alias("kind"), F.col("gram").alias("number"), "lp", nothing.alias("text")))
+    kind = F.when(F.col("train"), IS_TRAINED).otherwise(IS_HELD_OUT)
+    rows = rows.unionByName(blocks.select("block", kind.alias("kind"), F.col("doc_id").alias("number"), no_value.alias("lp"), "text"))
+    ordered = rows.repartition("block").sortWithinPartitions("block", "kind", "number")
+    return map_columns(ordered, RESULT, lambda batches: score_stream(batches, total, distinct))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

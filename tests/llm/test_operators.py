@@ -260,6 +260,20 @@ def test_ppm_equals_brute_force(spark, odd):
             assert got[i].held_out == held(i) and (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(tokens), sum(counts[w] > 0 for w in tokens), n)
             assert math.isclose(got[i].base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens), abs_tol=1e-9)
             assert math.isclose(got[i].score, brute_ppm(train, lower(t)), rel_tol=1e-6), (t, got[i].score, brute_ppm(train, lower(t)))
+            assert math.isclose(got[i].score, brute_ppm(train, lower(t)), abs_tol=1e-6), (t, got[i].score, brute_ppm(train, lower(t)))
+
+
+def test_ppm_beats_word_counts(spark):
+    rows = lm_scores.query(spark, "/root/testdata/sf0.1").where("held_out").collect()
+    assert lm_scores.ORDER == 5 and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_ppm_keeps_doubles_over_long_texts(spark):
+    texts = ["".join(random.Random(i).choices("abcdefg ", k=6000)) for i in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = [lower(t) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    for r in lm_scores.score(docs, 20_000).collect():
+        assert math.isclose(r.score, brute_ppm(train, lower(texts[r.doc_id])), rel_tol=1e-11)
 
 
 def test_ppm_bits_a_byte_and_handles_odd_rows(spark, odd, none):
