@@ -2,11 +2,14 @@
 
 A text's words are hashed; `K` consecutive words are a k-mer, `S` of them an inner s-mer. A k-mer
 is an anchor if its least s-mer is its first or last one, which depends on its own words alone:
-an edit elsewhere moves no anchor. A fingerprint is the `SKETCH` least anchor hashes (all, where
-there are fewer), so equal texts have equal ones and the likeness of two texts (Dice's, from the
-share of common hashes among the least of their union) can be read from them.
+an edit elsewhere moves no anchor. A fingerprint is all distinct anchor hashes of the text in
+order, so equal texts have equal ones, and the likeness of two texts is Dice's of the whole sets.
 
-Every step is linear in the text: words are hashed once and windows are read by position.
+Common anchors are also matched by position: the n-th occurrence of a hash in one text goes with
+the n-th in the other. The commonest difference of their positions is the `shift` (of equally
+common ones the least in size, then the negative one), and `aligned` of the `matched` pairs have it.
+
+Words are hashed once, windows are read by position, and anchors are matched by sorting them.
 
 The edited text takes its second half from the next document by descending id. Documents are cut
 into id ranges, each ordered on its own, and the first of a range looks into the next range
@@ -19,12 +22,15 @@ equal ids follow each other by digest of their text; the one row of a table is i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import materialize
 from .common import WHITE, let, table, whole_text
 
-K, S, SKETCH = 4, 2, 128
+K, S = 4, 2
+SKETCH = None  # hashes that a fingerprint is cut to: none are cut
 RANGE_DOCS = 4096  # documents in an id range, about
 
 
@@ -53,31 +59,72 @@ def anchors(hashes: Column, k: int = K, s: int = S) -> Column:
         F.transform(windows(h, s), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(s)))), lambda inner: chosen(h, inner))))
 
 
-def sketch(text: Column, size: int = SKETCH) -> Column:
-    """The least anchor hashes, sorted."""
-    return let(F.array_distinct(F.transform(anchors(word_hashes(text)), lambda a: a["hash"])), lambda h: F.slice(F.sort_array(h), 1, size))
+def text_anchors(text: Column) -> Column:
+    return anchors(word_hashes(text))
+
+
+def distinct_hashes(found: Column) -> Column:
+    """The hashes of all anchors, each once, sorted."""
+    return F.sort_array(F.array_distinct(F.transform(found, lambda a: a["hash"])))
+
+
+def written(hashes: Column) -> Column:
+    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), 16, "0")), "")
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Dice's likeness of two sets of hashes."""
+    both = 2 * F.size(F.array_intersect(a, b)) / F.greatest(F.size(a) + F.size(b), F.lit(1))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both)
+
+
+def runs(sorted_: Column, key: Callable[[Column], Column]) -> Column:
+    """(start, length) of the runs of equal keys in a sorted array."""
+    n = F.size(sorted_)
+    indices = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(indices, lambda i: (i == 0) | (key(F.get(sorted_, i - 1)) != key(F.get(sorted_, i))))
+    return let(starts, lambda at: F.transform(at, lambda i, j: F.struct(
+        i.alias("start"), (F.coalesce(F.get(at, j + 1), n) - i).alias("length"))))
+
+
+def occurrences(found: Column, side: int) -> Column:
+    """(hash, number of the occurrence, side, position) of every anchor."""
+    def numbered(s: Column) -> Column:
+        return F.flatten(F.transform(runs(s, lambda x: x["hash"]), lambda r: F.transform(
+            F.sequence(F.lit(0), r["length"] - 1), lambda k: F.struct(
+                F.get(s, r["start"] + k)["hash"].alias("hash"), k.alias("number"), F.lit(side).alias("side"),
+                F.get(s, r["start"] + k)["position"].alias("position")))))
+
+    return let(F.sort_array(F.transform(found, lambda a: F.struct(a["hash"].alias("hash"), a["position"].alias("position")))), numbered)
+
+
+def matches(a: Column, b: Column) -> Column:
+    """(position, other) of the anchors that two texts have in common, ordered by hash."""
+    def pairs(s: Column) -> Column:
+        first = F.transform(F.filter(runs(s, lambda x: F.struct(x["hash"], x["number"])), lambda r: r["length"] == 2), lambda r: r["start"])
+        return F.transform(first, lambda i: F.struct(F.get(s, i)["position"].alias("position"), F.get(s, i + 1)["position"].alias("other")))
 
+    return let(F.sort_array(F.concat(occurrences(a, 0), occurrences(b, 1))), pairs)
 
-def written(sketch_: Column) -> Column:
-    return F.array_join(F.transform(sketch_, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
+def alignment(pairs: Column) -> Column:
+    """matched, shift and aligned of matched positions; shift is null without any."""
+    def best(shifts: Column) -> Column:
+        found = F.array_max(F.transform(runs(shifts, lambda x: x), lambda r: F.struct(
+            r["length"].alias("n"), (-F.abs(F.get(shifts, r["start"]))).alias("near"), (-F.get(shifts, r["start"])).alias("back"))))
+        return F.struct(F.size(shifts).alias("matched"), (-found["back"]).alias("shift"), F.coalesce(found["n"], F.lit(0)).alias("aligned"))
 
-def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
-    """Dice's likeness of the anchor sets behind two sketches."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    both = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    share = both / F.greatest(F.size(union), F.lit(1))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(2 * share / (1 + share))
+    return let(F.sort_array(F.transform(pairs, lambda p: p["other"] - p["position"])), best)
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """`docs` with n_chars, sketch and fingerprint of the whole text."""
-    docs = docs.withColumn("sketch", sketch(whole_text()))
-    return docs.withColumns({"n_chars": F.char_length(whole_text()).cast("long"), "fingerprint": written(F.col("sketch"))})
+    """`docs` with n_chars, anchors and fingerprint of the whole text."""
+    docs = docs.withColumn("anchors", text_anchors(whole_text()))
+    return docs.withColumns({"n_chars": F.char_length(whole_text()).cast("long"), "fingerprint": written(distinct_hashes(F.col("anchors")))})
 
 
 def with_next(docs: DataFrame, range_docs: int = RANGE_DOCS) -> DataFrame:
-    """`docs` (doc_id, text) with sketch, and text and sketch of the next document."""
+    """`docs` (doc_id, text) with the text of the next document."""
     docs = docs.select("doc_id", whole_text().alias("text")).withColumn("_tie", F.md5("text"))
     keys = materialize(docs.select("doc_id", "_tie"), "next-keys")
     n_ranges = min(2000, -(-keys.count() // range_docs))
@@ -95,9 +142,9 @@ def with_next(docs: DataFrame, range_docs: int = RANGE_DOCS) -> DataFrame:
         F.col("doc_id").alias("_id"), F.col("_tie").alias("_t"), F.col("_range"))
     heads = docs.join(F.broadcast(looked), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t"))).drop("_id", "_t")
     heads = heads.dropDuplicates(["_range"]).withColumn("_copy", F.lit(True))
-    rows = docs.withColumns({"_range": in_range, "_copy": F.lit(False)}).unionByName(heads).withColumn("sketch", sketch(F.col("text")))
+    rows = docs.withColumns({"_range": in_range, "_copy": F.lit(False)}).unionByName(heads)
     within = W.partitionBy("_range").orderBy("_copy", *order)
-    return rows.withColumns({f"next_{c}": F.lead(c).over(within) for c in ("text", "sketch")}).where(~F.col("_copy")).drop("_range", "_copy", "_tie")
+    return rows.withColumn("next_text", F.lead("text").over(within)).where(~F.col("_copy")).drop("_range", "_copy", "_tie")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -109,9 +156,13 @@ def edited(text: Column, following: Column) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_next(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    texts = {"own": "text", "edited": "edited", "next": "next_text"}
     rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-                       "sketch", "next_sketch", sketch(F.col("edited")).alias("edited_sketch"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", written(F.col("sketch")).alias("fingerprint"),
-                       written(F.col("edited_sketch")).alias("edited_fingerprint"),
-                       likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-                       likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+                       *(text_anchors(F.col(c)).alias(f"{k}_anchors") for k, c in texts.items()))
+    rows = rows.withColumns({f"{k}_hashes": distinct_hashes(F.col(f"{k}_anchors")) for k in texts})
+    rows = rows.withColumns({f"{k}_match": alignment(matches(F.col("own_anchors"), F.col(f"{k}_anchors"))) for k in ("edited", "next")})
+    return rows.select("doc_id", "n_chars", "edited_sha256", written(F.col("own_hashes")).alias("fingerprint"),
+                       written(F.col("edited_hashes")).alias("edited_fingerprint"),
+                       likeness(F.col("own_hashes"), F.col("edited_hashes")).alias("near_edited"),
+                       likeness(F.col("own_hashes"), F.col("next_hashes")).alias("near_next"),
+                       *(F.col(f"{k}_match")[c].alias(f"{c}_{k}") for k in ("edited", "next") for c in ("matched", "shift", "aligned")))

@@ -521,6 +521,45 @@ def test_fingerprints_equal_brute_force(spark, docs, odd):
             assert math.isclose(value, 1.0 if not a and not other else 2 * j / (1 + j), abs_tol=1e-12)
 
 
+def test_fingerprints_of_long_texts_keep_every_anchor(spark, tmp_path):
+    """The whole sets and the positions, also where texts differ in a few words of thousands, share
+    one passage at another place, or repeat a line."""
+    rng = random.Random(5)
+    long = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(6000)]
+    passage = ["".join(rng.choices("ijklmnop", k=6)) for _ in range(50)]
+    other = ["".join(rng.choices("qrstuvwx", k=6)) for _ in range(6000)]
+    shifted = other[:700] + passage + other[750:]
+    texts = [" ".join(t) for t in (long[:900] + passage + long[950:], shifted, other, [*other[:5990], "changed", *other[5991:]], ["one", "two", "three", "four", "five"] * 40, [])]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def placed(text):  # positions of each hash
+        h, out = words(text), defaultdict(list)
+        for i in range(max(1, len(h) - fingerprints.K + 1)):
+            own = brute_anchors(" ".join(h[i:i + fingerprints.K])) if h else []
+            if own:
+                out[own[0]].append(i)
+        return out
+
+    prints = set()
+    for r in fingerprints.query(spark, str(tmp_path)).collect():
+        following = texts[(r.doc_id - 1) % len(texts)]
+        half = len(texts[r.doc_id]) // 2
+        a, changed = placed(texts[r.doc_id]), texts[r.doc_id][:len(texts[r.doc_id]) - half] + following[:half]
+        assert sorted(a) == sorted(set(brute_anchors(texts[r.doc_id]))) and len(r.fingerprint) == 16 * len(a)
+        prints.add(r.fingerprint)
+        for text, near, matched, shift, aligned in ((changed, r.near_edited, r.matched_edited, r.shift_edited, r.aligned_edited),
+                                                     (following, r.near_next, r.matched_next, r.shift_next, r.aligned_next)):
+            b = placed(text)
+            assert math.isclose(near, 2 * len(set(a) & set(b)) / (len(a) + len(b)) if a or b else 1.0, abs_tol=1e-12)
+            shifts = Counter(y - x for h in set(a) & set(b) for x, y in zip(a[h], b[h]))
+            best = max(shifts.items(), key=lambda s: (s[1], -abs(s[0]), -s[0]), default=(None, 0))
+            assert (matched, shift, aligned) == (sum(shifts.values()), *best)
+        if r.doc_id == 1:
+            assert r.near_next > 0 and r.shift_next == 200 and r.aligned_next > 10
+    assert len(prints) == len(texts)
+
+
 def test_next_document_over_many_ranges(spark, odd, none):
     rows = [(i * 7 % 1000, f"text {i}") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
