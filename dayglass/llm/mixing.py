@@ -1,19 +1,24 @@
 """Mixing sources to target weights by Pfair scheduling; DataFrame operations only.
 
-Each source is cut into blocks of `block_docs` documents, in an order drawn by hash. With integer
-shares (`parts` in all) block i of a source with share s is released at slot floor((i-1)·parts/s)
-and due by slot ceil(i·parts/s); the earliest due among the released blocks takes each slot. After
-t slots a source has had t·s/parts blocks, off by less than one. The schedule repeats every
-`parts` slots, so one period (a fold over `parts` slots in one row) places every block by
-arithmetic. No document is dropped or repeated: a source that has run dry leaves its slots empty,
-and the others keep their proportions. `stop="first"` ends the mixture at the slot where the
-first source runs dry, where the whole of it has the target weights.
+Each source is cut into blocks of `block_docs` documents, in an order drawn by hash. Block i of a
+source with weight w (of 1 in all) is released at slot floor((i-1)/w) and due by slot ceil(i/w);
+the earliest due among the released blocks takes each slot. After t slots a source has had t·w
+blocks, off by less than one, up to the slot where the first source runs dry. The fold over these
+slots is one row's work and holds an integer a slot, that is one for `block_docs` documents. Then
+no order has the target weights any more, and the blocks left follow by their due slots. No
+document is dropped or repeated; `stop="first"` ends the mixture where the first source runs dry.
+
+With `parts`, weights are rounded to integer shares s of `parts`, and one period of as many slots
+repeats, so that only one period is folded. The deviation is then below one block from s/parts,
+not from the weight: the rounding adds up to t/parts blocks after t slots (more where sources below
+one part are raised to one), a source that has run dry leaves its slots empty, and more than
+`parts` sources are an error. The registered query and its SQL are of this kind.
 
 A hot source is cut by hash into `buckets` ranges, which are numbered apart and then offset by
 the counts of the ranges before, so no source is ordered in one task.
 
 Defined results: null sources are one source of their own; sources without a target get none
-of the mixture unless `weights` is None (shares by the square root of the sources' sizes);
+of the mixture unless `other` gives them one or `weights` is None (weights by the square root of the sources' sizes);
 null ids and ties are ordered by id and text digest, so repeated rows keep all copies; an empty
 table gives an empty result; columns named like the results are replaced.
 """
@@ -26,7 +31,9 @@ from ..session import materialize
 from .common import let, table
 
 PARTS, BLOCK_DOCS, BUCKETS = 1000, 32, 4096
+FOLD = 1000  # slots that are appended to one array
 KEY, RANK = "_source", "_hash"
+HELPERS = (KEY, RANK, "_bucket", "_within", "_before", "_place")
 
 
 def draw(docs: DataFrame) -> DataFrame:
@@ -40,18 +47,22 @@ def source_sizes(drawn: DataFrame) -> DataFrame:
     return drawn.groupBy(KEY).agg(F.count("*").alias("_n"))
 
 
-def shares(sizes: DataFrame, weights: dict[str | None, float] | None, parts: int) -> DataFrame:
+def weighed(sizes: DataFrame, weights: dict[str | None, float] | None, other: float | None) -> DataFrame:
+    """`sizes` of the sources that have a target, with _w; `other` is the weight of unnamed ones."""
+    if weights is None:
+        return sizes.withColumn("_w", F.sqrt("_n"))
+    pairs = [F.struct(F.lit("" if s is None else f"={s}").alias("k"), F.lit(float(w)).alias("w")) for s, w in weights.items()]
+    found = F.filter(F.array(*pairs), lambda p: p["k"] == F.col(KEY)) if pairs else None
+    unnamed = F.lit(other).cast("double")
+    return sizes.withColumn("_w", unnamed if found is None else F.coalesce(F.get(found, F.lit(0))["w"], unnamed)).where("_w > 0")
+
+
+def shares(sizes: DataFrame, parts: int) -> DataFrame:
     """One row of all sources: entries = array of (key, share), the shares adding up to `parts`.
 
     By largest remainder, ties by name; where a source would get less than one part, each gets one
     first and the rest is shared out.
     """
-    if weights is None:
-        sizes = sizes.withColumn("_w", F.sqrt("_n"))
-    else:
-        pairs = [F.struct(F.lit("" if s is None else f"={s}").alias("k"), F.lit(float(w)).alias("w")) for s, w in weights.items() if w > 0]
-        found = F.filter(F.array(*pairs), lambda p: p["k"] == F.col(KEY)) if pairs else F.array()
-        sizes = sizes.withColumn("_w", F.get(found, F.lit(0))["w"] if pairs else F.lit(None).cast("double")).where("_w > 0")
     rows = sizes.agg(F.sort_array(F.collect_list(F.struct(F.col(KEY).alias("k"), F.col("_w").alias("w")))).alias("s"))
     fits = F.when(F.size("s") <= parts, F.col("s")).otherwise(F.raise_error(F.lit(f"more than {parts} sources: raise parts")))
     rows = rows.select(fits.alias("s"))
@@ -93,6 +104,53 @@ def one_period(entries: DataFrame, parts: int) -> DataFrame:
     return taken.select(F.get("entries", F.col("j"))["key"].alias(KEY), F.get("entries", F.col("j"))["share"].alias("_share"), turn.alias("_turn"), F.col("at").alias("_at"))
 
 
+def exact_slots(sizes: DataFrame, block_docs: int, buckets: int) -> DataFrame:
+    """Rows (key, block, slot) of all blocks, by the exact weights; `dry` is the slot where the
+    first source runs dry."""
+    blocks = sizes.select(F.col(KEY).alias("key"), F.col("_w").alias("w"), F.ceil(F.col("_n") / block_docs).alias("n"))
+    rows = blocks.agg(F.sort_array(F.collect_list(F.struct("key", "w", "n"))).alias("s"), F.sum("w").alias("t"))
+    rows = rows.where(F.size("s") > 0).select(F.transform("s", lambda x: F.struct(x["key"].alias("key"), (x["w"] / F.col("t")).alias("w"), x["n"].alias("n"))).alias("s"))
+    dry = F.floor(F.round(F.array_min(F.transform("s", lambda x: x["n"] / x["w"])), 9)).cast("int")
+    rows = materialize(rows.select("s", dry.alias("dry")), "mixing-weights")
+
+    def next_source(had: Column, slot: Column) -> Column:
+        due = F.transform("s", lambda x, j: F.struct(
+            F.ceil(F.round((F.get(had, j) + 1) / x["w"], 9)).alias("due"), j.alias("j"),
+            (F.floor(F.round(F.get(had, j) / x["w"], 9)) <= slot).alias("free")))
+        return F.array_min(F.filter(due, lambda x: x["free"]))["j"]
+
+    def step(state: Column, slot: Column) -> Column:
+        return let(next_source(state["had"], slot), lambda chosen: F.struct(
+            F.transform(state["had"], lambda n, j: F.when(j == chosen, n + 1).otherwise(n)).alias("had"),
+            F.concat(state["order"], F.array(chosen)).alias("order")))
+
+    def stretch(state: Column, first: Column) -> Column:
+        empty = F.struct(state["had"].alias("had"), F.array().cast("array<int>").alias("order"))
+        slots = F.sequence(first, F.least(first + FOLD, F.col("dry")) - 1)
+        return let(F.aggregate(slots, empty, step), lambda done: F.struct(
+            done["had"].alias("had"), F.concat(state["orders"], F.array(done["order"])).alias("orders")))
+
+    start = F.struct(F.transform("s", lambda x: F.lit(0)).alias("had"), F.array().cast("array<array<int>>").alias("orders"))
+    firsts = F.when(F.col("dry") > 0, F.sequence(F.lit(0), F.col("dry") - 1, F.lit(FOLD))).otherwise(F.array().cast("array<int>"))
+    order = F.flatten(F.aggregate(firsts, start, stretch)["orders"])
+    taken = rows.select("s", order.alias("order")).select("s", F.posexplode("order").alias("slot", "j"))
+    taken = taken.select(F.get("s", F.col("j"))["key"].alias(KEY), F.col("slot").cast("long").alias("slot"))
+    taken = materialize(taken.withColumn("block", (F.row_number().over(W.partitionBy(KEY).orderBy("slot")) - 1).cast("long")), "mixing-slots")
+    # the blocks left, numbered by due slot in ranges of due slots
+    had = taken.groupBy(KEY).agg(F.count("*").alias("_had"))
+    last = F.array_max(F.transform("s", lambda x: x["n"] / x["w"]))
+    left = rows.select("dry", last.alias("_last"), F.explode("s").alias("x")).select("dry", "_last", F.col("x.key").alias(KEY), F.col("x.w").alias("_w"), F.col("x.n").alias("_n"))
+    left = left.join(had, KEY, "left").withColumn("_had", F.coalesce("_had", F.lit(0).cast("long"))).where("_had < _n")
+    left = left.withColumn("block", F.explode(F.sequence(F.col("_had"), F.col("_n") - 1))).withColumn("_due", (F.col("block") + 1) / F.col("_w"))
+    left = left.withColumn("_range", F.least(F.floor(F.col("_due") / F.col("_last") * buckets), F.lit(buckets - 1)).cast("int"))
+    counts = left.groupBy("_range").agg(F.count("*").alias("_c"))
+    before = counts.select("_range", (F.sum("_c").over(W.orderBy("_range")) - F.col("_c")).alias("_before"))  # `buckets` rows at most
+    within = F.row_number().over(W.partitionBy("_range").orderBy("_due", KEY, "block")) - 1
+    left = left.withColumn("_within", within).join(before, "_range")
+    left = left.select(KEY, "block", (F.col("dry") + F.col("_before") + F.col("_within")).alias("slot"), F.lit(True).alias("_left"))
+    return taken.withColumn("_left", F.lit(False)).unionByName(left)
+
+
 def number(drawn: DataFrame, buckets: int) -> DataFrame:
     """Each document's place in its source, from 0, by hash, id and text digest.
 
@@ -108,18 +166,22 @@ def number(drawn: DataFrame, buckets: int) -> DataFrame:
     return cut.withColumn("_within", within).join(offsets, [KEY, "_bucket"]).withColumn("_place", F.col("_before") + F.col("_within"))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_docs: int = BLOCK_DOCS, parts: int = PARTS,
-        buckets: int = BUCKETS, stop: str = "all") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_docs: int = BLOCK_DOCS, parts: int | None = None,
+        buckets: int = BUCKETS, stop: str = "all", other: float | None = None) -> DataFrame:
     """`docs` with block (number in its source), slot (place of the block in the mixture) and
     place (the document's place in its block). Sorting by slot and place gives the mixture."""
     drawn = draw(docs.drop("block", "slot", "place"))
-    sizes = source_sizes(drawn)
-    # written, as each is read many times over: one row, then `parts` rows
-    entries = materialize(shares(sizes, weights, parts), "mixing-shares")
-    period = materialize(one_period(entries, parts), "mixing-period")
+    sizes = weighed(source_sizes(drawn), weights, other)
     numbered = number(drawn, buckets)
     block = F.floor(F.col("_place") / block_docs)
     placed = numbered.withColumns({"block": block, "place": (F.col("_place") % block_docs).cast("int")})
+    if parts is None:
+        slots = exact_slots(sizes, block_docs, buckets)
+        slots = slots.where("NOT _left") if stop == "first" else slots
+        return placed.join(slots, [KEY, "block"]).select(*[c for c in placed.columns if c not in HELPERS], "slot")
+    # written, as each is read many times over: one row, then `parts` rows
+    entries = materialize(shares(sizes, parts), "mixing-shares")
+    period = materialize(one_period(entries, parts), "mixing-period")
     pattern = period.groupBy(KEY).agg(F.max("_share").alias("_share"), F.sort_array(F.collect_list(F.struct("_turn", "_at"))).alias("_slots"))
     placed = placed.join(F.broadcast(pattern), KEY)  # `parts` slots in all
     slot = F.floor(F.col("block") / F.col("_share")) * parts + F.get("_slots", (F.col("block") % F.col("_share")).cast("int"))["_at"]
@@ -128,12 +190,12 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_d
         blocks = sizes.join(F.broadcast(pattern), KEY).withColumn("_b", F.ceil(F.col("_n") / block_docs))
         after = F.floor(F.col("_b") / F.col("_share")) * parts + F.get("_slots", (F.col("_b") % F.col("_share")).cast("int"))["_at"]
         placed = placed.where(F.col("slot") < F.lit(blocks.agg(F.min(after)).first()[0]))
-    return placed.drop(KEY, RANK, "_bucket", "_within", "_before", "_place", "_share", "_slots")
+    return placed.drop(*HELPERS, "_share", "_slots")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")  # rows alike in both are interchangeable
-    return mix(docs).select("doc_id", "source", "block", "slot", "place")
+    return mix(docs, parts=PARTS).select("doc_id", "source", "block", "slot", "place")
 
 
 ORACLE = f"""

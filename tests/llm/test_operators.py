@@ -394,6 +394,32 @@ def test_pfair_deviation_below_one_block(spark):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_exact_weights_over_a_long_table(spark):
+    sizes = {"big": 20000, **{f"s{k}": 2000 for k in range(18)}, "rare": 30}
+    docs = spark.createDataFrame([(k, s) for k, s in enumerate(x for x, n in sizes.items() for _ in range(n))], "doc_id long, source string")
+    weights = {"big": 1 / 3, **{f"s{k}": (2 / 3 - 0.0004) / 18 for k in range(18)}, "rare": 0.0004}
+    got = mixing.mix(docs, weights, block_docs=1, buckets=64).select("doc_id", "source", "block", "slot", "place").collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(got))) and len(got) == sum(sizes.values())
+    order = [r.source for r in sorted(got, key=lambda r: r.slot)]
+    assert len({r.slot for r in got}) == len(got)
+    had, first_dry = Counter(), int(min(n / weights[s] for s, n in sizes.items()))
+    assert first_dry > 50_000
+    for t, source in enumerate(order[:first_dry], 1):
+        had[source] += 1
+        assert abs(had[source] - weights[source] * t) < 1
+        if t % 97 == 0:
+            assert all(abs(had[s] - w * t) < 1 for s, w in weights.items())
+    cut = mixing.mix(docs, weights, block_docs=1, buckets=64, stop="first").count()
+    assert cut == first_dry
+
+
+def test_mixing_more_sources_than_thousandths(spark):
+    got = mixing.mix(spark.range(1500).selectExpr("id AS doc_id", "string(id) AS source")).collect()
+    assert len(got) == 1500 and {r.slot for r in got} == set(range(1500))
+    docs = spark.createDataFrame([(k, s) for k, s in enumerate(["a", "a", "b", None])], "doc_id long, source string")
+    assert mixing.mix(docs, {"a": 2.0}, other=1.0).count() == 4 and mixing.mix(docs, {"a": 2.0}).count() == 2
+
+
 def test_mixing_odd_rows(spark, odd, none):
     got = mixing.mix(odd, block_docs=2).collect()
     assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in ODD) and len({(r.slot, r.place) for r in got}) == len(ODD)
