@@ -11,6 +11,8 @@ from dayglass.llm.common import table
 from dayglass.session import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+# target weights of the mixture: src0, a third of the documents, gets 6 of 25 blocks where all twenty sources are there
+WEIGHTS, OTHER_SOURCES = {"src0": 6.0}, 1.0
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,15 +35,19 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return clean.withColumn("n_chars", F.when(F.col("text").contains(secret_scans.MARK), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """All documents with their slot and place in the mixture; it depends on ids, sources and texts alone."""
+    return mixing.mix(docs.select(COLUMNS), WEIGHTS, other=OTHER_SOURCES)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, stored in the order of the mixture: files and rows by slot."""
-    placed = mixing.mix(docs.select(COLUMNS))
-    return placed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(COLUMNS)
+    return placed(docs).repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text."""
-    return pieces.encode(docs.select(COLUMNS)).select("doc_id", "lang", "source", "n_chars", "ids", "n_pieces", "piece_score")
+    """Piece ids of every text, and its slot and place in the mixture, as files keep no order."""
+    return pieces.encode(placed(docs)).select("doc_id", "lang", "source", "n_chars", "ids", "n_pieces", "piece_score", "slot", "place")
 
 
 STAGES = [

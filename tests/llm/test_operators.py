@@ -641,6 +641,29 @@ def test_pipeline_equals_brute_force(spark, docs):
     assert sorted((r.doc_id, tuple(r.ids)) for r in whole) == sorted((r.doc_id, tuple(r.ids)) for r in folder["sentencepiece"])
 
 
+def test_pipeline_result_is_in_the_order_of_the_mixture(spark, tmp_path):
+    """Sorted by slot and place, the blocks keep within one of the stated weights up to the first
+    dry source, and stage 4 stores the rows in the same order."""
+    sizes = {"src0": 32 * 40, "src1": 32 * 7, "src2": 32 * 12, None: 32 * 9}
+    rows = [(k, f"text {k}", "en", s, 6) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    stages = dict(corpus_pipeline.STAGES)
+    stages["mixing"](spark, spark.createDataFrame(rows, SCHEMA).repartition(3), SF).write.parquet(f"{tmp_path}/mixed")
+    stored = spark.read.parquet(f"{tmp_path}/mixed")
+    got = sorted(stages["sentencepiece"](spark, stored, SF).collect(), key=lambda r: (r.slot, r.place))
+    assert sorted(r.doc_id for r in got) == [r[0] for r in rows] and len({(r.slot, r.place) for r in got}) == len(rows)
+    place_of = {r.doc_id: k for k, r in enumerate(got)}
+    for part in sorted(tmp_path.glob("mixed/*.parquet")):
+        own = [place_of[r.doc_id] for r in spark.read.parquet(str(part)).coalesce(1).collect()]
+        assert own == sorted(own)
+    weight = lambda s: corpus_pipeline.WEIGHTS.get(s, corpus_pipeline.OTHER_SOURCES)
+    total = sum(map(weight, sizes))
+    first_dry = int(min(n / 32 * total / weight(s) for s, n in sizes.items()))
+    assert first_dry > 50
+    for t in range(1, first_dry + 1):
+        had = Counter(r.source for r in got[:32 * t])
+        assert all(abs(had[s] / 32 - t * weight(s) / total) < 1 for s in sizes)
+
+
 def test_pipeline_stages_keep_odd_rows(spark, odd, none):
     """Null columns, empty and long texts, repeated rows, clashing names and an empty table pass
     through every stage; only the repeated row goes, as a copy."""
