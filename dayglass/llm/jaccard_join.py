@@ -224,7 +224,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int | None = None) -> DataFrame:
-    """doc_id, key, class_id (least id of its group), n_links (other rows at the threshold), n_copies."""
+    """doc_id, key, root (the same in a group), class_id (least id of its group), n_links (other rows at the threshold), n_copies."""
     depth = depth or prefix_length(threshold, trees)
     signed = materialize(signatures(docs, trees, depth), "jaccard-signatures")
     classes = signed.where("key IS NOT NULL").groupBy("key").agg(
@@ -241,23 +241,27 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES,
                .withColumn("root", F.coalesce("root", "key")))
     least = per_key.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     per_key = per_key.join(least, "root").select(
-        F.col("key"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.col("rows").alias("n_copies"))
+        F.col("key"), "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.col("rows").alias("n_copies"))
     rows = signed.select("doc_id", "key").join(per_key, "key", "left")
-    return rows.select("doc_id", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+    return rows.select("doc_id", "key", "root", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with one document of each group: the one with the least id (of repeated rows one).
+    Where an id occurs more than once, its rows are told apart by their sets of shingles.
     Texts without words all stay. Rows without an id stay if no row of their group has one, one
     for each set of shingles."""
     judged = materialize(classify(docs, threshold), "jaccard-judged")
     columns = docs.columns
-    goes = judged.where("doc_id IS NOT NULL AND key IS NOT NULL AND (doc_id <> class_id OR n_copies > 1)")
-    ids = goes.groupBy(F.col("doc_id").alias("_id")).agg(F.max((F.col("doc_id") == F.col("class_id")).cast("int")).alias("_stays"))
+    goes = F.col("key").isNotNull() & ((F.col("doc_id") != F.col("class_id")) | (F.col("n_copies") > 1))
+    ids = judged.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(
+        F.count("*").alias("_rows"), F.max(goes).alias("_goes"), F.max(F.col("doc_id") == F.col("class_id")).alias("_stays")).where("_goes OR _rows > 1")
     named = docs.where("doc_id IS NOT NULL").join(ids, F.col("doc_id") == F.col("_id"), "left")
     whole = named.where("_id IS NULL")
-    chosen = named.where("_stays = 1").dropDuplicates(["doc_id"])
+    chosen = named.where("_rows = 1 AND _stays")
+    # one row of each group, where its least id occurs more than once
+    least = judged.where("doc_id = class_id AND key IS NOT NULL").groupBy(F.col("doc_id").alias("_least"), "root").agg(F.min("key").alias("_least_key"))
     nameless = docs.where("doc_id IS NULL")
     keys = judged.where("doc_id IS NULL AND class_id IS NULL AND key IS NOT NULL").select("key").distinct()
 
@@ -267,7 +271,12 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     keyed = with_columns(nameless, "_key binary", key_of, word_memo)
     alone = keyed.where("_key IS NULL").select(columns)
     first = keyed.join(keys, keyed["_key"] == keys["key"], "left_semi").dropDuplicates(["_key"]).select(columns)
-    return whole.select(columns).unionByName(chosen.select(columns)).unionByName(alone).unionByName(first)
+    several = with_columns(named.where("_rows > 1").drop("_rows", "_goes", "_stays"), "_key binary", key_of, word_memo)
+    wordless = several.where("_key IS NULL").select(columns)
+    kept = several.join(least, (F.col("_id") == F.col("_least")) & (F.col("_key") == F.col("_least_key")), "left_semi").dropDuplicates(["_id", "_key"])
+    for part in (chosen, alone, first, wordless, kept):
+        whole = whole.select(columns).unionByName(part.select(columns))
+    return whole
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -497,6 +497,15 @@ def test_one_of_each_group_stays(spark, odd, none):
     assert jaccard_join.deduplicate(none).count() == 0 and jaccard_join.classify(none).count() == 0
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, "a copy of five words"), (5, "a copy of five words"), (5, "the only text of its kind"), (7, "first of two texts here"), (7, "second of two other texts"),
+            (8, "first of two texts here"), (8, "second of two other texts"), (9, long), (9, f"{long} more"), (6, ""), (6, ""), (6, "x y"), (6, "x y")]
+    got = jaccard_join.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got if r.doc_id != 9) == sorted([rows[0], rows[2], rows[3], rows[4], (6, ""), (6, ""), (6, "x y")])
+    assert sum(r.doc_id == 9 for r in got) == 1
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, j) for j in range(101, 130)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(30)]
