@@ -1,6 +1,8 @@
 """The registered queries of this subpackage and their DuckDB twins, where SQL can express them."""
 
-from . import chat_format, fingerprints, jaccard_join, lm_scores, mixing, pieces, quality_rules, secret_scans, toxicity, url_filters
+from . import (
+    bpe, chat_format, fingerprints, jaccard_join, lm_scores, mixing, pieces, quality_rules, secret_scans, toxicity, url_filters,
+)
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -13,6 +15,7 @@ QUERIES = {
     "op8_chat_formatting": chat_format.query,
     "op9_ngram_jaccard": jaccard_join.query,
     "op10_fingerprints": fingerprints.query,
+    "op11_bpe": bpe.query,
 }
 ORACLES = {
     "op4_mixing": mixing.ORACLE,
