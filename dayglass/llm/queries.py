@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their DuckDB twins, where SQL can express them."""
 
 from . import (
-    bpe, chat_format, fingerprints, jaccard_join, lm_scores, mixing, pieces, quality_rules, secret_scans, toxicity, url_filters,
+    bpe, chat_format, fingerprints, hard_negatives, jaccard_join, lm_scores, mixing, pieces, quality_rules, secret_scans, toxicity, url_filters, whitening,
 )
 
 QUERIES = {
@@ -16,9 +16,12 @@ QUERIES = {
     "op9_ngram_jaccard": jaccard_join.query,
     "op10_fingerprints": fingerprints.query,
     "op11_bpe": bpe.query,
+    "op12_whitening": whitening.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
 ORACLES = {
     "op4_mixing": mixing.ORACLE,
     "op6_url_filters": url_filters.ORACLE,
     "op8_chat_formatting": chat_format.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
