@@ -5,26 +5,32 @@ following byte the number of training occurrences. After n occurrences of d dist
 c times has probability (2c-1)/2n, and d/2n is left to escape (method D): any other byte is then
 looked for after the next shorter context, where the bytes seen after the longer one are excluded; below order 0
 the remaining byte values are equally likely. With all counts fixed, the probability of a byte
-depends on the `ORDER` bytes before it alone, so it is computed once for each distinct window,
-level by level from order 0 up, as joins of the trie's levels.
+depends on the `ORDER` bytes before it alone, so it is computed once for each distinct window.
 
-Documents are dealt into blocks of about `BLOCK_CHARS` characters. Each block states the distinct
-windows and words it needs and adds what its training texts count; the counts are summed over
-all blocks, and each block gets back the values of its own windows and words alone, as sorted
-rows ahead of its texts. Nothing of corpus size is broadcast, and a task holds the values of one
-block and a batch of texts.
+Documents are packed into blocks of about `BLOCK_CHARS` bytes by the tasks that read them. A block
+states its distinct windows and words with their training counts, cut into buckets: windows by the
+`SHARED` bytes before the last one, words by hash. A bucket's runs from all blocks are merged; the
+trie's levels up to SHARED + 1 bytes are joins over few rows, the longer ones are computed within a
+bucket, which holds all windows they need. Then each run is answered with the values of its own
+keys, and the answers meet the texts of their block. Keys, counts and values travel as compressed
+runs. Nothing of corpus size is broadcast; a task holds the values of one block or the distinct
+keys of one bucket, and buckets grow in number with the corpus.
 
 A text is its bytes with A-Z lower-cased, after `ORDER` start bytes and before one end byte. The
 score is the log10 probability of the whole; the base score is that of add-one word counts.
 
 Defined results: null texts count as empty and consist of the end alone; ties do not arise; equal
 texts score alike; without training texts every byte has probability 1/256; an empty table gives
-an empty result; repeated rows are counted and scored each.
+an empty result; repeated rows are counted and scored each; a text longer than a block is a block.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -34,79 +40,191 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..session import materialize
 from .common import id_remainder, map_columns, table, whole_text
 
-ORDER = 5
+ORDER, SHARED = 5, 3
 BLOCK_CHARS = 12_000_000
+BUCKET_CHARS = 4_000_000  # text for each bucket of windows and of words
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never holds
 HELD_OUT, HELD_OUT_IS = 7, 2
-STATE = "block int, gram long, word binary, n long"
+WORDS, GRAMS, TEXTS = range(3)  # kinds of runs, in the order in which a block is read
+PACKED = "kind int, block long, bucket int, keys binary, numbers binary"
+SUMS = "kind int, bucket int, keys binary, numbers binary, total long, seen long"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
-IS_WORD, IS_GRAM, IS_TRAINED, IS_HELD_OUT = range(4)  # kinds of rows, in the order in which a block is read
-SLICE_WINDOWS, OUT_ROWS = 1 << 20, 1 << 15
+SLICE_WINDOWS, SPREAD = 1 << 20, 0x9E3779B1
+TEXT = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("text", pa.binary())])
 
 
+# ---- compressed runs
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers of eight bytes, compressed byte plane by byte plane."""
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), 8).T)
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, kind: type = np.int64) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, "zstd"), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(n)
+
+
+def packed_keys(kind: int, keys) -> bytes:
+    """Sorted windows as differences, or words, which hold no white space, with spaces between."""
+    if kind == GRAMS:
+        return packed(np.diff(keys, prepend=0))
+    data = b" ".join(keys)
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpacked_keys(kind: int, data: bytes):
+    if kind == GRAMS:
+        return np.cumsum(unpacked(data))
+    return bytes(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd")).split(b" ")
+
+
+def packed_texts(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, TEXT, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+# ---- blocks
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of ORDER + 1 bytes ending at each byte and at the end of each text, packed, and
+    """Windows of ORDER + 1 bytes ending at each byte and at the end of each text, as numbers, and
     the position of each text's first one."""
     pad, sizes = bytes([START]) * ORDER, np.array([len(x) + 1 for x in texts], np.int64)
     data = np.frombuffer(b"".join(pad + x + b"\xff" for x in texts), np.uint8)
-    packed = np.zeros(len(data) - ORDER, np.int64)
+    found = np.zeros(len(data) - ORDER, np.int64)
     for k in range(ORDER + 1):
-        packed <<= 8
-        packed |= data[k:len(data) - ORDER + k]
-    return packed[data[ORDER:] != START], np.cumsum(sizes) - sizes
+        found <<= 8
+        found |= data[k:len(data) - ORDER + k]
+    return found[data[ORDER:] != START], np.cumsum(sizes) - sizes
 
 
-def slices(block: pa.Table):
-    """Tables of consecutive rows with about SLICE_WINDOWS bytes of text each, and their texts."""
-    ends = np.cumsum(pc.binary_length(block["text"]).to_numpy())
-    number = ends // SLICE_WINDOWS
-    for part in np.split(np.arange(len(ends)), np.flatnonzero(np.diff(number)) + 1):
+def slices(rows: pa.Table) -> Iterator[pa.Table]:
+    """Tables of consecutive rows with about SLICE_WINDOWS bytes of text each."""
+    number = np.cumsum(pc.binary_length(rows["text"]).to_numpy()) // SLICE_WINDOWS
+    for part in np.split(np.arange(len(number)), np.flatnonzero(np.diff(number)) + 1):
         if len(part):
-            rows = block.slice(part[0], len(part))
-            yield rows, [x.lower() for x in rows["text"].to_pylist()]
+            yield rows.slice(part[0], len(part))
 
 
 def merged(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows in order and the sums of their counts."""
     every = np.concatenate([np.empty(0, np.int64), *grams])
-    keys, at = np.unique(every, return_inverse=True)
-    return keys, np.bincount(at, weights=np.concatenate([np.empty(0), *counts]), minlength=len(keys)).astype(np.int64)
+    order = np.argsort(every, kind="stable")
+    every, numbers = every[order], np.concatenate([np.empty(0, np.int64), *counts])[order]
+    starts = np.flatnonzero(np.diff(every, prepend=-1))
+    return every[starts], np.add.reduceat(numbers, starts) if len(starts) else numbers
+
+
+def gram_buckets(grams: np.ndarray, buckets: int) -> np.ndarray:
+    shared = grams >> 8 & (1 << 8 * SHARED) - 1
+    return (shared * SPREAD >> 12) % buckets
+
 
+def gram_bucket(gram: Column, buckets: int) -> Column:
+    """The same of a column."""
+    shared = F.shiftright(gram, 8).bitwiseAND((1 << 8 * SHARED) - 1)
+    return (F.shiftright(shared * SPREAD, 12) % buckets).cast("int")
 
-def block_state(block: pa.Table) -> pa.Table:
+
+class Block:
     """What a block needs and counts: its distinct windows and words (the end token as the empty
     word) with their training occurrences."""
-    grams, counts, words, other = [], [], Counter(), set()
-    for rows, texts in slices(block):
+
+    def __init__(self) -> None:
+        self.size, self.grams, self.counts, self.words, self.other = 0, [], [], Counter(), set()
+
+    def add(self, rows: pa.Table) -> None:
+        texts = [x.lower() for x in rows["text"].to_pylist()]
         for learned in (True, False):
             own = [x for x, t in zip(texts, rows["train"].to_pylist()) if t == learned]
             if own:
                 keys, times = np.unique(windows(own)[0], return_counts=True)
-                grams.append(keys)
-                counts.append(times * learned)
+                self.grams.append(keys)
+                self.counts.append(times * learned)
             for text in own:
-                words.update(text.split()) if learned else other.update(text.split())
-            words[b""] += learned * len(own)
-    for word in other:
-        words.setdefault(word, 0)
-    keys, times = merged(grams, counts)
-    number, n, m = block["block"][0].as_py(), len(keys), len(words)
-    state = pa.table({
-        "block": pa.array(np.full(n + m, number, np.int32)),
-        "gram": pa.concat_arrays([pa.array(keys), pa.nulls(m, pa.int64())]),
-        "word": pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(list(words), pa.binary())]),
-        "n": pa.array(np.concatenate([times, np.fromiter(words.values(), np.int64, m)]))})
-    return pa.Table.from_batches(state.to_batches(max_chunksize=OUT_ROWS))  # else the JVM gets the block as one batch
-
-
-def in_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, text, train and block of all documents."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), (id_remainder(HELD_OUT) != HELD_OUT_IS).alias("train"))
-    chars = rows.agg(F.sum(F.length("text") + 1)).first()[0] or 0
-    dealt = F.xxhash64("doc_id", F.substring("text", 1, 100))
-    rows = rows.withColumn("block", F.pmod(dealt, F.lit(max(1, -(-chars // block_chars)))).cast("int"))
-    return rows.withColumn("text", F.col("text").cast("binary"))
+                self.words.update(text.split()) if learned else self.other.update(text.split())
+            self.words[b""] += learned * len(own)
+        self.size += sum(len(x) + 1 for x in texts)
+
+    def runs(self, buckets: int) -> Iterator[tuple]:
+        """kind, bucket, keys and numbers, packed."""
+        grams, counts = merged(self.grams, self.counts)
+        place = gram_buckets(grams, buckets)
+        order = np.argsort(place, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+            if len(at):
+                yield GRAMS, int(place[at[0]]), packed_keys(GRAMS, grams[at]), packed(counts[at])
+        for word in self.other:
+            self.words.setdefault(word, 0)
+        for bucket, own in groupby(sorted((crc32(w) % buckets, w, n) for w, n in self.words.items()), itemgetter(0)):
+            _, words, numbers = zip(*own)
+            yield WORDS, bucket, packed_keys(WORDS, words), packed(np.array(numbers, np.int64))
+
+
+def packed_blocks(docs: DataFrame, buckets: int, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The texts of `docs` in blocks, and the runs of each block: rows of PACKED. Those of kind
+    TEXTS hold texts in `numbers`."""
+    def work(batches):
+        from pyspark import TaskContext
+
+        number, block = TaskContext.get().partitionId() << 32, Block()
+
+        def finish():
+            found = list(zip(*block.runs(buckets)))
+            yield [found[0], np.full(len(found[0]), number), *found[1:]]
+
+        for batch in batches:
+            for rows in slices(pa.Table.from_batches([batch]).cast(TEXT)):
+                block.add(rows)
+                yield [[TEXTS], [number], [None], [None], [packed_texts(rows)]]
+                if block.size >= block_chars:
+                    yield from finish()
+                    number, block = number + 1, Block()
+        if block.size:
+            yield from finish()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (id_remainder(HELD_OUT) != HELD_OUT_IS).alias("train"),
+                       whole_text().cast("binary").alias("text"))
+    return map_columns(rows, PACKED, work)
+
+
+def by_bucket(batches, columns: tuple[str, ...]) -> Iterator[tuple]:
+    """kind, bucket and an iterator over the other columns, for rows ordered by kind and bucket."""
+    rows = (row for batch in batches for row in zip(*(batch[c].to_pylist() for c in ("kind", "bucket", *columns))))
+    for (kind, bucket), own in groupby(rows, itemgetter(0, 1)):
+        yield kind, bucket, (row[2:] for row in own)
+
+
+def run_sums(runs: DataFrame) -> DataFrame:
+    """SUMS: one row for each kind and bucket, its distinct keys in order, their counts over all
+    blocks, the sum of these and the number of keys that training texts hold."""
+    def work(batches):
+        for kind, bucket, own in by_bucket(batches, ("keys", "numbers")):
+            if kind == WORDS:
+                words: Counter = Counter()
+                for keys, numbers in own:
+                    for word, n in zip(unpacked_keys(WORDS, keys), unpacked(numbers).tolist()):
+                        words[word] += n
+                every = sorted(words)
+                counts = np.array([words[w] for w in every], np.int64)
+            else:
+                held, waiting = [[], []], 0
+                for keys, numbers in own:
+                    for part, data in zip(held, (unpacked_keys(GRAMS, keys), unpacked(numbers))):
+                        part.append(data)
+                    waiting += len(held[0][-1])
+                    if waiting > max(1 << 20, 2 * len(held[0][0])):  # memory follows the distinct windows
+                        held, waiting = [[x] for x in merged(*held)], 0
+                every, counts = merged(*held)
+            yield [[kind], [bucket], [packed_keys(kind, every)], [packed(counts)], [int(counts.sum())], [int((counts > 0).sum())]]
 
+    dealt = runs.select("kind", "bucket", "keys", "numbers").repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
+    return map_columns(dealt, SUMS, work)
 
+
+# ---- trie
 def trie_level(counts: DataFrame, size: int, shorter: DataFrame | None) -> DataFrame:
     """Windows of `size` bytes: w, c, n, d of their context, and two probabilities of the last
     byte: `fresh` with no byte excluded, `after` having escaped from this context.
@@ -114,10 +232,7 @@ def trie_level(counts: DataFrame, size: int, shorter: DataFrame | None) -> DataF
     `seen_shorter` sums the counts, one level below, of the bytes seen in this context: what an
     escape excludes there.
     """
-    if size > ORDER:  # whole windows, counted already
-        rows = counts.select(F.col("gram").alias("w"), "c")
-    else:
-        rows = counts.groupBy(F.col("gram").bitwiseAND((1 << 8 * size) - 1).alias("w")).agg(F.sum("c").alias("c"))
+    rows = counts.groupBy(F.col("w").bitwiseAND((1 << 8 * size) - 1).alias("w")).agg(F.sum("c").alias("c"))
     if shorter is None:
         rows = rows.withColumns({"c_s": F.lit(0).cast("long"), "n_s": F.lit(0).cast("long"), "d_s": F.lit(256).cast("long"),
                                  "after_s": F.lit(0.0), "fresh_s": F.lit(1 / 256)})
@@ -139,71 +254,128 @@ def trie_level(counts: DataFrame, size: int, shorter: DataFrame | None) -> DataF
     return rows.select("w", "c", "n", "d", "after", fresh.alias("fresh"))
 
 
-def window_scores(state: DataFrame) -> DataFrame:
-    """gram, lp: log10 probability of the last byte of each window in `state`."""
-    counts = materialize(state.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("c")), "ppm-counts")
+def next_level(windows_: np.ndarray, counts: np.ndarray, size: int, below: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """`trie_level` within a bucket, for sorted windows of `size` bytes; `below` and the result are
+    w, c, n, d, after, fresh."""
+    at = np.searchsorted(below[0], windows_ & (1 << 8 * (size - 1)) - 1)
+    c_s, n_s, d_s, after_s, fresh_s = (x[at] for x in below[1:])
+    context = windows_ >> 8
+    starts = np.flatnonzero(np.diff(context, prepend=-1))
+    times = np.diff(np.append(starts, len(windows_)))
+
+    def over_context(values: np.ndarray) -> np.ndarray:
+        return np.repeat(np.add.reduceat(values, starts), times)
+
+    seen = counts > 0
+    n, d, excluded = over_context(counts), over_context(seen.astype(np.int64)), over_context(np.where(seen, c_s, 0))
+    left_n, left_d = n_s - excluded, d_s - d
+    whole = 2.0 * np.maximum(left_n, 1)
+    after = np.where(left_n <= 0, after_s, np.where(c_s > 0, (2 * c_s - 1) / whole, left_d / whole * after_s))
+    twice = 2.0 * np.maximum(n, 1)
+    fresh = np.where(n == 0, fresh_s, np.where(seen, (2 * counts - 1) / twice, d / twice * after))
+    return windows_, counts, n, d, after, fresh
+
+
+def gram_values(sums: DataFrame, buckets: int) -> DataFrame:
+    """kind, bucket, keys, numbers: log10 probabilities of the last byte of all windows."""
+    size = SHARED + 1
+
+    def suffixes(batches):
+        for batch in batches:
+            for keys, numbers in zip(batch["keys"].to_pylist(), batch["numbers"].to_pylist()):
+                yield list(merged([unpacked_keys(GRAMS, keys) & (1 << 8 * size) - 1], [unpacked(numbers)]))
+
+    own = sums.where(F.col("kind") == GRAMS)
+    counts = materialize(map_columns(own.select("keys", "numbers"), "w long, c long", suffixes), "ppm-suffixes")
     level = None
-    for size in range(1, ORDER + 2):
-        level = trie_level(counts, size, level)
-        level = level if size > ORDER else materialize(level, "ppm-level")  # the last one is read once
-    return level.select(F.col("w").alias("gram"), F.log10("fresh").alias("lp"))
-
-
-def score_texts(docs: pa.Table, keys: np.ndarray, values: np.ndarray, count_of: dict[bytes, int], total: int, distinct: int):
-    for rows, texts in slices(docs):
-        packed, starts = windows(texts)
-        scores = np.add.reduceat(values[np.searchsorted(keys, packed)], starts)
-        base, n_tokens, n_known = [], [], []
-        for text in texts:
-            found = text.split()
-            found.append(b"")
-            c = np.fromiter(map(count_of.__getitem__, found), np.float64, len(found))
-            n_tokens.append(len(found))
-            n_known.append(int(np.count_nonzero(c)))
-            base.append(float(np.log10((c + 1) / (total + distinct + 1)).sum()))
-        yield [rows["number"].combine_chunks(), pc.equal(rows["kind"], IS_HELD_OUT).combine_chunks(), n_tokens, n_known, [total] * len(texts), base, scores,
-               [len(x) for x in texts]]
+    for n in range(1, size + 1):
+        level = trie_level(counts, n, level)
+        level = level if n == size else materialize(level, "ppm-level")  # the last one is read once
+    names = ("w", "c", "n", "d", "after", "fresh")
+    of_bucket = level.groupBy(gram_bucket(F.col("w"), buckets).alias("bucket")).agg(F.sort_array(F.collect_list(F.struct(*names))).alias("below"))
+
+    def work(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                keys, numbers = unpacked_keys(GRAMS, batch["keys"][k].as_py()), unpacked(batch["numbers"][k].as_py())
+                rows = batch["below"][k].values
+                found = tuple(rows.field(c).to_numpy(zero_copy_only=False) for c in names)
+                for longer in range(size + 1, ORDER + 2):
+                    found = next_level(*merged([keys & (1 << 8 * longer) - 1], [numbers]), longer, found)
+                yield [[GRAMS], [batch["bucket"][k].as_py()], [batch["keys"][k].as_py()], [packed(np.log10(found[-1]))]]
+
+    return map_columns(own.join(of_bucket, "bucket").select("bucket", "keys", "numbers", "below"), "kind int, bucket int, keys binary, numbers binary", work)
+
+
+def answers(runs: DataFrame, values: DataFrame) -> DataFrame:
+    """PACKED: each run with the values of its keys for numbers."""
+    def work(batches):
+        for kind, bucket, own in by_bucket(batches, ("block", "keys", "numbers")):
+            _, keys, numbers = next(own)  # the bucket's values, which have no block, come first
+            every = unpacked_keys(kind, keys)
+            if kind == WORDS:
+                count_of = dict(zip(every, unpacked(numbers).tolist()))
+            else:
+                known = unpacked(numbers, np.float64)
+            for block, keys, _ in own:
+                asked = unpacked_keys(kind, keys)
+                if kind == WORDS:
+                    found = np.fromiter(map(count_of.__getitem__, asked), np.int64, len(asked))
+                else:
+                    found = known[np.searchsorted(every, asked)]
+                yield [[kind], [block], [bucket], [keys], [packed(found)]]
+
+    rows = runs.unionByName(values.withColumn("block", F.lit(None).cast("long")))
+    dealt = rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", F.col("block").asc_nulls_first())
+    return map_columns(dealt, PACKED, work)
+
+
+def score_texts(rows: pa.Table, keys: np.ndarray, values: np.ndarray, count_of: dict[bytes, int], total: int, distinct: int) -> list:
+    texts = [x.lower() for x in rows["text"].to_pylist()]
+    found, starts = windows(texts)
+    scores = np.add.reduceat(values[np.searchsorted(keys, found)], starts)
+    base, n_tokens, n_known = [], [], []
+    for text in texts:
+        words = text.split()
+        words.append(b"")
+        c = np.fromiter(map(count_of.__getitem__, words), np.float64, len(words))
+        n_tokens.append(len(words))
+        n_known.append(int(np.count_nonzero(c)))
+        base.append(float(np.log10((c + 1) / (total + distinct + 1)).sum()))
+    return [rows["doc_id"].combine_chunks(), pc.invert(rows["train"]).combine_chunks(), n_tokens, n_known, [total] * len(texts), base, scores, [len(x) for x in texts]]
 
 
 def score_stream(batches, total: int, distinct: int):
-    """Scores of the texts in rows ordered by block, kind and number: a block's words and windows
-    come before its texts and are kept until the next block."""
-    block, keys, values, count_of = None, [], [], {}
-    for batch in batches:
-        whole = pa.Table.from_batches([batch])
-        place = whole["block"].to_numpy().astype(np.int64) * 4 + whole["kind"].to_numpy()
-        for at in np.split(np.arange(len(place)), np.flatnonzero(np.diff(place)) + 1):
-            if not len(at):
-                continue
-            rows, (number, kind) = whole.slice(at[0], len(at)), divmod(int(place[at[0]]), 4)
-            if number != block:
-                block, keys, values, count_of = number, [], [], {}
-            if kind == IS_WORD:
-                count_of.update(zip(rows["text"].to_pylist(), rows["number"].to_pylist()))
-            elif kind == IS_GRAM:
-                keys.append(rows["number"].to_numpy())
-                values.append(rows["lp"].to_numpy())
+    """Scores of the texts in rows ordered by block and kind: a block's words and windows come
+    before its texts and are kept until the next block."""
+    rows = (row for batch in batches for row in zip(*(batch[c].to_pylist() for c in ("block", "kind", "keys", "numbers"))))
+    for _, own in groupby(rows, itemgetter(0)):
+        count_of, keys, values, ready = {}, [], [], False
+        for _, kind, asked, numbers in own:
+            if kind == WORDS:
+                count_of.update(zip(unpacked_keys(WORDS, asked), unpacked(numbers).tolist()))
+            elif kind == GRAMS:
+                keys.append(unpacked_keys(GRAMS, asked))
+                values.append(unpacked(numbers, np.float64))
             else:
-                keys, values = [np.concatenate(keys)], [np.concatenate(values)]
-                yield from score_texts(rows, keys[0], values[0], count_of, total, distinct)
+                if not ready:
+                    every = np.concatenate(keys)
+                    order = np.argsort(every, kind="stable")
+                    keys, values, ready = every[order], np.concatenate(values)[order], True
+                yield score_texts(pa.ipc.open_stream(numbers).read_all(), keys, values, count_of, total, distinct)
 
 
-def score(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def score(docs: DataFrame, block_chars: int = BLOCK_CHARS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes of every text."""
-    blocks = in_blocks(docs, block_chars)
-    state = materialize(blocks.groupBy("block").applyInArrow(block_state, STATE), "ppm-state")
-    own = W.partitionBy("word")  # a row for each block at most
-    words = state.where("word IS NOT NULL").select(
-        "block", "word", F.sum("n").over(own).alias("c"), (F.row_number().over(own.orderBy("block")) == 1).alias("first"))
-    words = materialize(words, "ppm-words")
-    total, distinct = words.where("first AND c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    needed_grams = state.where("gram IS NOT NULL").select("block", "gram").join(window_scores(state), "gram")
-    no_value, nothing = F.lit(None).cast("double"), F.lit(None).cast("binary")
-    rows = words.select("block", F.lit(IS_WORD).alias("kind"), F.col("c").alias("number"), no_value.alias("lp"), F.col("word").alias("text"))
-    rows = rows.unionByName(needed_grams.select("block", F.lit(IS_GRAM).alias("kind"), F.col("gram").alias("number"), "lp", nothing.alias("text")))
-    kind = F.when(F.col("train"), IS_TRAINED).otherwise(IS_HELD_OUT)
-    rows = rows.unionByName(blocks.select("block", kind.alias("kind"), F.col("doc_id").alias("number"), no_value.alias("lp"), "text"))
-    ordered = rows.repartition("block").sortWithinPartitions("block", "kind", "number")
+    chars = docs.agg(F.sum(F.length(whole_text()) + 1)).first()[0] or 0
+    buckets = max(16, -(-chars // bucket_chars))
+    blocks = materialize(packed_blocks(docs, buckets, block_chars), "ppm-blocks")
+    runs = blocks.where(F.col("kind") != TEXTS)
+    sums = materialize(run_sums(runs), "ppm-sums")
+    total, distinct = sums.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("seen"), F.lit(0))).first()
+    values = sums.where(F.col("kind") == WORDS).select("kind", "bucket", "keys", "numbers").unionByName(gram_values(sums, buckets))
+    rows = answers(runs, values).unionByName(blocks.where(F.col("kind") == TEXTS))
+    ordered = rows.select("block", "kind", "keys", "numbers").repartition("block").sortWithinPartitions("block", "kind")
     return map_columns(ordered, RESULT, lambda batches: score_stream(batches, total, distinct))
 
 
