@@ -67,7 +67,7 @@ def unpacked(data: bytes, kind: type = np.int64) -> np.ndarray:
 
 
 def packed_keys(kind: int, keys) -> bytes:
-    """Sorted windows as differences, or words, which hold no white space, with spaces between."""
+    """Sorted windows as differences, or words in any order with spaces between, as they hold none."""
     if kind == GRAMS:
         return packed(np.diff(keys, prepend=0))
     data = b" ".join(keys)
@@ -158,9 +158,11 @@ class Block:
                 yield GRAMS, int(place[at[0]]), packed_keys(GRAMS, grams[at]), packed(counts[at])
         for word in self.other:
             self.words.setdefault(word, 0)
-        for bucket, own in groupby(sorted((crc32(w) % buckets, w, n) for w, n in self.words.items()), itemgetter(0)):
-            _, words, numbers = zip(*own)
-            yield WORDS, bucket, packed_keys(WORDS, words), packed(np.array(numbers, np.int64))
+        dealt: dict[int, list[bytes]] = {}
+        for word in self.words:
+            dealt.setdefault(crc32(word) % buckets, []).append(word)
+        for bucket, words in dealt.items():
+            yield WORDS, bucket, packed_keys(WORDS, words), packed(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
 
 
 def packed_blocks(docs: DataFrame, buckets: int, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -330,10 +332,35 @@ def answers(runs: DataFrame, values: DataFrame) -> DataFrame:
     return map_columns(dealt, PACKED, work)
 
 
-def score_texts(rows: pa.Table, keys: np.ndarray, values: np.ndarray, count_of: dict[bytes, int], total: int, distinct: int) -> list:
+class Index:
+    """Values by key. Keys are ordered by a hash whose leading bits tell where to begin, so that a
+    search takes a step or two, not the twenty of a binary search."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = len(keys).bit_length()
+        self.shift = np.uint64(64 - bits)
+        slots = self.slots(keys)
+        order = np.argsort(slots, kind="stable")
+        self.keys, self.values = keys[order], values[order]
+        self.starts = np.searchsorted(slots[order], np.arange(1 << bits, dtype=np.uint64))
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift
+
+    def __getitem__(self, wanted: np.ndarray) -> np.ndarray:
+        """The values of keys that are all held."""
+        at = self.starts[self.slots(wanted)]
+        wrong = np.flatnonzero(self.keys[at] != wanted)
+        while len(wrong):
+            at[wrong] += 1
+            wrong = wrong[self.keys[at[wrong]] != wanted[wrong]]
+        return self.values[at]
+
+
+def score_texts(rows: pa.Table, values: Index, count_of: dict[bytes, int], total: int, distinct: int) -> list:
     texts = [x.lower() for x in rows["text"].to_pylist()]
     found, starts = windows(texts)
-    scores = np.add.reduceat(values[np.searchsorted(keys, found)], starts)
+    scores = np.add.reduceat(values[found], starts)
     base, n_tokens, n_known = [], [], []
     for text in texts:
         words = text.split()
@@ -350,7 +377,7 @@ def score_stream(batches, total: int, distinct: int):
     before its texts and are kept until the next block."""
     rows = (row for batch in batches for row in zip(*(batch[c].to_pylist() for c in ("block", "kind", "keys", "numbers"))))
     for _, own in groupby(rows, itemgetter(0)):
-        count_of, keys, values, ready = {}, [], [], False
+        count_of, keys, values, value_of = {}, [], [], None
         for _, kind, asked, numbers in own:
             if kind == WORDS:
                 count_of.update(zip(unpacked_keys(WORDS, asked), unpacked(numbers).tolist()))
@@ -358,11 +385,9 @@ def score_stream(batches, total: int, distinct: int):
                 keys.append(unpacked_keys(GRAMS, asked))
                 values.append(unpacked(numbers, np.float64))
             else:
-                if not ready:
-                    every = np.concatenate(keys)
-                    order = np.argsort(every, kind="stable")
-                    keys, values, ready = every[order], np.concatenate(values)[order], True
-                yield score_texts(pa.ipc.open_stream(numbers).read_all(), keys, values, count_of, total, distinct)
+                if value_of is None:
+                    value_of = Index(np.concatenate(keys), np.concatenate(values))
+                yield score_texts(pa.ipc.open_stream(numbers).read_all(), value_of, count_of, total, distinct)
 
 
 def score(docs: DataFrame, block_chars: int = BLOCK_CHARS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
