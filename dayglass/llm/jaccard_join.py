@@ -2,15 +2,23 @@
 
 A text is the set of its 5-word shingles (words between white space, A-Z lower-cased; a shorter
 text is one shingle of all its words), kept as 64-bit hashes. Texts with equal sets form a class,
-and only classes are compared. Each of `TREES` tries orders the classes by a sequence of minimum
-hashes; classes that share a prefix are candidates. The prefix starts at `DEPTH` hashes and is
-shortened until a pair at the threshold itself shares one in some trie with the target recall.
-
-Candidates are verified exactly, trie bucket by bucket, without writing pairs: a task gets the
-shingles of a bucket, counts all common shingles by sparse and dense products, and returns for
-each class the rows it links to and one edge towards its group. Buckets with the same members in
-several tries are verified once, a pair counts in the first trie where it meets, and a bucket
-with more than `TILE_SHINGLES` shingles is cut into groups, each pair of groups a task of its own.
+and only classes are compared. Each of `TREES` tries holds a label for each class: the low bytes
+of `DEPTH` minimum hashes, in order, so that a prefix of a label is a node of the trie.
+
+The prefix at which a pair at the threshold itself shares a node in some trie with the target
+recall is the shortest in use. Nodes of that length with two classes or more are found by counting,
+and their members sorted by label; only these few classes go on. A pair is met at the longest
+prefix it shares in any trie, in the first trie where it shares that much, which its labels tell.
+Pairs met at full labels are verified first; then prefixes are shortened byte by byte. From
+the likeness s of the pairs found so far follows how many there are, as each is found with chance
+1-(1-s^length)^TREES. A class whose recall so estimated, with one more pair at the threshold taken
+for granted, has reached the target asks no further; classes without links go on to the shortest
+prefix, and whoever still asks is compared with all others at the node.
+
+Candidates are verified exactly, node by node, without writing pairs: a task gets the shingles of
+a node, counts all common shingles by sparse and dense products, and returns for each class the
+rows it links to and one edge towards its group. A node with more than `TILE_SHINGLES` shingles is
+cut into groups, each pair of groups a task of its own.
 
 Defined results: null, empty and wordless texts have no shingles, no links, and form classes of
 their own; copies count as links; repeated rows are copies; a null id is never a class id unless
@@ -19,10 +27,14 @@ the whole group has null ids; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import materialize
 from .common import Memo, map_columns, table, whole_text, with_columns
@@ -32,7 +44,9 @@ WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 24, 8, 0.9999
 TILE_SHINGLES, TILE_ROWS = 1 << 20, 2048
 SEED = 20250
-COLUMN_CHUNK, SPARSE = 4096, 16
+COLUMN_CHUNK, SPARSE, PAIR_CHUNK = 4096, 16, 1 << 16
+FILTER_BITS = 1 << 26  # of the filter for texts to read again, at most: 8 MB
+CANDIDATE = "length int, tree int, node long, tile long, parts int, side int, key binary, rows long, labels array<long>"
 
 
 def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -60,8 +74,13 @@ def set_key(hashes: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None
 
 
+def chance(likeness, length: int, trees: int = TREES):
+    """That a pair shares a prefix of this length in some trie."""
+    return 1 - (1 - likeness ** length) ** trees
+
+
 class Forest:
-    """Prefix keys of a shingle set, one for each trie."""
+    """Labels of a shingle set, one for each trie."""
 
     def __init__(self, trees: int, depth: int):
         draw = np.random.default_rng(SEED)
@@ -69,48 +88,47 @@ class Forest:
         self.factors = draw.integers(0, 1 << 31, trees * depth, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.offsets = draw.integers(0, 1 << 32, trees * depth, dtype=np.uint32)
 
-    def prefixes(self, hashes: np.ndarray) -> np.ndarray:
+    def labels(self, hashes: np.ndarray) -> np.ndarray:
         low = np.full(self.trees * self.depth, 0xFFFFFFFF, np.uint32)
         short = (hashes >> np.uint64(32)).astype(np.uint32)
         for at in range(0, len(short), 256):
             block = short[at:at + 256, None] * self.factors[None, :] + self.offsets[None, :]
             np.minimum(low, block.min(axis=0), out=low)
-        keys = np.zeros(self.trees, np.uint64)
-        for level in low.reshape(self.trees, self.depth).T:
-            keys = (keys ^ level.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            keys ^= keys >> np.uint64(31)
-        return keys.view(np.int64)
+        return np.ascontiguousarray(low.astype(np.uint8)).view(">u8").astype(np.uint64).view(np.int64)
 
 
 def word_memo() -> Memo:
     return Memo(lambda w: xxhash.xxh64_intdigest(w))
 
 
-def signatures(docs: DataFrame, trees: int = TREES, depth: int | None = None) -> DataFrame:
-    """doc_id, set key (null without words), number of shingles, prefix keys."""
-    depth = depth or prefix_length(trees=trees)
-
+def signatures(docs: DataFrame, trees: int = TREES) -> DataFrame:
+    """doc_id, set key (null without words), number of shingles, labels."""
     def work(batches):
-        forest, memo = Forest(trees, depth), word_memo()
+        forest, memo = Forest(trees, DEPTH), word_memo()
         for batch in batches:
             sets = [shingles(x, memo) for x in batch["text"].to_pylist()]
             yield [batch["doc_id"], [set_key(x) for x in sets], [len(x) for x in sets],
-                   [forest.prefixes(x) if len(x) else None for x in sets]]
+                   [forest.labels(x) if len(x) else None for x in sets]]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return map_columns(rows, "doc_id long, key binary, n_shingles int, prefixes array<long>", work)
+    return map_columns(rows, "doc_id long, key binary, n_shingles int, labels array<long>", work)
 
 
-def candidate_buckets(classes: DataFrame) -> DataFrame:
-    """Members of trie buckets with at least two classes: tree, prefix, parts (groups it is cut
-    into), key, rows, prefixes. Of buckets with the same members only that of the first trie."""
-    spread = classes.select("key", "rows", "n_shingles", "prefixes", F.posexplode("prefixes").alias("tree", "prefix"))
-    tag = F.xxhash64("key").cast("decimal(20,0)"), F.xxhash64(F.lit(1), "key").cast("decimal(20,0)")
-    buckets = spread.groupBy("tree", "prefix").agg(
-        F.count("*").alias("n"), F.sum("n_shingles").alias("total"), F.sum(tag[0]).alias("t0"), F.sum(tag[1]).alias("t1")).where("n > 1")
-    buckets = buckets.groupBy("n", "t0", "t1").agg(F.min(F.struct("tree", "prefix", "total")).alias("b")).select(
-        "b.tree", "b.prefix", F.ceil(F.greatest(F.col("b.total") / TILE_SHINGLES, F.col("n") / TILE_ROWS)).cast("int").alias("parts"))
-    return spread.join(buckets, ["tree", "prefix"])
+def prefix_of(label, length: int):
+    """The node of a label at a prefix of so many bytes."""
+    return F.shiftrightunsigned(label, 8 * (DEPTH - length))
+
+
+def shared_nodes(classes: DataFrame, length: int) -> DataFrame:
+    """Members of the nodes with at least two classes: tree, node, parts (groups it is cut into),
+    key, rows, labels. Only tree, label and key of all classes are dealt by node."""
+    spread = classes.select("key", F.posexplode("labels").alias("tree", "label")).select("tree", prefix_of("label", length).alias("node"), "key")
+    nodes = spread.groupBy("tree", "node").agg(F.count("*").alias("n")).where("n > 1")
+    members = spread.join(nodes, ["tree", "node"]).join(classes.select("key", "rows", "n_shingles", "labels"), "key")
+    members = materialize(members, "jaccard-members")
+    sizes = members.groupBy("tree", "node").agg(F.sum("n_shingles").alias("total"), F.first("n").alias("n")).select(
+        "tree", "node", F.ceil(F.greatest(F.col("total") / TILE_SHINGLES, F.col("n") / TILE_ROWS)).cast("int").alias("parts"))
+    return members.drop("n", "n_shingles").join(sizes, ["tree", "node"])
 
 
 def tiles(members: DataFrame) -> DataFrame:
@@ -153,9 +171,59 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verify_tile(tree: int, diagonal: bool, side: np.ndarray, rows: np.ndarray, prefixes: np.ndarray, sets: list[np.ndarray],
-                threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Members with links in this tile, the rows they link to, and a member of their group."""
+def met_at(labels: np.ndarray, a: np.ndarray, b: np.ndarray, tree: int, least: int) -> np.ndarray:
+    """The length of the prefix that members a and b share in `tree` if this is where they meet:
+    no trie has a longer one, no earlier trie one as long. Else, or below `least`, 0."""
+    apart = labels[a] ^ labels[b]
+    length = np.zeros(apart.shape, np.int8)
+    for n in range(least, DEPTH + 1):
+        length += apart < np.uint64(1 << 8 * (DEPTH - n))  # the first n bytes are equal
+    own = length[:, tree]
+    first = (own > 0) & (length[:, :tree] < own[:, None]).all(axis=1) & (length[:, tree:] <= own[:, None]).all(axis=1)
+    return np.where(first, own + (least - 1), 0)
+
+
+def label_matrix(rows: list[list[int]]) -> np.ndarray:
+    return np.array(rows, np.int64).view(np.uint64)
+
+
+def meetings(tiled: DataFrame, least: int) -> DataFrame:
+    """CANDIDATE: the members of each node, at the prefix length where they meet another one, that
+    are to be compared there. Labels alone decide it."""
+    def found_in(tree: int, tile: int, held: list) -> Iterator[list]:
+        parts, side = held[0][0], np.array([x[1] for x in held])
+        labels, diagonal = label_matrix([x[4] for x in held]), tile // parts == tile % parts
+        flags = np.zeros((DEPTH + 1, len(held)), bool)
+        rows = max(1, PAIR_CHUNK // len(held))
+        for at in range(0, len(held), rows):
+            a, b = (x.ravel() for x in np.mgrid[at:min(at + rows, len(held)), :len(held)])
+            new = a < b if diagonal else (a < b) & (side[a] != side[b])
+            a, b = a[new], b[new]
+            length = met_at(labels, a, b, tree, least)
+            flags[length, a] = flags[length, b] = True
+        length, member = np.nonzero(flags[least:])
+        length += least
+        if len(member):
+            node = labels[member, tree] >> (8 * (DEPTH - length)).astype(np.uint64)
+            chosen = [held[i] for i in member]
+            yield [length, np.full(len(member), tree), node.view(np.int64), np.full(len(member), tile), *([x[k] for x in chosen] for k in range(5))]
+
+    def work(batches):
+        rows = (row for batch in batches for row in zip(*(batch[c].to_pylist() for c in ("tree", "node", "tile", "parts", "side", "key", "rows", "labels"))))
+        for (tree, _, tile), own in groupby(rows, itemgetter(0, 1, 2)):
+            held = [row[3:] for row in own]
+            if len(held) > 1:
+                yield from found_in(tree, tile, held)
+
+    label = F.get("labels", F.col("tree"))
+    ordered = tiled.repartition("tree", "node", "tile").sortWithinPartitions("tree", "node", "tile", label)
+    return map_columns(ordered, CANDIDATE, work)
+
+
+def verify_tile(tree: int, length: int, diagonal: bool, side: np.ndarray, rows: np.ndarray, labels: np.ndarray, sets: list[np.ndarray],
+                threshold: float, least: int) -> tuple[np.ndarray, ...]:
+    """Members with links in this tile, the rows they link to, a member of their group, the
+    classes they link to and how many these stand for."""
     common = common_counts(sets)
     sizes = np.array([len(x) for x in sets], np.float32)
     good = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-4
@@ -163,10 +231,11 @@ def verify_tile(tree: int, diagonal: bool, side: np.ndarray, rows: np.ndarray, p
     if not diagonal:
         good &= side[:, None] != side[None, :]
     a, b = np.nonzero(good)
-    for earlier in range(tree):  # pairs that met in an earlier trie count there
-        new = prefixes[a, earlier] != prefixes[b, earlier]
-        a, b = a[new], b[new]
+    here = np.concatenate([np.empty(0, bool), *(met_at(labels, a[at:at + PAIR_CHUNK], b[at:at + PAIR_CHUNK], tree, least) == length for at in range(0, len(a), PAIR_CHUNK))])
+    a, b = a[here], b[here]
     links = np.bincount(a, weights=rows[b], minlength=len(sets)).astype(np.int64)
+    likeness = common[a, b] / (sizes[a] + sizes[b] - common[a, b])
+    found, stands = np.bincount(a, minlength=len(sets)), np.bincount(a, weights=1 / chance(likeness.astype(float), length, labels.shape[1]), minlength=len(sets))
     root = np.arange(len(sets))
     while len(a):
         before = root.copy()
@@ -175,65 +244,91 @@ def verify_tile(tree: int, diagonal: bool, side: np.ndarray, rows: np.ndarray, p
         if (root == before).all():
             break
     linked = np.unique(a)
-    return linked, links[linked], root[linked]
+    return linked, links[linked], root[linked], found[linked], stands[linked]
 
 
-def verified_links(tiled: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """key, links, root (a linked key of the same tile) for all members with links, tile by tile."""
+def verified_links(candidates: DataFrame, threshold: float, least: int) -> DataFrame:
+    """key, links, root (a linked key of the same tile), found, stands for all members with links,
+    tile by tile."""
     def work(batches):
-        last, held = None, []
-
-        def finish():
-            tree, prefix, tile = last
-            parts = held[0][4]
-            sets = [np.frombuffer(x[3], np.uint64) for x in held]
-            linked, links, root = verify_tile(
-                tree, tile // parts == tile % parts, np.array([x[5] for x in held]), np.array([x[1] for x in held], np.float64),
-                np.array([x[2] for x in held], np.int64), sets, threshold)
-            keys = [x[0] for x in held]
-            return [[keys[i] for i in linked], links, [keys[i] for i in root]]
-
-        for batch in batches:
-            columns = [batch[c].to_pylist() for c in ("tree", "prefix", "tile", "key", "rows", "prefixes", "hashes", "parts", "side")]
-            for tree, prefix, tile, *member in zip(*columns):
-                if last != (tree, prefix, tile):
-                    if len(held) > 1:
-                        yield finish()
-                    last, held = (tree, prefix, tile), []
-                held.append(member)
-        if len(held) > 1:
-            yield finish()
-
-    ordered = tiled.repartition("tree", "prefix", "tile").sortWithinPartitions("tree", "prefix", "tile")
-    return map_columns(ordered, "key binary, links long, root binary", work)
+        names = ("tree", "node", "tile", "length", "parts", "side", "key", "rows", "labels", "hashes")
+        every = (row for batch in batches for row in zip(*(batch[c].to_pylist() for c in names)))
+        for (tree, _, tile, length), own in groupby(every, itemgetter(0, 1, 2, 3)):
+            parts, side, keys, rows, labels, hashes = zip(*(row[4:] for row in own))
+            if len(keys) > 1:
+                linked, links, root, found, stands = verify_tile(
+                    tree, length, tile // parts[0] == tile % parts[0], np.array(side), np.array(rows, np.float64), label_matrix(labels),
+                    [np.frombuffer(x, np.uint64) for x in hashes], threshold, least)
+                yield [[keys[i] for i in linked], links, [keys[i] for i in root], found, stands]
+
+    ordered = candidates.repartition("tree", "node", "tile").sortWithinPartitions("tree", "node", "tile")
+    return map_columns(ordered, "key binary, links long, root binary, found long, stands double", work)
+
+
+def descend(candidates: DataFrame, sets: DataFrame, threshold: float, trees: int, least: int, recall: float = RECALL) -> DataFrame:
+    """The verified links of all lengths, from whole labels to prefixes of `least` bytes; a class
+    that has reached the recall asks no further."""
+    every, done = None, None
+    for length in range(DEPTH, least - 1, -1):
+        rows = candidates.where(F.col("length") == length)
+        if done is not None:  # nodes where someone still asks; a tile has TILE_ROWS members at most on either side
+            asks = F.max(F.col("_done").isNull()).over(W.partitionBy("tree", "node", "tile"))
+            rows = rows.join(done, "key", "left").withColumn("_asks", asks).where("_asks").drop("_asks", "_done")
+        links = materialize(verified_links(rows.join(sets, "key"), threshold, least), "jaccard-links")
+        every = links if every is None else every.unionByName(links)
+        if length > least:
+            enough = (F.sum("found") + chance(threshold, length, trees)) / (F.sum("stands") + 1) >= recall
+            done = materialize(every.groupBy("key").agg(enough.alias("_done")).where("_done"), "jaccard-done")
+    return every
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of column `_h`, two bits each: 16 bits for each id up to FILTER_BITS. Beyond
+    that more of the other ids pass."""
+    bits = 1 << 10
+    while bits < min(16 * ids.count(), FILTER_BITS):
+        bits *= 2
+    place = F.explode(F.array(F.col("_h"), F.shiftrightunsigned("_h", 32))).alias("_p")
+    place = ids.select(place).select(F.col("_p").bitwiseAND(bits - 1).alias("_p"))
+    words = place.groupBy(F.shiftright("_p", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(_p & 63 AS INT))")).alias("word")).collect()  # FILTER_BITS / 64 at most
+    out = np.zeros(bits // 64, np.int64)
+    for row in words:
+        out[row.at] = row.word
+    return out.view(np.uint64)
+
+
+def may_hold(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    hashes, last = hashes.view(np.uint64), np.uint64(len(words) * 64 - 1)
+    return np.logical_and(*(words[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1) for p in (hashes & last, hashes >> np.uint64(32) & last)))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """key, hashes (packed) of the classes in `wanted` (key, doc_id of one of its rows)."""
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select(F.xxhash64("doc_id").alias("_h"))))
+
     def work(batches):
         memo = word_memo()
         for batch in batches:
+            batch = batch.filter(pa.array(may_hold(shared.value, batch["_h"].to_numpy())))
             sets = [shingles(x, memo) for x in batch["text"].to_pylist()]
             yield [[set_key(x) for x in sets], [x.tobytes() for x in sets]]
 
-    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    rows = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = map_columns(rows.select("text"), "key binary, hashes binary", work)
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("_h"), whole_text().alias("text"))
+    sets = map_columns(rows, "key binary, hashes binary", work)
     return sets.where("key IS NOT NULL").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
-def classify(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int | None = None) -> DataFrame:
+def classify(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES) -> DataFrame:
     """doc_id, key, root (the same in a group), class_id (least id of its group), n_links (other rows at the threshold), n_copies."""
-    depth = depth or prefix_length(threshold, trees)
-    signed = materialize(signatures(docs, trees, depth), "jaccard-signatures")
+    least = prefix_length(threshold, trees)
+    signed = materialize(signatures(docs, trees), "jaccard-signatures")
     classes = signed.where("key IS NOT NULL").groupBy("key").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("n_shingles").alias("n_shingles"), F.first("prefixes").alias("prefixes"))
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels"))
     classes = materialize(classes, "jaccard-classes")
-    members = materialize(candidate_buckets(classes), "jaccard-members")
-    wanted = classes.join(members.select("key").distinct(), "key", "left_semi").select("key", "doc_id")
+    candidates = materialize(meetings(tiles(shared_nodes(classes, least)), least), "jaccard-candidates")
+    wanted = materialize(classes.select("key", "doc_id").join(candidates.select("key").distinct(), "key", "left_semi"), "jaccard-wanted")
     sets = materialize(shingle_sets(docs, wanted), "jaccard-sets")
-    links = materialize(verified_links(tiles(members).drop("n_shingles").join(sets, "key"), threshold), "jaccard-links")
+    links = descend(candidates, sets, threshold, trees, least)
     groups = connected_components(links.select(F.col("key").alias("u"), F.col("root").alias("v")))
     per_key = (classes.select("key", "doc_id", "rows")
                .join(groups.withColumnRenamed("node", "key"), "key", "left")
