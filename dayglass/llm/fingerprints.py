@@ -9,11 +9,12 @@ Common anchors are also matched by position: the n-th occurrence of a hash in on
 the n-th in the other. The commonest difference of their positions is the `shift` (of equally
 common ones the least in size, then the negative one), and `aligned` of the `matched` pairs have it.
 
-Words are hashed once, windows are read by position, and anchors are matched by sorting them.
+Words are hashed once, windows are read by position, and the anchors of two texts are matched by
+one sort of them all, if they have any in common.
 
 The edited text takes its second half from the next document by descending id. Documents are cut
-into id ranges, each ordered on its own, and the first of a range looks into the next range
-through a copy of its neighbour's head, so no task holds the whole order.
+into id ranges, each ordered on its own, and ranges overlap in the rows of one id, so no task holds
+the whole order.
 
 Defined results: null texts count as empty; texts without words have an empty fingerprint, two
 of them are alike (1); texts of fewer than `K` words have one anchor, of all their words; rows with
@@ -26,12 +27,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..session import materialize
 from .common import WHITE, let, table, whole_text
 
 K, S = 4, 2
-SKETCH = None  # hashes that a fingerprint is cut to: none are cut
-RANGE_DOCS = 4096  # documents in an id range, about
+RANGE_DOCS, RANGES = 512, 1 << 16  # documents in an id range, about, up to so many ranges; then the ranges grow
 
 
 def word_hashes(text: Column) -> Column:
@@ -87,24 +86,26 @@ def runs(sorted_: Column, key: Callable[[Column], Column]) -> Column:
         i.alias("start"), (F.coalesce(F.get(at, j + 1), n) - i).alias("length"))))
 
 
-def occurrences(found: Column, side: int) -> Column:
-    """(hash, number of the occurrence, side, position) of every anchor."""
-    def numbered(s: Column) -> Column:
-        return F.flatten(F.transform(runs(s, lambda x: x["hash"]), lambda r: F.transform(
-            F.sequence(F.lit(0), r["length"] - 1), lambda k: F.struct(
-                F.get(s, r["start"] + k)["hash"].alias("hash"), k.alias("number"), F.lit(side).alias("side"),
-                F.get(s, r["start"] + k)["position"].alias("position")))))
-
-    return let(F.sort_array(F.transform(found, lambda a: F.struct(a["hash"].alias("hash"), a["position"].alias("position")))), numbered)
-
-
 def matches(a: Column, b: Column) -> Column:
-    """(position, other) of the anchors that two texts have in common, ordered by hash."""
+    """(position, other) of the anchors that two texts have in common, ordered by hash. All anchors
+    are sorted by hash, then text, then position; a run of one hash holds its occurrences in the
+    first text, then those in the second."""
+    def entries(found: Column, side: int) -> Column:
+        return F.transform(found, lambda x: F.struct(x["hash"].alias("hash"), F.lit(side).alias("side"), x["position"].alias("position")))
+
     def pairs(s: Column) -> Column:
-        first = F.transform(F.filter(runs(s, lambda x: F.struct(x["hash"], x["number"])), lambda r: r["length"] == 2), lambda r: r["start"])
-        return F.transform(first, lambda i: F.struct(F.get(s, i)["position"].alias("position"), F.get(s, i + 1)["position"].alias("other")))
+        def of_run(r: Column) -> Column:
+            places = F.sequence(r["start"], r["start"] + r["length"] - 1)
+            mine = F.size(F.filter(places, lambda i: F.get(s, i)["side"] == 0))
+            return let(mine, lambda n: F.transform(F.sequence(F.lit(0), F.least(n, r["length"] - n) - 1), lambda k: F.struct(
+                F.get(s, r["start"] + k)["position"].alias("position"), F.get(s, r["start"] + n + k)["position"].alias("other"))))
+
+        both = F.filter(runs(s, lambda x: x["hash"]), lambda r: (F.get(s, r["start"])["side"] == 0) & (F.get(s, r["start"] + r["length"] - 1)["side"] == 1))
+        return F.flatten(F.transform(both, of_run))
 
-    return let(F.sort_array(F.concat(occurrences(a, 0), occurrences(b, 1))), pairs)
+    nothing = F.array().cast("array<struct<position:int,other:int>>")
+    return F.when(F.arrays_overlap(F.transform(a, lambda x: x["hash"]), F.transform(b, lambda x: x["hash"])),
+                  let(F.sort_array(F.concat(entries(a, 0), entries(b, 1))), pairs)).otherwise(nothing)
 
 
 def alignment(pairs: Column) -> Column:
@@ -123,28 +124,56 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"n_chars": F.char_length(whole_text()).cast("long"), "fingerprint": written(distinct_hashes(F.col("anchors")))})
 
 
+def range_starts(ids: DataFrame, range_docs: int) -> list[int]:
+    """Ids that occur in `ids` (doc_id), the least one first, with about `range_docs` rows from one
+    to the next. They are placed by a sample drawn by hash, of RANGES times 32 ids at most, then
+    moved to the next id that occurs."""
+    n, least = ids.where("doc_id IS NOT NULL").agg(F.count("*"), F.min("doc_id")).first()
+    if not n:
+        return []
+    ranges = min(RANGES, -(-n // range_docs))
+    share = max(1, n // (32 * RANGES))
+    drawn = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("doc_id").orderBy("doc_id")
+    sample = [r.doc_id for r in drawn.where("doc_id IS NOT NULL").collect()]
+    cuts = sorted({least, *(sample[len(sample) * k // ranges] for k in range(1, ranges) if sample)})
+    found = ids.groupBy(range_of(F.col("doc_id"), cuts).alias("r")).agg(F.min("doc_id").alias("m")).where("m IS NOT NULL").collect()  # one for each range
+    return sorted(r.m for r in found)
+
+
+def constant(numbers: list[int]) -> Column:
+    """An array of long integers, folded into the plan as one value."""
+    return F.transform(F.split(F.lit(",".join(map(str, numbers))), ","), lambda x: x.cast("long")) if numbers else F.array().cast("array<bigint>")
+
+
+def range_of(id_: Column, starts: list[int]) -> Column:
+    """How many of the sorted `starts` are not above the id, by halving; 0 for null."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(starts).bit_length()))))
+    return let(constant(starts), lambda all_: F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(F.get(all_, at + step - 1) <= id_, at + step).otherwise(at))) if starts else F.lit(0)
+
+
 def with_next(docs: DataFrame, range_docs: int = RANGE_DOCS) -> DataFrame:
-    """`docs` (doc_id, text) with the text of the next document."""
+    """`docs` (doc_id, text) with the text of the next document.
+
+    Rows with the first id of a range are its last in falling order: what follows them lies in the
+    range below, so they are dealt there, and a copy stays behind as the next of the row above.
+    Null ids follow the least id, in the lowest range; a copy of the first row of all ends it.
+    """
     docs = docs.select("doc_id", whole_text().alias("text")).withColumn("_tie", F.md5("text"))
-    keys = materialize(docs.select("doc_id", "_tie"), "next-keys")
-    n_ranges = min(2000, -(-keys.count() // range_docs))
-    cuts = keys.approxQuantile("doc_id", [i / n_ranges for i in range(1, n_ranges)], 1 / (4 * n_ranges)) if n_ranges > 1 else []
-    borders = F.array(*(F.lit(c).cast("long") for c in sorted({int(c) for c in cuts}))).cast("array<bigint>")
-    in_range = F.size(F.filter(borders, lambda b: F.coalesce(F.col("doc_id") >= b, F.lit(False))))
-    # the first row of each range that has any (2,000 ranges at most), and the range that looks into it
-    order = [F.col("doc_id").desc_nulls_last(), F.col("_tie")]
-    first = keys.withColumn("_range", in_range).groupBy("_range").agg(
-        F.max(F.struct("doc_id")).alias("_top")).select("_range", F.col("_top.doc_id").alias("doc_id"))
-    tie = keys.withColumn("_range", in_range).join(first.withColumnRenamed("doc_id", "_id"), "_range").where(F.col("doc_id").eqNullSafe(F.col("_id")))
-    first = tie.groupBy("_range", "doc_id").agg(F.min("_tie").alias("_tie"))
-    chain = W.orderBy("_range")
-    looked = first.withColumn("_range", F.coalesce(F.lead("_range").over(chain), F.first("_range").over(chain))).select(
-        F.col("doc_id").alias("_id"), F.col("_tie").alias("_t"), F.col("_range"))
-    heads = docs.join(F.broadcast(looked), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t"))).drop("_id", "_t")
-    heads = heads.dropDuplicates(["_range"]).withColumn("_copy", F.lit(True))
-    rows = docs.withColumns({"_range": in_range, "_copy": F.lit(False)}).unionByName(heads)
-    within = W.partitionBy("_range").orderBy("_copy", *order)
-    return rows.withColumn("next_text", F.lead("text").over(within)).where(~F.col("_copy")).drop("_range", "_copy", "_tie")
+    starts = range_starts(docs.select("doc_id"), range_docs)
+    at = range_of(F.col("doc_id"), starts)
+    rows = docs.withColumn("_range", at)
+    is_start = F.coalesce(F.get(constant(starts), F.col("_range") - 1) == F.col("doc_id"), F.lit(False))
+    place = F.when(is_start, F.array(F.struct((F.col("_range") - 1).alias("range"), F.lit(0).alias("copy")), F.struct(F.col("_range").alias("range"), F.lit(1).alias("copy")))
+                   ).otherwise(F.array(F.struct(F.col("_range").alias("range"), F.lit(0).alias("copy"))))
+    rows = rows.withColumn("_place", F.explode(place)).select("doc_id", "text", "_tie", F.col("_place.range").alias("_range"), F.col("_place.copy").alias("_copy"))
+    top = docs.agg(F.max("doc_id")).first()[0]
+    first = docs.where(F.col("doc_id").eqNullSafe(F.lit(top).cast("long")))
+    tie = first.agg(F.min("_tie")).first()[0]
+    first = first.where(F.col("_tie") == F.lit(tie).cast("string")).limit(1).select("doc_id", "text", "_tie", F.lit(0).alias("_range"), F.lit(2).alias("_copy"))
+    within = W.partitionBy("_range").orderBy(F.col("_copy") == 2, F.col("doc_id").desc_nulls_last(), "_tie")
+    found = rows.unionByName(first).withColumn("next_text", F.lead("text").over(within))
+    return found.where("_copy = 0").select("doc_id", "text", "next_text")
 
 
 def edited(text: Column, following: Column) -> Column:
