@@ -40,6 +40,13 @@ ACTION_LABELS: tuple[tuple[str, str], ...] = (
     ("quarantined_after_failed_stepup", "Quarantined (step-up failed)"),
     ("auto_quarantined", "Auto-quarantined"),
 )
+
+# why a session or an approval was refused, as audit entries name it
+CAUSES: dict[str, str] = {
+    "failed": "stepup_auth_failed",
+    "critical": "critical_score",
+    "approval": "missing_or_self_approval",
+}
 # ---- end of fixed values --------------------------------------------------------------
 
 

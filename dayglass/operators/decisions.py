@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..config import EngineConfig
+from ..config import CAUSES, EngineConfig
 from ..functions.expressions import (
     canonical_json, canonical_number, clean_nan, midnight_text, stepup_passed, unpacked,
 )
@@ -33,9 +33,9 @@ def decide(scored: DataFrame, cfg: EngineConfig, forced: Column | None = None) -
               .when(tier == "High", F.lit("quarantined_after_failed_stepup"))
               .when(tier == "Critical", F.lit("auto_quarantined"))
               .otherwise(unknown.cast("string")))
-    notes = (F.when(F.col("action") == "stepup_required_passed", F.lit("session continues under enhanced logging"))
+    notes = (F.when(F.col("action") == "stepup_required_passed", F.lit("goes on, logged in detail"))
              .when(F.col("action") == "auto_quarantined",
-                   F.lit("resumable only via fresh JIT lease + second-person approval"))
+                   F.lit("locked until a second person approves and a new lease is granted"))
              .otherwise(F.lit("")))
     return (scored.withColumn("stepup_required", F.coalesce(challenged, F.lit(False)))
             .withColumn("stepup_passed", passed)
@@ -63,10 +63,13 @@ def with_lease(decisions: DataFrame, entitlements: DataFrame, cfg: EngineConfig)
             .withColumn("expires_at", F.when(go_on, issued + F.make_interval(secs=F.lit(cfg.lease_ttl_seconds)))))
 
 
+def lease_reason() -> Column:
+    return F.concat(F.lit("challenge answered, tier "), F.col("risk_tier"))
+
+
 def lease_grants(decisions: DataFrame, entitlements: DataFrame, cfg: EngineConfig) -> DataFrame:
-    reason = F.concat(F.lit("continue session after step-up ("), F.col("risk_tier"), F.lit(")"))
     return (with_lease(decisions, entitlements, cfg).where(F.col("lease_id").isNotNull())
-            .select("lease_id", "secret_id", "user_id", "role", "day", reason.alias("reason"),
+            .select("lease_id", "secret_id", "user_id", "role", "day", lease_reason().alias("reason"),
                     F.lit(cfg.lease_ttl_seconds).cast("bigint").alias("ttl_seconds"), "issued_at", "expires_at"))
 
 
@@ -104,8 +107,8 @@ def decision_events(decisions: DataFrame, entitlements: DataFrame, cfg: EngineCo
     failed = action == "quarantined_after_failed_stepup"
     go_on = action.isin(*CONTINUED)
     common = {"user": user, "role": role, "risk_score": score, "tier": tier, "revoked_leases": F.col("lease_ids")}
-    bulk_reason = F.when(critical, F.lit("auto-quarantine: Critical risk score")).otherwise(
-        F.lit("step-up auth failed on High-risk session"))
+    bulk_reason = F.when(critical, F.lit("locked out: tier Critical")).otherwise(
+        F.lit("locked out: tier High, challenge failed"))
     candidates = [
         event("session_scored", F.lit(True), user=user, role=role, date=midnight_text(F.col("day")),
               risk_score=score, risk_tier=tier,
@@ -117,11 +120,11 @@ def decision_events(decisions: DataFrame, entitlements: DataFrame, cfg: EngineCo
         event("stepup_auth_result", F.col("stepup_required"), user=user, passed=F.col("stepup_passed"), tier=tier),
         event("leases_revoked_bulk", (critical | failed) & (F.size("lease_ids") > 0), user=user,
               lease_ids=F.col("lease_ids"), reason=bulk_reason),
-        event("session_quarantined", failed, cause=F.lit("stepup_auth_failed"), **common),
-        event("session_quarantined", critical, cause=F.lit("critical_score"),
+        event("session_quarantined", failed, cause=F.lit(CAUSES["failed"]), **common),
+        event("session_quarantined", critical, cause=F.lit(CAUSES["critical"]),
               scenario_id=scenario, **common),
         event("lease_issued", go_on, lease_id=F.col("lease_id"), secret_id=F.col("secret_id"), user=user, role=role,
-              reason=F.concat(F.lit("continue session after step-up ("), tier, F.lit(")")),
+              reason=lease_reason(),
               ttl_seconds=F.lit(cfg.lease_ttl_seconds),
               expires_at=F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss")),
         event("lease_redeemed", go_on, lease_id=F.col("lease_id"), secret_id=F.col("secret_id"), user=user),
@@ -131,16 +134,6 @@ def decision_events(decisions: DataFrame, entitlements: DataFrame, cfg: EngineCo
     return unpacked(rows, ["user_id", "day", "event_time"], emitted)
 
 
-def run_policy(scored: DataFrame, entitlements: DataFrame, cfg: EngineConfig) -> dict[str, DataFrame]:
-    """Decisions, events and lease grants of a batch of sessions; order is kept in columns
-    (day, user_id, step_no). Sessions without a tier are not decided and come as `rejects`."""
-    sessions = scored_cleaned(scored)
-    tiered = F.col("risk_tier").isNotNull()
-    decisions = decide(sessions.where(tiered), cfg)
-    return {"decisions": decisions, "events": decision_events(decisions, entitlements, cfg),
-            "grants": lease_grants(decisions, entitlements, cfg), "rejects": sessions.where(~tiered)}
-
-
 def quarantine_precision(decisions: DataFrame, labels: DataFrame) -> DataFrame:
     """How many of the locked-out sessions were malicious, all and Critical only."""
     truth = labels.where("is_malicious").select("user_id", "day").distinct().withColumn("hit", F.lit(True))

@@ -37,7 +37,7 @@ def explain(df: DataFrame, columns: Sequence[str], model: DataFrame, cfg: Engine
     top = F.transform("_ranked", lambda x: F.struct(
         F.get(names, x["place"]).alias("feature"),
         F.bround(-x["order"], 1).alias("pct_contribution"),
-        F.bround(x["z"], 2).alias("z_score"),
+        (F.bround(x["z"], 2) + F.lit(0.0)).alias("z_score"),  # never -0
         (F.abs(x["z"]) > cfg.z_cap).alias("z_capped_for_display"),
         F.when(x["z"] > 0, F.lit("above peer norm")).otherwise(F.lit("below peer norm")).alias("direction")))
     return (rows.withColumn("top_features", F.when(F.col("mean").isNotNull(), top))

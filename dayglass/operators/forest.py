@@ -1,12 +1,18 @@
-"""Isolation forest (Liu, Ting and Zhou, ICDM 2008) as Spark jobs.
+"""Isolation forest (Liu, Ting and Zhou, ICDM 2008) as Spark jobs, drawn by hash.
 
-Fitting needs only `n_trees` small samples, so the table is read once, narrowed to a pool and
-shuffled as about `2 x n_trees x tree_rows` rows however large it is. Sampling is by hash of
-(row key, tree, seed): the same rows give the same forest under any partitioning.
+Nothing is random: which rows a tree sees, which feature a node splits and where are read off
+SHA-256 of the row's key or of (seed, tree, node). So the same rows give the same forest under any
+partitioning and in any engine, and plain SQL can grow and descend the same trees.
+
+Fitting needs only `n_trees` small samples. Each row enters each tree with probability p; whether it
+enters any, and the first one it enters, follow from one hash, so the table is read once, all but
+about `2 x n_trees x tree_rows` rows are dropped after that one hash, and the same rule holds for
+tables of every size.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
@@ -18,7 +24,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..config import EngineConfig
 
 NODE_SCHEMA = "tree_id int, node_id int, feature int, threshold double, rows int, depth int"
-TREE_ROWS_SPAN = 2**31
+GRID = 1e6      # values are compared in millionths, so that rounding errors split nothing
+DIGITS = 12     # hex digits of a hash that make a number
+PER_HASH = 5    # such numbers in one hash
 
 
 def depth_limit(cfg: EngineConfig, rows: int) -> int:
@@ -34,35 +42,61 @@ def mean_path(n):
 
 
 # ---- sampling ----------------------------------------------------------------------------
-def _unit(*parts: Column) -> Column:
-    """Hash of the parts as a number in [0, 1)."""
-    return F.pmod(F.xxhash64(*parts), F.lit(TREE_ROWS_SPAN)) / F.lit(float(TREE_ROWS_SPAN))
+def on_grid(value: Column) -> Column:
+    return F.rint(value * F.lit(GRID))
+
+
+def _unit(digest: Column, place: Column) -> Column:
+    """The number in [0, 1) that `DIGITS` hex digits spell, the first of them at `place`."""
+    return F.conv(F.substr(digest, place, F.lit(DIGITS)), 16, 10).cast("bigint") / F.lit(float(16**DIGITS))
+
+
+def draw_chance(n_rows: int, take: int) -> float:
+    """Probability that a row enters a tree: twice the sample and some, so that none falls short."""
+    return min(1.0, (2 * take + 20) / n_rows)
 
 
 def tree_samples(df: DataFrame, columns: Sequence[str], key: Sequence[str], n_rows: int,
                  cfg: EngineConfig) -> DataFrame:
-    """(tree_id, place, columns): `tree_rows` rows without repetition for every tree."""
+    """(tree_id, place, columns): `tree_rows` rows without repetition for every tree.
+
+    A row's first hash u decides its first tree: the first t with u < 1-(1-p)^(t+1), if any. It
+    enters each later tree if its own number for that tree is below p. Of a tree's rows those
+    with the least numbers are its sample.
+    """
     take = min(cfg.tree_rows, n_rows)
-    pool = min(n_rows, 4 * cfg.n_trees * take)
-    keys = [F.col(k) for k in key]
-    rows = df.select(*key, *columns)
-    if pool < n_rows:
-        rows = rows.where(_unit(*keys, F.lit(cfg.seed)) < pool / n_rows)
-    cutoff = min(1.0, 2.0 * take / pool + 20.0 / pool)
-    trees = F.filter(F.sequence(F.lit(0), F.lit(cfg.n_trees - 1)),
-                     lambda t: _unit(*keys, t, F.lit(cfg.seed + 1)) < cutoff)
+    chance = draw_chance(max(n_rows, 1), take)
+    upto = [1.0 - (1.0 - chance) ** (t + 1) for t in range(cfg.n_trees)]
+    name = F.concat_ws("|", F.lit(str(cfg.seed)), *[F.col(k).cast("string") for k in key])
+    rows = df.select(*key, *columns, name.alias("_name"))
+    rows = rows.withColumn("_u", _unit(F.sha2("_name", 256), F.lit(1))).where(F.col("_u") < upto[-1])
+    first = F.size(F.filter(F.array(*map(F.lit, upto)), lambda c: c <= F.col("_u")))
+    hashes = F.transform(F.sequence(F.lit(0), F.lit((cfg.n_trees - 1) // PER_HASH)), lambda b: F.struct(
+        (b * PER_HASH).alias("tree"), F.sha2(F.concat_ws("|", "_name", b.cast("string")), 256).alias("digest")))
+    numbers = F.flatten(F.transform(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.lit(PER_HASH - 1)), lambda j: F.struct(
+        (h["tree"] + j).alias("tree_id"), _unit(h["digest"], j * DIGITS + 1).alias("number")))))
+    rows = rows.withColumn("_first", first).withColumn("_numbers", numbers)
+    entered = F.filter("_numbers", lambda x: (x["tree_id"] < cfg.n_trees) & (
+        (x["tree_id"] == F.col("_first")) | ((x["tree_id"] > F.col("_first")) & (x["number"] < chance))))
     # the outer form spares a size test that would hash every pair twice
-    drawn = rows.withColumn("tree_id", F.explode_outer(trees)).where(F.col("tree_id").isNotNull())
-    order = Window.partitionBy("tree_id").orderBy(F.xxhash64(*keys, "tree_id", F.lit(cfg.seed + 2)), *key)
+    drawn = rows.select(*key, *columns, "_first", F.explode_outer(entered).alias("_draw")).where(F.col("_draw").isNotNull())
+    number = F.when(F.col("_draw.tree_id") == F.col("_first"), F.col("_draw.number") * F.lit(chance)).otherwise(F.col("_draw.number"))
+    drawn = drawn.select(*key, *columns, "_draw.tree_id", number.alias("_number"))
+    order = Window.partitionBy("tree_id").orderBy("_number", *key)
     return (drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= take)
             .select("tree_id", "place", *columns))
 
 
 # ---- trees -------------------------------------------------------------------------------
-def grow_tree(x: np.ndarray, seed: Sequence[int], limit: int) -> list[tuple[int, int, float, int, int]]:
-    """Random splits until a node is pure, single or at the depth limit. Children of node i
+def node_draws(seed: int, tree: int, node: int) -> tuple[float, float]:
+    """Two numbers in [0, 1): the choice of the feature and the place of the cut."""
+    digest = hashlib.sha256(f"{seed}|{tree}|{node}".encode()).hexdigest()
+    return int(digest[:DIGITS], 16) / 16**DIGITS, int(digest[DIGITS:2 * DIGITS], 16) / 16**DIGITS
+
+
+def grow_tree(x: np.ndarray, seed: int, tree: int, limit: int) -> list[tuple[int, int, float, int, int]]:
+    """Splits until a node is pure, single or at the depth limit. Children of node i
     are 2i+1 (value <= threshold) and 2i+2; a leaf has feature -1."""
-    rng = np.random.default_rng(list(seed))
     nodes, todo = [], [(0, np.arange(len(x)), 0)]
     while todo:
         node, rows, depth = todo.pop()
@@ -72,8 +106,9 @@ def grow_tree(x: np.ndarray, seed: Sequence[int], limit: int) -> list[tuple[int,
         if depth >= limit or len(rows) <= 1 or not len(usable):
             nodes.append((node, -1, 0.0, len(rows), depth))
             continue
-        f = int(rng.choice(usable))
-        cut = float(rng.uniform(low[f], high[f]))
+        choice, place = node_draws(seed, tree, node)
+        f = int(usable[int(choice * len(usable))])
+        cut = float(low[f] + place * (high[f] - low[f]))
         left = part[:, f] <= cut
         nodes.append((node, f, cut, len(rows), depth))
         todo += [(2 * node + 1, rows[left], depth + 1), (2 * node + 2, rows[~left], depth + 1)]
@@ -82,13 +117,14 @@ def grow_tree(x: np.ndarray, seed: Sequence[int], limit: int) -> list[tuple[int,
 
 def fit_forest(df: DataFrame, columns: Sequence[str], key: Sequence[str], n_rows: int,
                cfg: EngineConfig) -> DataFrame:
-    """Node table of the forest; its size is fixed by the settings, not by the data."""
+    """Node table of the forest; its size is fixed by the settings, not by the data. Thresholds
+    are in units of the grid."""
     names, limit, seed = list(columns), depth_limit(cfg, min(cfg.tree_rows, n_rows)), cfg.seed
+    df = df.withColumns({c: on_grid(F.col(c)) for c in names})
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
         tree = int(pdf["tree_id"].iloc[0])
-        nodes = grow_tree(pdf[names].to_numpy(float), (seed, tree), limit)
+        nodes = grow_tree(pdf[names].to_numpy(float), seed, tree, limit)
         out = pd.DataFrame(nodes, columns=["node_id", "feature", "threshold", "rows", "depth"])
         return out.assign(tree_id=tree)[["tree_id", "node_id", "feature", "threshold", "rows", "depth"]]
 
@@ -149,4 +185,4 @@ def forest_score(nodes: pd.DataFrame, columns: Sequence[Column], tree_rows: int,
         for batch in batches:
             yield pd.Series(anomaly(trees, np.column_stack(batch)))
 
-    return raw(*columns)
+    return raw(*map(on_grid, columns))

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..config import EngineConfig
+from ..config import CAUSES, EngineConfig
 from ..functions.expressions import canonical_json, unpacked
 from . import timeline
 
@@ -101,6 +101,48 @@ def live_leases(states: DataFrame, at: Column) -> DataFrame:
             .select("lease_id", "user_id", "issued_at", "expires_at"))
 
 
+def ledger_events(grants: DataFrame, attempts: DataFrame, revokes: DataFrame, bulk: DataFrame, states: DataFrame,
+                  directory: DataFrame, entitlements: DataFrame) -> DataFrame:
+    """The audit events of a lease ledger in one total order (at, ord): user_id, day, at, ord,
+    event_time, event_type, payload.
+
+    Every grant, every redemption (or its denial, with the cause) and every single revoke, with
+    effect or without, is an event, and each bulk revoke that ended any lease. Attempts and revokes
+    of unknown leases leave none. The four inputs are sorted by time and id alike, so the merge is
+    a union: (at, ord) is the order, wherever a row lies. Attempts need user_id.
+    """
+    named = with_role(grants, directory).join(
+        entitlements.groupBy("role").agg(F.min("secret_id").alias("secret_id")), "role", "left")
+    owner = states.select("lease_id", F.col("user_id").alias("owner"), "redeemed", "revoked")
+    user = F.col("user_id").cast("string")
+    lease = F.col("lease_id").cast("string")
+    ttl = F.unix_micros(F.col("expires_at").cast("timestamp")) - F.unix_micros(F.col("issued_at").cast("timestamp"))
+
+    def events(rows: DataFrame, at: str, ident: str, name: Column, payload: Column) -> DataFrame:
+        return rows.select("user_id", F.col(at).alias("at"), F.col(ident).alias("ord"), name.alias("event_type"), payload.alias("payload"))
+
+    issued = events(named, "issued_at", "issued_ord", F.lit("lease_issued"), canonical_json(
+        lease_id=lease, secret_id=F.col("secret_id"), user=user, role=F.col("role"), reason=F.lit("granted on request"),
+        ttl_seconds=F.floor(ttl / 1_000_000), expires_at=F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss")))
+    tried = redeem_outcomes(attempts, states).where("outcome <> 'unknown'").join(
+        attempts.select("attempt_id", "user_id"), "attempt_id").join(named.select("lease_id", "secret_id"), "lease_id", "left")
+    done = F.col("outcome") == "redeemed"
+    redeemed = events(
+        tried, "at", "attempt_id", F.when(done, F.lit("lease_redeemed")).otherwise(F.lit("lease_redeem_denied")),
+        F.when(done, canonical_json(lease_id=lease, secret_id=F.col("secret_id"), user=user)).otherwise(
+            canonical_json(lease_id=lease, cause=F.col("outcome"))))
+    single = events(
+        revokes.select("revoke_id", "at", "lease_id").join(owner.select("lease_id", F.col("owner").alias("user_id"), "revoked"), "lease_id"),
+        "at", "revoke_id", F.lit("lease_revoked"), canonical_json(
+            lease_id=lease, reason=F.when(F.col("revoked") == _moment("at", "revoke_id"), F.lit("withdrawn")).otherwise(F.lit("withdrawn, no effect"))))
+    ended = bulk_revoked_leases(states).join(grants.select("lease_id", "issued_at", "issued_ord"), "lease_id").groupBy("bulk_id", "user_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("issued_at", "issued_ord", "lease_id"))), lambda x: x["lease_id"].cast("string")).alias("lease_ids"))
+    whole = events(bulk.join(ended, ["bulk_id", "user_id"]), "at", "bulk_id", F.lit("leases_revoked_bulk"), canonical_json(
+        user=user, lease_ids=F.col("lease_ids"), reason=F.lit("all leases withdrawn")))
+    merged = issued.unionByName(redeemed).unionByName(single).unionByName(whole)
+    return merged.withColumns({"day": F.col("at").cast("date"), "event_time": F.date_format("at", "yyyy-MM-dd HH:mm:ss")})
+
+
 # ---- quarantine --------------------------------------------------------------------------
 # quarantines(quarantine_id, at, user_id, reason)   requests(request_id, at, user_id, approver)
 def resume_outcomes(quarantines: DataFrame, requests: DataFrame, cfg: EngineConfig) -> DataFrame:
@@ -148,6 +190,18 @@ def active_quarantines(ledger: DataFrame) -> DataFrame:
     return ledger.where("active")
 
 
+def resume_lease_id() -> Column:
+    return F.substring(F.sha2(F.concat_ws("|", F.lit("resume"), F.col("request_id").cast("string")), 256), 1, 16)
+
+
+def resume_leases(outcomes: DataFrame, cfg: EngineConfig, ttl_seconds: int | None = None) -> DataFrame:
+    """The leases that approvals grant, as `lease_states` takes them."""
+    ttl = cfg.lease_ttl_seconds if ttl_seconds is None else ttl_seconds
+    return outcomes.where("outcome = 'approved'").select(
+        resume_lease_id().alias("lease_id"), "user_id", F.col("at").alias("issued_at"), F.col("request_id").alias("issued_ord"),
+        (F.col("at") + F.make_interval(secs=F.lit(ttl))).alias("expires_at"))
+
+
 def resume_events(outcomes: DataFrame, directory: DataFrame, entitlements: DataFrame, cfg: EngineConfig,
                   ttl_seconds: int | None = None) -> DataFrame:
     """Audit events of the requests: none, one (denied) or three (approval, lease, release)."""
@@ -155,7 +209,7 @@ def resume_events(outcomes: DataFrame, directory: DataFrame, entitlements: DataF
     rows = with_role(outcomes, directory).join(
         entitlements.groupBy("role").agg(F.min("secret_id").alias("secret_id")), "role", "left")
     user, approver = F.col("user_id").cast("string"), F.col("approver")
-    lease = F.substring(F.sha2(F.concat_ws("|", F.lit("resume"), F.col("request_id").cast("string")), 256), 1, 16)
+    lease = resume_lease_id()
     expires = F.date_format(F.col("at") + F.make_interval(secs=F.lit(ttl)), "yyyy-MM-dd HH:mm:ss")
 
     def event(name: str, outcome: str, **payload: Column) -> Column:
@@ -164,10 +218,10 @@ def resume_events(outcomes: DataFrame, directory: DataFrame, entitlements: DataF
 
     emitted = F.filter(F.array(
         event("second_person_approval_denied", "denied_missing_or_self", user=user, approver=approver,
-              cause=F.lit("missing_or_self_approval")),
+              cause=F.lit(CAUSES["approval"])),
         event("second_person_approval", "approved", user=user, role=F.col("role"), approver=approver),
         event("lease_issued", "approved", lease_id=lease, secret_id=F.col("secret_id"), user=user, role=F.col("role"),
-              reason=F.concat(F.lit("quarantine resume approved by "), approver), ttl_seconds=F.lit(ttl),
+              reason=F.concat(F.lit("release approved by "), approver), ttl_seconds=F.lit(ttl),
               expires_at=expires),
         event("quarantine_released", "approved", user=user, approved_by=approver, lease_id=lease),
     ), lambda e: e.isNotNull())

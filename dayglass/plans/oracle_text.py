@@ -178,55 +178,79 @@ VIEWS["base_vol"] = _baseline("vol", "v")
 VIEWS["held"] = f"""
   SELECT user_id, day, CAST(is_malicious AS INTEGER) AS y, round({_excess('v')}, 6) AS s
   FROM vol, base_vol WHERE split = 'test'"""
-VIEWS["curve"] = """
+def _curve(held: str) -> str:
+    return f"""
   SELECT s AS score, n, pos, sum(n) OVER w AS cum_n, sum(pos) OVER w AS cum_pos
-  FROM (SELECT s, count(*) AS n, sum(y) AS pos FROM held GROUP BY s)
+  FROM (SELECT s, count(*) AS n, sum(y) AS pos FROM {held} GROUP BY s)
   WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING)"""
-VIEWS["topk"] = """
+
+
+def _topk(held: str) -> str:
+    return f"""
   SELECT c.share, c.k, sum(r.y) AS hits, any_value(c.p) AS p
   FROM (SELECT share, greatest(1, CAST(round_even(count(*) * share, 0) AS BIGINT)) AS k, sum(y) AS p
-        FROM held, (VALUES (CAST(0.01 AS DOUBLE)), (CAST(0.02 AS DOUBLE)), (CAST(0.05 AS DOUBLE))) t(share) GROUP BY share) c
-  JOIN (SELECT y, row_number() OVER (ORDER BY s DESC, sha256(user_id || '|' || day)) AS r FROM held) r ON r.r <= c.k
+        FROM {held}, (VALUES (CAST(0.01 AS DOUBLE)), (CAST(0.02 AS DOUBLE)), (CAST(0.05 AS DOUBLE))) t(share) GROUP BY share) c
+  JOIN (SELECT y, row_number() OVER (ORDER BY s DESC, sha256(user_id || '|' || day)) AS r FROM {held}) r ON r.r <= c.k
   GROUP BY c.share, c.k"""
-VIEWS["dec"] = """
+
+
+VIEWS["curve"], VIEWS["topk"] = _curve("held"), _topk("held")
+def _dec(rows: str) -> str:
+    return f"""
   SELECT *, CASE risk_tier WHEN 'Low' THEN 'log_only' WHEN 'Medium' THEN 'stepup_flagged'
                  WHEN 'High' THEN CASE WHEN pass THEN 'stepup_required_passed' ELSE 'quarantined_after_failed_stepup' END
                  ELSE 'auto_quarantined' END AS action
   FROM (SELECT *, CAST('0x' || substr(sha256(user_id || '|' || day || ' 00:00:00'), 1, 2) AS INTEGER) / 255 < 0.97 AS pass
-        FROM scored)"""
+        FROM {rows})"""
+
+
+VIEWS["dec"] = _dec("scored")
 VIEWS["ent"] = "SELECT DISTINCT role, 'SECRET-' || role AS secret_id FROM dir WHERE role <> 'FURNITURE'"
 VIEWS["lease"] = """
   SELECT d.*, e.secret_id, substr(sha256('lease|' || d.user_id || '|' || d.day || ' 00:00:00'), 1, 16) AS lease_id
   FROM dec d LEFT JOIN ent e USING (role)"""
-_NUM = "'\"' || CAST(CAST(round(risk_score, 6) AS DECIMAL(18,6)) AS VARCHAR) || '\"'"
+def _num(value: str) -> str:
+    return f"'\"' || CAST(CAST(round({value}, 6) AS DECIMAL(18,6)) AS VARCHAR) || '\"'"
+
+
+_NUM = _num("risk_score")
 _SECRET = "coalesce('\"' || secret_id || '\"', 'null')"
-VIEWS["fan"] = f"""
+
+
+def _fan(rows: str, forest: str = "risk_score", peer: str = "risk_score", tops: str = "'null'", revoked: str = "'[]'") -> str:
+    """The audit events of decided sessions; `revoked` is the text of the leases a lockout ended."""
+    who = """"role":"' || role || '","user":"' || user_id || '"}'"""
+    ended = f"CASE WHEN {revoked} <> '[]' THEN 1 ELSE 0 END"
+    locked = f"""'{{"cause":"%s","revoked_leases":' || {revoked} || ',"risk_score":' || {_NUM} || ',"role":"' || role || '"%s,"tier":"%s","user":"' || user_id || '"}}'"""
+    scenario = ""","scenario_id":' || coalesce('"' || scenario_id || '"', 'null') || '"""
+    gone = f"""'{{"lease_ids":' || {revoked} || ',"reason":"%s","user":"' || user_id || '"}}' FROM {rows} WHERE {revoked} <> '[]' AND action = '%s'"""
+    return f"""
   SELECT user_id, day, 0 AS step_no, 'session_scored' AS event_type,
-    '{{"date":"' || day || ' 00:00:00","isolation_forest_score":' || {_NUM} || ',"peer_group_score":' || {_NUM} ||
-    ',"risk_score":' || {_NUM} || ',"risk_tier":"' || risk_tier || '","role":"' || role || '","user":"' || user_id || '"}}'
-    AS payload FROM lease
-  UNION ALL SELECT user_id, day, 1, 'stepup_auth_flagged',
-    '{{"risk_score":' || {_NUM} || ',"role":"' || role || '","user":"' || user_id || '"}}' FROM lease WHERE risk_tier = 'Medium'
+    '{{"date":"' || day || ' 00:00:00","isolation_forest_score":' || {_num(forest)} || ',"peer_group_score":' || {_num(peer)} ||
+    ',"risk_score":' || {_NUM} || ',"risk_tier":"' || risk_tier || '",{who} AS payload FROM {rows}
+  UNION ALL SELECT user_id, day, 1, 'stepup_auth_flagged', '{{"risk_score":' || {_NUM} || ',{who} FROM {rows} WHERE risk_tier = 'Medium'
   UNION ALL SELECT user_id, day, 1, 'stepup_auth_required',
-    '{{"enhanced_logging":true,"risk_score":' || {_NUM} || ',"role":"' || role || '","top_features":null,"user":"' || user_id || '"}}'
-    FROM lease WHERE risk_tier = 'High'
+    '{{"enhanced_logging":true,"risk_score":' || {_NUM} || ',"role":"' || role || '","top_features":' || {tops} || ',"user":"' || user_id || '"}}'
+    FROM {rows} WHERE risk_tier = 'High'
   UNION ALL SELECT user_id, day, 2, 'stepup_auth_result',
     '{{"passed":' || CASE WHEN pass THEN 'true' ELSE 'false' END || ',"tier":"' || risk_tier || '","user":"' || user_id || '"}}'
-    FROM lease WHERE risk_tier IN ('Medium', 'High')
-  UNION ALL SELECT user_id, day, 3, 'session_quarantined',
-    '{{"cause":"stepup_auth_failed","revoked_leases":[],"risk_score":' || {_NUM} || ',"role":"' || role || '","tier":"High","user":"' || user_id || '"}}'
-    FROM lease WHERE action = 'quarantined_after_failed_stepup'
-  UNION ALL SELECT user_id, day, 1, 'session_quarantined',
-    '{{"cause":"critical_score","revoked_leases":[],"risk_score":' || {_NUM} || ',"role":"' || role || '","scenario_id":' ||
-    coalesce('"' || scenario_id || '"', 'null') || ',"tier":"Critical","user":"' || user_id || '"}}'
-    FROM lease WHERE action = 'auto_quarantined'
+    FROM {rows} WHERE risk_tier IN ('Medium', 'High')
+  UNION ALL SELECT user_id, day, 3, 'leases_revoked_bulk', {gone % ("locked out: tier High, challenge failed", "quarantined_after_failed_stepup")}
+  UNION ALL SELECT user_id, day, 3 + {ended}, 'session_quarantined', {locked % ("stepup_auth_failed", "", "High")}
+    FROM {rows} WHERE action = 'quarantined_after_failed_stepup'
+  UNION ALL SELECT user_id, day, 1, 'leases_revoked_bulk', {gone % ("locked out: tier Critical", "auto_quarantined")}
+  UNION ALL SELECT user_id, day, 1 + {ended}, 'session_quarantined', {locked % ("critical_score", scenario, "Critical")}
+    FROM {rows} WHERE action = 'auto_quarantined'
   UNION ALL SELECT user_id, day, 3, 'lease_issued',
     '{{"expires_at":"' || CAST(day + 1 AS DATE) || ' 00:05:00","lease_id":"' || lease_id ||
-    '","reason":"continue session after step-up (' || risk_tier || ')","role":"' || role || '","secret_id":' || {_SECRET} ||
-    ',"ttl_seconds":300,"user":"' || user_id || '"}}' FROM lease WHERE action IN ('stepup_flagged', 'stepup_required_passed')
+    '","reason":"challenge answered, tier ' || risk_tier || '","role":"' || role || '","secret_id":' || {_SECRET} ||
+    ',"ttl_seconds":300,"user":"' || user_id || '"}}' FROM {rows} WHERE action IN ('stepup_flagged', 'stepup_required_passed')
   UNION ALL SELECT user_id, day, 4, 'lease_redeemed',
     '{{"lease_id":"' || lease_id || '","secret_id":' || {_SECRET} || ',"user":"' || user_id || '"}}'
-    FROM lease WHERE action IN ('stepup_flagged', 'stepup_required_passed')"""
+    FROM {rows} WHERE action IN ('stepup_flagged', 'stepup_required_passed')"""
+
+
+VIEWS["fan"] = _fan("lease")
 VIEWS["entry"] = """
   SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY user_id, step_no) - 1 AS seq
   FROM (SELECT *, CAST(CAST(day + 1 AS DATE) AS VARCHAR) || ' 00:00:00' AS event_time,
@@ -303,15 +327,137 @@ VIEWS["resume_fan"] = f"""
     '{{"approver":"' || approver || '","role":"' || role || '","user":"' || user_id || '"}}' FROM resume_lease WHERE outcome = 'approved'
   UNION ALL SELECT request_id, user_id, t_at, 1, 'lease_issued',
     '{{"expires_at":"' || strftime(t_at + INTERVAL 300 SECOND, '%Y-%m-%d %H:%M:%S') || '","lease_id":"' || lease_id ||
-    '","reason":"quarantine resume approved by ' || approver || '","role":"' || role || '","secret_id":' || {_SECRET} ||
+    '","reason":"release approved by ' || approver || '","role":"' || role || '","secret_id":' || {_SECRET} ||
     ',"ttl_seconds":300,"user":"' || user_id || '"}}' FROM resume_lease WHERE outcome = 'approved'
   UNION ALL SELECT request_id, user_id, t_at, 2, 'quarantine_released',
     '{{"approved_by":"' || approver || '","lease_id":"' || lease_id || '","user":"' || user_id || '"}}'
     FROM resume_lease WHERE outcome = 'approved'"""
 
+# ---- forest: the same hashes draw the samples and grow the trees, level by level
+TREES, TREE_ROWS, LEVELS, SEED = 200, 256, 8, 42
+_HEX = "CAST('0x' || substr(%s, %s, 12) AS BIGINT) / 281474976710656.0::DOUBLE"
+VIEWS["fgrid"] = """
+  SELECT m.user_id, m.day, m.split, list(round_even((m.x - p.mean) / CASE WHEN p.std = 0 THEN 1 ELSE p.std END * 1e6, 0) ORDER BY m.i) AS x
+  FROM melt m JOIN popstat p ON p.i = m.i GROUP BY ALL"""
+VIEWS["fsize"] = f"""
+  SELECT *, least(1.0::DOUBLE, (2 * take + 20) / n) AS p, CAST(ceil(log2(greatest(take, 2))) AS INTEGER) AS deepest
+  FROM (SELECT count(*) AS n, least({TREE_ROWS}, count(*)) AS take FROM fgrid WHERE split = 'train')"""
+VIEWS["fkept"] = f"""
+  SELECT *, len(list_filter(range({TREES}), lambda t: 1.0::DOUBLE - pow(1.0::DOUBLE - p, t + 1) <= u)) AS first
+  FROM (SELECT g.*, f.p, f.take, '{SEED}|' || user_id || '|' || day AS name, {_HEX % (f"sha256('{SEED}|' || user_id || '|' || day)", 1)} AS u
+        FROM fgrid g, fsize f WHERE split = 'train') WHERE u < 1.0::DOUBLE - pow(1.0::DOUBLE - p, {TREES})"""
+VIEWS["fsample"] = f"""
+  SELECT t, 0 AS node, x FROM (
+    SELECT *, row_number() OVER (PARTITION BY t ORDER BY CASE WHEN t = first THEN u * p ELSE u END, user_id, day) AS place
+    FROM (SELECT k.* EXCLUDE (u), r.t, {_HEX % ("sha256(name || '|' || t // 5)", "12 * (t % 5) + 1")} AS u FROM fkept k, range({TREES}) r(t) WHERE t >= first)
+    WHERE t = first OR u < p) WHERE place <= take"""
+_EACH = range(1, len(FEATURES) + 1)
+for _level in range(LEVELS + 1):
+    _rows = "fsample" if not _level else f"fl{_level}"
+    VIEWS[f"fn{_level}"] = f"""
+  SELECT t, node, n, f, lo[f] + place * (hi[f] - lo[f]) AS cut FROM (
+    SELECT *, CASE WHEN rows.n > 1 AND {_level} < deepest AND len(usable) > 0 THEN usable[1 + CAST(floor(choice * len(usable)) AS INTEGER)] END AS f
+    FROM (SELECT *, list_filter(range(1, {len(FEATURES) + 1}), lambda i: hi[i] > lo[i]) AS usable,
+            {_HEX % (f"sha256('{SEED}|' || t || '|' || node)", 1)} AS choice, {_HEX % (f"sha256('{SEED}|' || t || '|' || node)", 13)} AS place
+          FROM (SELECT t, node, count(*) AS n, [{", ".join(f"min(x[{i}])" for i in _EACH)}] AS lo, [{", ".join(f"max(x[{i}])" for i in _EACH)}] AS hi
+                FROM {_rows} GROUP BY t, node)) rows, (SELECT deepest FROM fsize))"""
+    if _level < LEVELS:
+        VIEWS[f"fl{_level + 1}"] = f"""
+  SELECT l.t, 2 * l.node + 1 + CASE WHEN l.x[d.f] > d.cut THEN 1 ELSE 0 END AS node, l.x
+  FROM {_rows} l JOIN fn{_level} d ON d.t = l.t AND d.node = l.node WHERE d.f IS NOT NULL"""
+    _here = f"(SELECT user_id, day, r.t, 0 AS node, x FROM fgrid, range({TREES}) r(t))" if not _level else f"fd{_level}"
+    VIEWS[f"fd{_level + 1}"] = f"""
+  SELECT h.user_id, h.day, h.t, h.x, d.n, CASE WHEN d.f IS NOT NULL THEN 2 * h.node + 1 + CASE WHEN h.x[d.f] > d.cut THEN 1 ELSE 0 END END AS node
+  FROM {_here} h JOIN fn{_level} d ON d.t = h.t AND d.node = h.node"""
+_PATH = ("CASE WHEN {0} <= 1 THEN 0.0::DOUBLE WHEN {0} = 2 THEN 1.0::DOUBLE ELSE 2 * (ln({0} - 1.0::DOUBLE) + 0.5772156649015329) - 2 * ({0} - 1.0::DOUBLE) / {0} END")
+VIEWS["fleaf"] = " UNION ALL ".join(
+    f"SELECT user_id, day, {k} + {_PATH.format('n')} AS path FROM fd{k + 1} WHERE node IS NULL" for k in range(LEVELS + 1))
+VIEWS["fraw"] = f"""
+  SELECT l.user_id, l.day, any_value(g.split) AS split, pow(2.0::DOUBLE, -avg(path) / any_value(CASE WHEN take <= 1 THEN 1 ELSE {_PATH.format('take')} END)) AS raw
+  FROM fleaf l JOIN fgrid g ON g.user_id = l.user_id AND g.day = l.day, fsize GROUP BY l.user_id, l.day"""
+VIEWS["base_raw"] = _baseline("fraw", "raw")
+VIEWS["fscore"] = f"SELECT f.*, {_excess('raw')} AS score FROM fraw f, base_raw"
+VIEWS["pscore"] = f"SELECT x.user_id, x.day, {_excess('x.d')} AS score FROM dist x JOIN base_dist b ON b.role = x.role"
+VIEWS["risks"] = f"""
+  SELECT *, {_tier('risk_score')} AS risk_tier FROM (
+    SELECT t.user_id, t.day, t.role, t.split, t.is_malicious, t.scenario_id, f.score AS isolation_forest_score, p.score AS peer_group_score,
+           0.5 * f.score + 0.5 * p.score AS risk_score
+    FROM feat t JOIN fscore f ON f.user_id = t.user_id AND f.day = t.day JOIN pscore p ON p.user_id = t.user_id AND p.day = t.day)"""
+VIEWS["top4"] = """
+  SELECT user_id, day, list({'feature': feature, 'pct': round_even(pct, 1) + 0.0, 'z': round_even(z, 2) + 0.0, 'capped': abs(z) > 15,
+           'direction': CASE WHEN z > 0 THEN 'above peer norm' ELSE 'below peer norm' END} ORDER BY place) AS tops
+  FROM contrib WHERE place < 4 GROUP BY user_id, day"""
+
+
+VIEWS["fheld"] = "SELECT user_id, day, CAST(is_malicious AS INTEGER) AS y, risk_score AS s FROM risks WHERE split = 'test'"
+VIEWS["fcurve"], VIEWS["ftopk"] = _curve("fheld"), _topk("fheld")
+VIEWS["fdec"] = _dec("risks") + " WHERE split = 'test'"
+
+
+# ---- lockouts: quarantines by decision, approvals by request, intervals between them
+def _lockouts(prefix: str, decided: str) -> None:
+    VIEWS[f"{prefix}quar"] = f"""
+  SELECT user_id, day, CAST(day - DATE '1970-01-01' AS BIGINT) AS id, CAST(day + 1 AS TIMESTAMP) AS t_at,
+         CASE WHEN action = 'auto_quarantined' THEN 'tier Critical, scenario ' || coalesce(scenario_id, 'unnamed')
+              ELSE 'tier High, challenge failed' END AS reason
+  FROM {decided} WHERE action LIKE '%quarantined%'"""
+    VIEWS[f"{prefix}free"] = f"""
+  SELECT id, t_at, user_id, approver FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, seg ORDER BY t_at, id) AS rn FROM (
+      SELECT a.*, (SELECT max(q.id) FROM {prefix}quar q WHERE q.user_id = a.user_id
+                   AND (q.t_at < a.t_at OR (q.t_at = a.t_at AND q.id <= a.id))) AS seg
+      FROM asks a WHERE approver <> '' AND approver <> CAST(user_id AS VARCHAR)) WHERE seg IS NOT NULL) WHERE rn = 1"""
+    VIEWS[f"{prefix}lock"] = f"""
+  SELECT l.*, r.t_at AS locked_until, r.approver AS released_by FROM (
+    SELECT user_id, request_id, min(t_at) AS locked_from, count(*) AS n_quarantines, max(id) AS quarantine_id, arg_max(reason, id) AS reason
+    FROM (SELECT q.*, (SELECT min(r.id) FROM {prefix}free r WHERE r.user_id = q.user_id
+                       AND (r.t_at > q.t_at OR (r.t_at = q.t_at AND r.id >= q.id))) AS request_id FROM {prefix}quar q)
+    GROUP BY user_id, request_id) l LEFT JOIN {prefix}free r ON r.id = l.request_id"""
+
+
+_lockouts("s", "dec")
+_lockouts("f", "fdec")
+VIEWS["frevoked"] = """
+  SELECT user_id, day, '["' || string_agg(lease_id, '","' ORDER BY lease_id) || '"]' AS ids FROM (
+    SELECT q.user_id, q.day, substr(sha256('resume|' || r.id), 1, 16) AS lease_id FROM fquar q JOIN ffree r ON r.user_id = q.user_id
+      AND r.t_at < q.t_at AND q.t_at <= r.t_at + INTERVAL 300 SECOND) GROUP BY ALL"""
+VIEWS["flease"] = f"""
+  SELECT d.*, e.secret_id, substr(sha256('lease|' || d.user_id || '|' || d.day || ' 00:00:00'), 1, 16) AS lease_id, coalesce(r.ids, '[]') AS revoked,
+    '[' || array_to_string(list_transform(tops, lambda x: '{{"direction":"' || x.direction || '","feature":"' || x.feature ||
+      '","pct_contribution":' || {_num('x.pct')} || ',"z_capped_for_display":' || x.capped || ',"z_score":' || {_num('x.z')} || '}}'), ',') || ']' AS tops_text
+  FROM fdec d LEFT JOIN ent e USING (role) JOIN top4 t ON t.user_id = d.user_id AND t.day = d.day
+  LEFT JOIN frevoked r ON r.user_id = d.user_id AND r.day = d.day"""
+VIEWS["ffan"] = _fan("flease", "isolation_forest_score", "peer_group_score", "tops_text", "revoked")
+
+# ---- the lease ledger as audit events
+VIEWS["named"] = """
+  SELECT g.*, coalesce(d.role, 'Unknown') AS role, e.secret_id FROM grants g LEFT JOIN dir d USING (user_id) LEFT JOIN ent e ON e.role = d.role"""
+VIEWS["tried"] = """
+  SELECT t.id, t.t_at, t.lease_id, t.user_id, n.secret_id,
+    CASE WHEN s.revoked < t.id THEN 'revoked' WHEN s.redeemed < t.id THEN 'already_redeemed' WHEN t.t_at > s.expires_at THEN 'expired' ELSE 'redeemed' END AS outcome
+  FROM tries t JOIN state s ON s.lease_id = t.lease_id JOIN named n ON n.lease_id = t.lease_id"""
+VIEWS["levent"] = f"""
+  SELECT user_id, issued_at AS t_at, lease_id AS id, 'lease_issued' AS event_type,
+    '{{"expires_at":"' || strftime(expires_at, '%Y-%m-%d %H:%M:%S') || '","lease_id":"' || lease_id || '","reason":"granted on request","role":"' || role ||
+    '","secret_id":' || {_SECRET} || ',"ttl_seconds":' || CAST((epoch_us(expires_at) - epoch_us(issued_at)) // 1000000 AS BIGINT) || ',"user":"' || user_id || '"}}' AS payload FROM named
+  UNION ALL SELECT user_id, t_at, id, 'lease_redeemed', '{{"lease_id":"' || lease_id || '","secret_id":' || {_SECRET} || ',"user":"' || user_id || '"}}'
+    FROM tried WHERE outcome = 'redeemed'
+  UNION ALL SELECT user_id, t_at, id, 'lease_redeem_denied', '{{"cause":"' || outcome || '","lease_id":"' || lease_id || '"}}' FROM tried WHERE outcome <> 'redeemed'
+  UNION ALL SELECT s.user_id, x.t_at, x.id, 'lease_revoked', '{{"lease_id":"' || x.lease_id || '","reason":"withdrawn' ||
+    CASE WHEN s.revoked = x.id THEN '' ELSE ', no effect' END || '"}}' FROM singles x JOIN state s ON s.lease_id = x.lease_id
+  UNION ALL SELECT b.user_id, b.t_at, b.id, 'leases_revoked_bulk', '{{"lease_ids":["' || string_agg(s.lease_id, '","' ORDER BY s.issued_at, s.lease_id) ||
+    '"],"reason":"all leases withdrawn","user":"' || b.user_id || '"}}' FROM bulks b JOIN state s ON s.revoked = b.id GROUP BY b.user_id, b.t_at, b.id"""
+VIEWS["lentry"] = """
+  SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY t_at, id) - 1 AS seq
+  FROM (SELECT *, strftime(t_at, '%Y-%m-%d %H:%M:%S') AS event_time,
+          CAST(t_at AS DATE) || '/' || CAST('0x' || substr(sha256(CAST(user_id AS VARCHAR)), 1, 4) AS INTEGER) % 4 AS chain_id FROM levent)"""
+VIEWS["lentry_chain"] = _chain("lentry")
+
+
 # views read by several others are computed once
 ONCE = {"act", "ud", "peak", "fold", "feat", "melt", "zs", "pair", "scored", "held", "entry", "ev", "latest", "tries",
-        "singles", "bulks", "quars", "asks", "resumed", "rolestat", "covs", "inv", "dist", "bicount", "head", "state"}
+        "singles", "bulks", "quars", "asks", "resumed", "rolestat", "covs", "inv", "dist", "bicount", "head", "state", "fgrid", "fsize",
+        "fkept", "fsample", "fraw", "risks", "dec", "fdec", "lentry", "tried", "squar", "sfree", "fquar", "ffree", *(f"f{k}{n}" for k in "lnd" for n in range(LEVELS + 2))}
 
 
 def _needs(text: str) -> set[str]:
@@ -328,7 +474,7 @@ def _sql(body: str) -> str:
     parts = [f"{v} AS {'MATERIALIZED ' if v in ONCE else ''}({VIEWS[v]})" for v in VIEWS if v in wanted]
     if not parts:
         return body
-    recursive = "RECURSIVE " if wanted & {"entry_chain", "head_chain", "solve"} else ""
+    recursive = "RECURSIVE " if wanted & {"entry_chain", "head_chain", "lentry_chain", "solve"} else ""
     return f"WITH {recursive}" + ",\n".join(parts) + "\n" + body
 
 
@@ -344,6 +490,19 @@ ACTIVITY = (f"user_id, event_id, epoch_us(ts) AS ts, {DAY}, source, pc, activity
             "to_domain_type, CAST(attachments AS BIGINT) AS attachments")
 _DRILL = "SELECT e.chain_id, e.seq, '%s' AS error FROM entry e JOIN len l ON l.chain_id = e.chain_id WHERE %s"
 
+def _report(held: str, curve: str, topk: str) -> str:
+    tops = ", ".join(
+        f"round_even((SELECT hits / greatest(p, 1) FROM {topk} WHERE round(share, 2) = 0.0{s}), 3) + 0.0 AS recall_top{s}pct, "
+        f"round_even((SELECT hits / k FROM {topk} WHERE round(share, 2) = 0.0{s}), 3) + 0.0 AS precision_top{s}pct" for s in (1, 2, 5))
+    return f"""SELECT h.n AS n_sessions, CAST(h.p AS BIGINT) AS n_malicious_labeled,
+          '1:' || CAST(round_even((h.n - h.p) / greatest(h.p, 1), 0) AS BIGINT) AS imbalance_ratio,
+          round_even(a.roc, 4) + 0.0 AS roc_auc, round_even(b.ap, 4) + 0.0 AS pr_auc, {tops}
+        FROM (SELECT count(*) AS n, sum(y) AS p FROM {held}) h, (
+          SELECT (sum(y * r) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)) AS roc
+          FROM (SELECT y, avg(rn) OVER (PARTITION BY s) AS r FROM (SELECT y, s, row_number() OVER (ORDER BY s) AS rn FROM {held}))) a, (
+          SELECT sum(pos / p * cum_pos / cum_n) AS ap FROM {curve}, (SELECT sum(y) AS p FROM {held})) b"""
+
+
 BODIES: dict[str, str] = {
     "q_activity_union": f"SELECT {ACTIVITY}, CAST(hour(ts) AS BIGINT) AS hour, CAST(isodow(day) - 1 AS BIGINT) AS dow FROM act",
     "q_activity_single_pass": f"SELECT {ACTIVITY} FROM act",
@@ -395,6 +554,12 @@ BODIES: dict[str, str] = {
           FROM feat WHERE split = 'train' GROUP BY role) s ON s.role = f.role) f""",
     "q_peer_score": f"""SELECT x.user_id, CAST(x.day AS VARCHAR) AS day, round(x.d, 4) + 0.0 AS peer_distance,
         round({_excess('x.d')}, 4) + 0.0 AS peer_group_score FROM dist x JOIN base_dist b ON b.role = x.role""",
+    "q_forest_score": f"SELECT {KEY}, {_r('raw', digits=4)}, round(score, 4) + 0.0 AS isolation_forest_score FROM fscore",
+    "q_scored": f"""SELECT f.user_id, CAST(f.day AS VARCHAR) AS day, f.role, f.split, CAST(f.is_malicious AS BIGINT) AS is_malicious, f.scenario_id,
+        {_r('isolation_forest_score', 'peer_group_score', 'risk_score', digits=4)}, risk_tier,
+        '[' || array_to_string(list_transform(tops, lambda x: '{{"feature":"' || x.feature || '","pct_contribution":' || x.pct || ',"z_score":' || x.z ||
+          ',"z_capped_for_display":' || x.capped || ',"direction":"' || x.direction || '"}}'), ',') || ']' AS top_features
+        FROM risks f JOIN top4 t ON t.user_id = f.user_id AND t.day = f.day""",
     "q_ensemble": f"SELECT s.user_id, CAST(s.day AS VARCHAR) AS day, round(0.5 * s.risk_score + 0.5 * b.score, 4) + 0.0 AS risk_score "
                   "FROM scored s JOIN by_role b ON b.user_id = s.user_id AND b.day = s.day",
     "q_tiers": f"SELECT {KEY}, {_r('risk_score')}, risk_tier FROM scored",
@@ -421,15 +586,8 @@ BODIES: dict[str, str] = {
     "q_avg_precision": "SELECT round(sum(pos / p * cum_pos / cum_n), 6) + 0.0 AS pr_auc FROM curve, (SELECT sum(y) AS p FROM held)",
     "q_topk_recall": """SELECT share, k, CAST(hits AS BIGINT) AS hits, round(hits / greatest(p, 1), 6) + 0.0 AS recall_at_k,
         round(hits / k, 6) + 0.0 AS precision_at_k FROM topk""",
-    "q_eval_report": """SELECT h.n AS n_sessions, CAST(h.p AS BIGINT) AS n_malicious_labeled,
-          '1:' || CAST(round_even((h.n - h.p) / greatest(h.p, 1), 0) AS BIGINT) AS imbalance_ratio,
-          round_even(a.roc, 4) + 0.0 AS roc_auc, round_even(b.ap, 4) + 0.0 AS pr_auc, """ + ", ".join(
-        f"round_even((SELECT hits / greatest(p, 1) FROM topk WHERE round(share, 2) = 0.0{s}), 3) + 0.0 AS recall_top{s}pct, "
-        f"round_even((SELECT hits / k FROM topk WHERE round(share, 2) = 0.0{s}), 3) + 0.0 AS precision_top{s}pct" for s in (1, 2, 5)) + """
-        FROM (SELECT count(*) AS n, sum(y) AS p FROM held) h, (
-          SELECT (sum(y * r) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)) AS roc
-          FROM (SELECT y, avg(rn) OVER (PARTITION BY s) AS r FROM (SELECT y, s, row_number() OVER (ORDER BY s) AS rn FROM held))) a, (
-          SELECT sum(pos / p * cum_pos / cum_n) AS ap FROM curve, (SELECT sum(y) AS p FROM held)) b""",
+    "q_eval_report": _report("held", "curve", "topk"),
+    "q_detection_report": _report("fheld", "fcurve", "ftopk"),
     "q_feed": f"""SELECT {DAY}, user_id, role, round(risk_score, 1) + 0.0 AS risk_score, risk_tier,
         CASE action WHEN 'stepup_flagged' THEN 'Step-up flagged' WHEN 'stepup_required_passed' THEN 'Step-up required (passed)'
              WHEN 'quarantined_after_failed_stepup' THEN 'Quarantined (step-up failed)' ELSE 'Auto-quarantined' END AS outcome
@@ -450,11 +608,21 @@ BODIES: dict[str, str] = {
         CAST(risk_tier IN ('Medium', 'High') AS BIGINT) AS stepup_required,
         CASE WHEN risk_tier IN ('Medium', 'High') THEN CAST(pass AS BIGINT) END AS stepup_passed,
         CAST(action LIKE '%quarantined%' AS BIGINT) AS quarantined,
-        CASE action WHEN 'stepup_required_passed' THEN 'session continues under enhanced logging'
-             WHEN 'auto_quarantined' THEN 'resumable only via fresh JIT lease + second-person approval' ELSE '' END AS notes
+        CASE action WHEN 'stepup_required_passed' THEN 'goes on, logged in detail'
+             WHEN 'auto_quarantined' THEN 'locked until a second person approves and a new lease is granted' ELSE '' END AS notes
         FROM dec""",
+    "q_policy_run": f"""SELECT {KEY}, CAST(step_no AS BIGINT) AS step_no, CAST(CAST(day + 1 AS DATE) AS VARCHAR) || ' 00:00:00' AS event_time,
+        event_type, payload FROM ffan""",
+    "q_policy_quarantines": """SELECT user_id, epoch_us(locked_from) AS locked_from, epoch_us(locked_until) AS locked_until, n_quarantines,
+        quarantine_id, reason, request_id, released_by FROM slock""",
+    "q_policy_locks": """SELECT d.user_id, CAST(d.day AS VARCHAR) AS day, d.action, CAST(l.locked_from IS NOT NULL AS BIGINT) AS locked,
+        epoch_us(l.locked_from) AS locked_since
+        FROM dec d LEFT JOIN slock l ON l.user_id = d.user_id AND l.locked_from < CAST(d.day + 1 AS TIMESTAMP)
+          AND (l.locked_until IS NULL OR l.locked_until >= CAST(d.day + 1 AS TIMESTAMP))""",
+    "q_ledger_events": """SELECT user_id, CAST(CAST(t_at AS DATE) AS VARCHAR) AS day, epoch_us(t_at) AS at_us, id AS ord, event_time, event_type, payload FROM lentry""",
+    "q_ledger_chain": "SELECT * FROM lentry_chain",
     "q_decision_events": f"SELECT {KEY}, CAST(step_no AS BIGINT) AS step_no, event_time, event_type, payload FROM entry",
-    "q_lease_grants": f"""SELECT lease_id, secret_id, user_id, role, {DAY}, 'continue session after step-up (' || risk_tier || ')' AS reason,
+    "q_lease_grants": f"""SELECT lease_id, secret_id, user_id, role, {DAY}, 'challenge answered, tier ' || risk_tier AS reason,
         CAST(300 AS BIGINT) AS ttl_seconds, epoch_us(CAST(day + 1 AS TIMESTAMP)) AS issued_at,
         epoch_us(CAST(day + 1 AS TIMESTAMP)) + 300000000 AS expires_at
         FROM lease WHERE action IN ('stepup_flagged', 'stepup_required_passed')""",

@@ -15,7 +15,7 @@ from ..functions.expressions import (
 from ..operators import audit, decisions, explain, features, feeds, forest, ledgers, peers, sessions, stats
 from ..session import materialize, tune
 from ..sources import events as source, logs
-from . import risk_model
+from . import policy, risk_model
 
 SNAPSHOT = "2024-01-16 00:00:00"
 SEARCH_TERM = "stepup"
@@ -572,7 +572,36 @@ def quarantine_precision(x):
 @query()
 def policy_run(x):
     held = materialize(_detect(x).where("split = 'test'"), "held-out")
-    return decisions.run_policy(held, x.entitlements, x.cfg)["events"]
+    return policy.run_policy(held, x.entitlements, x.cfg, source.resume_requests(x.events))["events"]
+
+
+def _policy(x):
+    return policy.run_policy(x.scored, x.entitlements, x.cfg, source.resume_requests(x.events))
+
+
+@query()
+def policy_quarantines(x):
+    return _policy(x)["intervals"]
+
+
+@query()
+def policy_locks(x):
+    return _policy(x)["decisions"].select("user_id", "day", "action", "locked", "locked_since")
+
+
+def _ledger_events(x):
+    return ledgers.ledger_events(source.lease_grants(x.events), x.attempts, x.revokes, source.bulk_revokes(x.events), x.states,
+                                 x.directory, x.entitlements)
+
+
+@query()
+def ledger_events(x):
+    return _ledger_events(x).withColumnRenamed("at", "at_us")
+
+
+@query()
+def ledger_chain(x):
+    return audit.build_chains(audit.with_chain(_ledger_events(x), x.cfg), ["at", "ord"])
 
 
 # ---- audit ---------------------------------------------------------------------------------

@@ -8,7 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from dayglass.operators import decisions, feeds, ledgers
+from dayglass.operators import decisions, feeds, ledgers, lockouts
+from dayglass.plans import policy
 
 DAY = dt.date(2024, 1, 20)
 SCORED = ("user_id string, role string, day date, split string, is_malicious boolean, scenario_id string, risk_score double, "
@@ -81,7 +82,7 @@ def test_policy_run_hands_back_unscored_sessions(scored, ent, cfg):
     lost = F.col("user_id") == "u3"
     mixed = scored.withColumn("risk_tier", F.when(~lost, F.col("risk_tier"))).withColumn(
         "risk_score", F.when(lost, F.lit(float("nan"))).otherwise(F.col("risk_score")))
-    out = decisions.run_policy(mixed, ent, cfg)
+    out = policy.run_policy(mixed, ent, cfg)
     assert [(r.user_id, r.risk_score) for r in out["rejects"].collect()] == [("u3", None)]
     assert out["decisions"].count() == 119 and out["events"].where("user_id = 'u3'").count() == 0
 
@@ -219,3 +220,96 @@ def test_resume_events_and_default_role(spark, cfg, ent):
     assert events.count() == counts["denied_missing_or_self"] + 3 * counts["approved"]
     one = json.loads(events.where("event_type = 'lease_issued'").first().payload)
     assert one["role"] == "Unknown" and one["secret_id"] is None and one["ttl_seconds"] == 120
+
+
+# ---- lockouts and audit events -------------------------------------------------------------
+def make_sessions(seed, users=5, days=40):
+    rng = random.Random(seed)
+    tiers = ["Low", "Medium", "High", "Critical"]
+    rows = [(u, DAY + dt.timedelta(days=d), "r", rng.choice(tiers), 50.0, f"s{d}" if rng.random() < 0.5 else None)
+            for u in range(users) for d in range(days) if rng.random() < 0.8]
+    asks = [(i, dt.datetime.combine(DAY, dt.time()) + dt.timedelta(hours=rng.choice([24 * rng.randrange(days + 2), rng.randrange(24 * days)])),
+             rng.randrange(users + 1), rng.choice(["", "boss", "chief", None, "self"])) for i in range(150)]
+    return rows, [(i, at, u, str(u) if a == "self" else a) for i, at, u, a in asks]
+
+
+@pytest.mark.parametrize("hot_rows", [10**9, 5])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lockouts_against_replay(spark, cfg, ent, seed, hot_rows):
+    cfg = cfg.with_(hot_group_rows=hot_rows, slice_seconds=86400 * 3)
+    rows, asks = make_sessions(seed)
+    schema = "user_id bigint, day date, role string, risk_tier string, risk_score double, scenario_id string"
+    sessions = spark.createDataFrame(rows, schema).withColumns({c: F.col("risk_score") for c in ("isolation_forest_score", "peer_group_score")})
+    requests = spark.createDataFrame(asks, "request_id bigint, at timestamp_ntz, user_id bigint, approver string")
+    out = policy.run_policy(sessions, ent, cfg, requests)
+    actions = {(r.user_id, r.day): r.action for r in out["decisions"].collect()}
+    steps = []
+    for user, day, *_ in rows:
+        at = dt.datetime.combine(day + dt.timedelta(days=1), dt.time())
+        steps.append((at, 0, 0, "session", user, day))
+        if actions[user, day] in decisions.QUARANTINED:
+            steps.append((at, 1, (day - dt.date(1970, 1, 1)).days, "lock", user, day))
+    steps += [(at, 1, i, "ask", user, approver) for i, at, user, approver in asks]
+    since, locked, closed = {}, {}, []
+    for at, _, ident, kind, user, what in sorted(steps, key=lambda s: s[:3]):
+        if kind == "session":
+            locked[user, what] = since[user][0] if user in since else None
+        elif kind == "lock":
+            first, n, _ = since.get(user, (at, 0, None))
+            since[user] = (first, n + 1, ident)
+        elif user in since and what and what != str(user):
+            closed.append((user, since[user][0], at, since[user][1], since[user][2], ident, what))
+            del since[user]
+    closed += [(user, first, None, n, last, None, None) for user, (first, n, last) in since.items()]
+    got = [(r.user_id, r.locked_from, r.locked_until, r.n_quarantines, r.quarantine_id, r.request_id, r.released_by) for r in out["intervals"].collect()]
+    assert sorted(got, key=str) == sorted(closed, key=str) and any(c[2] for c in closed) and any(c[3] > 1 for c in closed)
+    assert {(r.user_id, r.day): r.locked_since for r in out["decisions"].collect()} == locked
+    assert all(r.locked == (r.locked_since is not None) for r in out["decisions"].collect())
+    reasons = {(r.user_id, r.quarantine_id): r.reason for r in out["quarantines"].collect()}
+    assert reasons == {(u, (d - dt.date(1970, 1, 1)).days): "tier High, challenge failed" if t == "High" else f"tier Critical, scenario {s or 'unnamed'}"
+                       for u, d, _, t, _, s in rows if actions[u, d] in decisions.QUARANTINED}
+
+
+def test_a_lockout_revokes_the_lease_of_an_earlier_release(spark, cfg, ent):
+    rows = [(1, DAY, "ops", "Critical", 90.0, None), (1, DAY + dt.timedelta(days=1), "ops", "Critical", 91.0, None)]
+    sessions = spark.createDataFrame(rows, "user_id bigint, day date, role string, risk_tier string, risk_score double, scenario_id string")
+    sessions = sessions.withColumns({c: F.col("risk_score") for c in ("isolation_forest_score", "peer_group_score")})
+    late = dt.datetime.combine(DAY + dt.timedelta(days=1), dt.time(23, 58))  # two minutes before the second lockout
+    requests = spark.createDataFrame([(7, late, 1, "boss")], "request_id bigint, at timestamp_ntz, user_id bigint, approver string")
+    out = policy.run_policy(sessions, ent, cfg, requests)
+    lease = hashlib.sha256(b"resume|7").hexdigest()[:16]
+    events = out["events"].where(F.col("day") == F.lit(DAY + dt.timedelta(days=1))).orderBy("step_no").collect()
+    assert [e.event_type for e in events] == ["session_scored", "leases_revoked_bulk", "session_quarantined"]
+    assert [json.loads(e.payload).get("lease_ids", json.loads(e.payload).get("revoked_leases")) for e in events[1:]] == [[lease], [lease]]
+    assert out["intervals"].count() == 2 and policy.run_policy(sessions, ent, cfg)["intervals"].first().n_quarantines == 2
+
+
+def test_ledger_events_against_replay(spark, cfg, ent):
+    events = make_ledger(5)
+    want, _, _ = replay(events)
+    f = frames(spark, events)
+    f["attempts"] = spark.createDataFrame([(e["id"], e["at"], e["user"], e["lease"]) for e in events if e["kind"] == "redeem"],
+                                          "attempt_id bigint, at timestamp_ntz, user_id bigint, lease_id bigint")
+    owner = {e["id"]: e["user"] for e in events if e["kind"] == "grant"}
+    states = ledgers.lease_states(f["grants"], f["attempts"], f["revokes"], f["bulk"], cfg)
+    directory = spark.createDataFrame([(1, "DBA")], "user_id bigint, role string")
+    got = [(r.ord, r.user_id, r.event_type, json.loads(r.payload)) for r in
+           ledgers.ledger_events(f["grants"], f["attempts"], f["revokes"], f["bulk"], states, directory, ent).orderBy("at", "ord").collect()]
+    made = []
+    for e in events:
+        k, lease = e["id"], None if e["lease"] is None else str(e["lease"])
+        if e["kind"] == "grant":
+            made.append((k, e["user"], "lease_issued", {
+                "lease_id": str(k), "user": str(e["user"]), "role": "DBA" if e["user"] == 1 else "Unknown", "secret_id": "core-db" if e["user"] == 1 else None,
+                "reason": "granted on request", "ttl_seconds": int((e["expires"] - e["at"]).total_seconds()), "expires_at": str(e["expires"])}))
+        elif e["kind"] == "redeem" and want["redeem"][k] == "redeemed":
+            made.append((k, e["user"], "lease_redeemed", {"lease_id": lease, "secret_id": "core-db" if owner[e["lease"]] == 1 else None, "user": str(e["user"])}))
+        elif e["kind"] == "redeem" and want["redeem"][k] != "unknown":
+            made.append((k, e["user"], "lease_redeem_denied", {"lease_id": lease, "cause": want["redeem"][k]}))
+        elif e["kind"] == "revoke":
+            made.append((k, owner[e["lease"]], "lease_revoked", {"lease_id": lease, "reason": "withdrawn" + ", no effect" * (not want["revoke"][k])}))
+        elif e["kind"] == "bulk" and any(b == k for b, _ in want["bulk"]):
+            made.append((k, e["user"], "leases_revoked_bulk", {
+                "user": str(e["user"]), "reason": "all leases withdrawn", "lease_ids": [str(x) for x in sorted(x for b, x in want["bulk"] if b == k)]}))
+    assert got == made
+    assert {m[2] for m in made} == {"lease_issued", "lease_redeemed", "lease_redeem_denied", "lease_revoked", "leases_revoked_bulk"}

@@ -154,7 +154,7 @@ def test_descent_matches_recursion():
     x = np.random.default_rng(0).normal(size=(200, 3))
     import pandas as pd
 
-    nodes = [(0, *n) for n in forest.grow_tree(x[:64], (1, 0), 6)]
+    nodes = [(0, *n) for n in forest.grow_tree(x[:64], 1, 0, 6)]
     table = pd.DataFrame(nodes, columns=["tree_id", "node_id", "feature", "threshold", "rows", "depth"])
     packed = forest.pack_forest(table, 64)
     tree = {n[1]: n for n in nodes}
