@@ -87,27 +87,36 @@ def scan_blobs(blobs: DataFrame, rules=RULES) -> DataFrame:
     return map_columns(blobs, LEDGER, work)
 
 
-def update_ledger(docs: DataFrame, path: str, rules=RULES) -> DataFrame:
-    """Scan what the ledger at `path` lacks, append it, and return the whole ledger."""
-    spark = docs.sparkSession
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{LEDGER}, scan string").parquet(path)
+
+
+def update_ledger(docs: DataFrame, path: str, rules=RULES, scan: str | None = None) -> DataFrame:
+    """Scan what the ledger at `path` lacks, add it as scan `scan`, and return the whole ledger.
+
+    A scan that is repeated under its name replaces what it wrote before. Scans that overlap in
+    time may both hold a pair; `findings` counts it once.
+    """
+    spark, scan = docs.sparkSession, scan or uuid.uuid4().hex
     try:
-        ledger = spark.read.schema(LEDGER).parquet(path)
+        ledger = read_ledger(spark, path).where(F.col("scan") != scan)
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
         ledger = None  # the first scan
-    scan_blobs(unseen_blobs(docs, ledger, rules), rules).write.mode("append").parquet(path)
-    return spark.read.schema(LEDGER).parquet(path)
+    scan_blobs(unseen_blobs(docs, ledger, rules), rules).write.mode("overwrite").parquet(f"{path}/scan={scan}")
+    return read_ledger(spark, path).drop("scan")
 
 
 def findings(ledger: DataFrame, rules=RULES) -> DataFrame:
-    """One row for each blob with findings: blob, found = array of (start, place, kind, end)."""
+    """One row for each blob with findings: blob, found = array of (start, place, kind, end). A
+    (blob, rule, version) that the ledger holds more than once counts once."""
     order = F.create_map(*(F.lit(x) for k, r in enumerate(rules) for x in (r[0], k)))
     current = F.concat_ws("/", "rule", "version").isin([f"{r[0]}/{r[1]}" for r in rules])
     spans = F.transform(F.arrays_zip("starts", "ends"), lambda s: F.struct(
         s["starts"].alias("start"), order[F.col("rule")].alias("place"), F.col("rule").alias("kind"), s["ends"].alias("end")))
     return (ledger.where(current & (F.size("starts") > 0)).select("blob", spans.alias("found"))
-            .groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("found")))
+            .groupBy("blob").agg(F.sort_array(F.flatten(F.collect_set("found"))).alias("found")))
 
 
 def with_findings(docs: DataFrame, ledger: DataFrame, rules=RULES) -> DataFrame:
