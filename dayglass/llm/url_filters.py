@@ -1,7 +1,8 @@
 """URL filters: allow and block rules by host suffix and path prefix, the longest rule wins.
 
 A rule list up to `TRIE_BYTES` becomes a trie over reversed host labels and path segments that
-is broadcast; a longer list is joined by the (host suffix, path prefix) pairs of each URL.
+is broadcast; a longer list is joined by the (host suffix, path prefix) pairs of each URL, path
+prefixes being cut after each `/`, so that only what a rule has after its last `/` is compared apart.
 
 Defined results: a null URL or one without `://` has an empty host and path, matches no rule and
 gets the default verdict. Two rules for the same host and path: block wins. Repeated rows are
@@ -85,15 +86,18 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", trie_bytes
 
 
 def _judge_by_join(pages: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """For lists too long to broadcast: each URL meets the rules at its own host suffixes (a
-    handful), rules at one host are told apart by path in the join condition."""
+    """For lists too long to broadcast: each URL looks up the rules at its own host suffixes and path
+    prefixes up to a `/`; the unfinished segment at the end of a rule's path is compared after that."""
     rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # 'block' > 'allow'
-    rules = rules.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "verdict")
+    folder = F.regexp_extract("path", r"^(.*/)?", 0)
+    rules = rules.select(F.col("host").alias("_h"), F.col("path").alias("_p"), folder.alias("_f"), "verdict")
     keyed = pages.select("host", "path").distinct()
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    hits = (keyed.withColumn("_s", F.explode(suffixes))
-            .join(rules, (F.col("_s") == F.col("_h")) & F.col("path").startswith(F.col("_p")))
+    pieces = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: F.array_join(F.concat(F.slice(pieces, F.lit(1), i), F.array(F.lit(""))), "/"))
+    hits = (keyed.withColumn("_s", F.explode(suffixes)).withColumn("_d", F.explode(folders))
+            .join(rules, (F.col("_s") == F.col("_h")) & (F.col("_d") == F.col("_f")) & F.col("path").startswith(F.col("_p")))
             .groupBy("host", "path")
             .agg(F.max(F.struct(F.size(F.split("_h", r"\.")).alias("n"), F.length("_p").alias("m"),
                                 F.concat("_h", "_p").alias("rule"), "verdict")).alias("_best")))
