@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = r"[\x20\x09-\x0D]+"
+FILTER_BITS = 1 << 26  # of a filter of ids, at most: 8 MB
 BATCH_ROWS = 500  # rows that a Python worker turns into objects at a time
 
 
@@ -76,3 +78,23 @@ class Memo(dict):
         if len(self) < self.most:
             self[key] = value
         return value
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of column `_h`, two bits each: 16 bits for each id up to FILTER_BITS. Beyond
+    that more of the other ids pass."""
+    bits = 1 << 10
+    while bits < min(16 * ids.count(), FILTER_BITS):
+        bits *= 2
+    place = F.explode(F.array(F.col("_h"), F.shiftrightunsigned("_h", 32))).alias("_p")
+    place = ids.select(place).select(F.col("_p").bitwiseAND(bits - 1).alias("_p"))
+    words = place.groupBy(F.shiftright("_p", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(_p & 63 AS INT))")).alias("word")).collect()  # FILTER_BITS / 64 at most
+    out = np.zeros(bits // 64, np.int64)
+    for row in words:
+        out[row.at] = row.word
+    return out.view(np.uint64)
+
+
+def may_hold(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    hashes, last = hashes.view(np.uint64), np.uint64(len(words) * 64 - 1)
+    return np.logical_and(*(words[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1) for p in (hashes & last, hashes >> np.uint64(32) & last)))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import materialize
-from .common import Memo, map_columns, table, whole_text, with_columns
+from .common import Memo, id_filter, map_columns, may_hold, table, whole_text, with_columns
 from .components import connected_components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -45,7 +45,6 @@ TREES, DEPTH, RECALL = 24, 8, 0.9999
 TILE_SHINGLES, TILE_ROWS = 1 << 20, 2048
 SEED = 20250
 COLUMN_CHUNK, SPARSE, PAIR_CHUNK = 4096, 16, 1 << 16
-FILTER_BITS = 1 << 26  # of the filter for texts to read again, at most: 8 MB
 CANDIDATE = "length int, tree int, node long, tile long, parts int, side int, key binary, rows long, labels array<long>"
 
 
@@ -282,26 +281,6 @@ def descend(candidates: DataFrame, sets: DataFrame, threshold: float, trees: int
     return every
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of column `_h`, two bits each: 16 bits for each id up to FILTER_BITS. Beyond
-    that more of the other ids pass."""
-    bits = 1 << 10
-    while bits < min(16 * ids.count(), FILTER_BITS):
-        bits *= 2
-    place = F.explode(F.array(F.col("_h"), F.shiftrightunsigned("_h", 32))).alias("_p")
-    place = ids.select(place).select(F.col("_p").bitwiseAND(bits - 1).alias("_p"))
-    words = place.groupBy(F.shiftright("_p", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(_p & 63 AS INT))")).alias("word")).collect()  # FILTER_BITS / 64 at most
-    out = np.zeros(bits // 64, np.int64)
-    for row in words:
-        out[row.at] = row.word
-    return out.view(np.uint64)
-
-
-def may_hold(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    hashes, last = hashes.view(np.uint64), np.uint64(len(words) * 64 - 1)
-    return np.logical_and(*(words[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1) for p in (hashes & last, hashes >> np.uint64(32) & last)))
-
-
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """key, hashes (packed) of the classes in `wanted` (key, doc_id of one of its rows)."""
     shared = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select(F.xxhash64("doc_id").alias("_h"))))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import materialize
-from .common import Memo, id_remainder, map_columns, table, whole_text, with_columns
+from .common import Memo, id_filter, id_remainder, map_columns, may_hold, table, whole_text, with_columns
 
 BUCKETS = 1 << 20
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -138,10 +138,17 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled texts to learn from: text, toxic, half."""
     truth = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id")
              .agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_other")).where("toxic = _other").drop("_other"))
-    open_ids = docs.where(id_remainder(HELD_OUT) != HELD_OUT_IS).select("doc_id", whole_text().alias("text"))
+    # a filter of fixed size drops nearly all unlabelled texts before the join moves any
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(truth.select(F.xxhash64(F.col("doc_id").cast("long")).alias("_h"))))
+
+    def labelled(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(shared.value, batch["_h"].to_numpy()))).columns
+
+    rows = docs.where(id_remainder(HELD_OUT) != HELD_OUT_IS).select("doc_id", F.xxhash64(F.col("doc_id").cast("long")).alias("_h"), whole_text().alias("text"))
+    open_ids = map_columns(rows, rows.schema, labelled).drop("_h")
     half = F.crc32(F.concat(F.lit("half"), F.col("doc_id").cast("string"))) % 2
-    # one plan at every size: texts are dealt by id, whether or not the labels could be broadcast
-    return open_ids.join(truth.hint("merge"), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), half.cast("int").alias("half"))
+    return open_ids.join(truth, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), half.cast("int").alias("half"))
 
 
 def count_features(rows: DataFrame) -> DataFrame:
