@@ -295,10 +295,10 @@ def test_chat_round_trip_of_odd_rows(spark):
     assembled = chat_format.assemble(chat_format.format_turns(turns))
     got = {r.conv_id: r for r in chat_format.read_back(assembled).collect()}
     for conv in (1, None, 2, 3):
-        own = sorted(((r[1] is not None, r[1] or 0, (r[2] or "").replace("\n", " "), r[3] or "") for r in rows if r[0] == conv))
+        own = sorted(((r[1] is not None, r[1] or 0, r[2] or "", r[3] or "") for r in rows if r[0] == conv))
         plain = "".join(f"{r}\n{t}\n" for _, _, r, t in own)
         loss = "".join(t for _, _, r, t in own if r == "assistant")
-        written = "".join(f"<|im_start|>{r}\n{chat_format.escape(t)}<|im_end|>\n" for _, _, r, t in own)
+        written = "".join(f"<|im_start|>{chat_format.escape_role(r)}\n{chat_format.escape(t)}<|im_end|>\n" for _, _, r, t in own)
         assert (got[conv].n_turns, got[conv].turns_sha256, got[conv].loss_chars, got[conv].loss_sha256, got[conv].formatted_chars) == (
             len(own), hashlib.sha256(plain.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(written))
     by_conv = defaultdict(list)
