@@ -29,12 +29,6 @@ def chain_of(day: str, key: str, cfg: EngineConfig) -> Column:
     return F.concat_ws("/", F.date_format(day, "yyyy-MM-dd"), shard_of(F.col(key), cfg.audit_shards).cast("string"))
 
 
-def shards_needed(events: DataFrame, entries_per_chain: int = 1_000_000) -> int:
-    """Shards that keep the chains of the busiest day near a target length."""
-    busiest = events.groupBy("day").count().agg(F.max("count")).first()[0] or 0
-    return max(1, -(-busiest // entries_per_chain))
-
-
 def with_chain(events: DataFrame, cfg: EngineConfig, key: str = "user_id") -> DataFrame:
     """Assign each event to its chain by day and key.
 
@@ -110,13 +104,20 @@ def chain_heads(chained: DataFrame) -> DataFrame:
 
 
 def chain_the_heads(heads: DataFrame) -> DataFrame:
-    """Chain the heads in chain order (days x shards rows, whatever the number of entries)."""
-    numbered = heads.select(
-        F.lit("heads").alias("chain_id"),
-        (F.row_number().over(Window.orderBy("chain_id")) - 1).cast("bigint").alias("seq"),
-        F.split("chain_id", "/")[0].alias("event_time"), F.lit("chain_head").alias("event_type"),
-        F.to_json(F.struct("chain_id", "entries", "head_hash")).alias("payload"))
-    return build_chains(numbered)
+    """Chain the heads: those of a day into a chain `heads/day`, in parallel, and the heads of
+    these, one row a day, into the chain `days`."""
+    def entries(found: DataFrame, chain: Column, kind: str) -> DataFrame:
+        return found.select(
+            chain.alias("chain_id"), F.split("chain_id", "/").alias("_parts"), F.col("chain_id").alias("_order"), F.lit(kind).alias("event_type"),
+            F.to_json(F.struct("chain_id", "entries", "head_hash")).alias("payload"))
+
+    def chained(rows: DataFrame, day: Column) -> DataFrame:
+        return build_chains(rows.withColumn("event_time", day).drop("_parts"), ["_order"])
+
+    day = F.split("chain_id", "/")[0]
+    of_day = chained(entries(heads, F.concat(F.lit("heads/"), day), "chain_head"), F.col("_parts")[0])
+    of_all = chained(entries(chain_heads(of_day), F.lit("days"), "day_head"), F.col("_parts")[1])
+    return of_day.unionByName(of_all)
 
 
 # ---- verification --------------------------------------------------------------------------

@@ -130,7 +130,13 @@ def volumes(user_days: DataFrame) -> DataFrame:
 
 def feature_matrix(activity: DataFrame, directory: DataFrame, answers: DataFrame, cfg: EngineConfig,
                    counts: DataFrame | None = None) -> DataFrame:
-    """Id columns and the ten features of every user-day.
+    """Id columns and the ten features of every user-day."""
+    return priced_features(activity, directory, answers, cfg, counts)[0]
+
+
+def priced_features(activity: DataFrame, directory: DataFrame, answers: DataFrame, cfg: EngineConfig,
+                    counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The feature matrix, and the pair counts that priced its sequences.
 
     Cells, user-days and bigrams are written once to the shared folder, as several branches
     read them.
@@ -151,4 +157,4 @@ def feature_matrix(activity: DataFrame, directory: DataFrame, answers: DataFrame
     table = attach_labels(table.join(flags, SESSION, "left").join(rarity, SESSION, "left"), answers)
     numbers = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cfg.features]
     return table.select("user_id", "role", "day", "is_malicious", "scenario_id",
-                        split_of("day", cfg).alias("split"), *numbers)
+                        split_of("day", cfg).alias("split"), *numbers), counts

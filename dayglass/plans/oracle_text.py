@@ -270,10 +270,16 @@ def _chain(entries: str) -> str:
 
 VIEWS["entry_chain"] = _chain("entry")
 VIEWS["head"] = """
-  SELECT 'heads' AS chain_id, row_number() OVER (ORDER BY c.chain_id) - 1 AS seq, split_part(c.chain_id, '/', 1) AS event_time,
+  SELECT 'heads/' || split_part(c.chain_id, '/', 1) AS chain_id, split_part(c.chain_id, '/', 1) AS event_time,
+         row_number() OVER (PARTITION BY split_part(c.chain_id, '/', 1) ORDER BY c.chain_id) - 1 AS seq,
          'chain_head' AS event_type, '{"chain_id":"' || c.chain_id || '","entries":' || n || ',"head_hash":"' || h || '"}' AS payload
   FROM (SELECT chain_id, count(*) AS n, max_by(entry_hash, seq) AS h FROM entry_chain GROUP BY ALL) c"""
 VIEWS["head_chain"] = _chain("head")
+VIEWS["dayhead"] = """
+  SELECT 'days' AS chain_id, split_part(c.chain_id, '/', 2) AS event_time, row_number() OVER (ORDER BY c.chain_id) - 1 AS seq,
+         'day_head' AS event_type, '{"chain_id":"' || c.chain_id || '","entries":' || n || ',"head_hash":"' || h || '"}' AS payload
+  FROM (SELECT chain_id, count(*) AS n, max_by(entry_hash, seq) AS h FROM head_chain GROUP BY ALL) c"""
+VIEWS["dayhead_chain"] = _chain("dayhead")
 VIEWS["len"] = "SELECT chain_id, count(*) AS n, CAST(count(*) // 2 AS BIGINT) AS m FROM entry GROUP BY ALL"
 # ---- ledgers; event_id rises with time, so it orders events
 VIEWS["grants"] = """
@@ -456,7 +462,7 @@ VIEWS["lentry_chain"] = _chain("lentry")
 
 # views read by several others are computed once
 ONCE = {"act", "ud", "peak", "fold", "feat", "melt", "zs", "pair", "scored", "held", "entry", "ev", "latest", "tries",
-        "singles", "bulks", "quars", "asks", "resumed", "rolestat", "covs", "inv", "dist", "bicount", "head", "state", "fgrid", "fsize",
+        "singles", "bulks", "quars", "asks", "resumed", "rolestat", "covs", "inv", "dist", "bicount", "head", "dayhead", "state", "fgrid", "fsize",
         "fkept", "fsample", "fraw", "risks", "dec", "fdec", "lentry", "tried", "squar", "sfree", "fquar", "ffree", *(f"f{k}{n}" for k in "lnd" for n in range(LEVELS + 2))}
 
 
@@ -474,7 +480,7 @@ def _sql(body: str) -> str:
     parts = [f"{v} AS {'MATERIALIZED ' if v in ONCE else ''}({VIEWS[v]})" for v in VIEWS if v in wanted]
     if not parts:
         return body
-    recursive = "RECURSIVE " if wanted & {"entry_chain", "head_chain", "lentry_chain", "solve"} else ""
+    recursive = "RECURSIVE " if wanted & {"entry_chain", "head_chain", "dayhead_chain", "lentry_chain", "solve"} else ""
     return f"WITH {recursive}" + ",\n".join(parts) + "\n" + body
 
 
@@ -655,7 +661,7 @@ BODIES: dict[str, str] = {
         '","scenario_id":' || coalesce('"' || scenario_id || '"', 'null') || ',"user":"' || user_id || '"}}' AS payload FROM scored""",
     "q_audit_seq": f"SELECT chain_id, seq, {KEY}, CAST(step_no AS BIGINT) AS step_no, event_type FROM entry",
     "q_hash_chain": "SELECT * FROM entry_chain",
-    "q_chain_heads": "SELECT * FROM head_chain",
+    "q_chain_heads": "SELECT * FROM head_chain UNION ALL SELECT * FROM dayhead_chain",
     "q_verify": "SELECT chain_id, seq, CAST(1 AS BIGINT) AS ok, CAST(NULL AS VARCHAR) AS error FROM entry",
     "q_verify_summary": "SELECT count(*) AS total, count(*) AS verified, CAST(0 AS BIGINT) AS flagged FROM entry",
     "q_tamper_edit": _DRILL % ("hash mismatch", "e.seq = l.m"),

@@ -105,6 +105,11 @@ class Inputs:
     def chained(self) -> DataFrame:
         return audit.build_chains(audit.with_chain(self.decision_events, self.cfg), ["user_id", "step_no"])
 
+    @cached_property
+    def kept_chain(self) -> DataFrame:
+        """Written once: a drill reads the chain several times, and no fold is repeated."""
+        return materialize(self.chained, "chained")
+
     # ---- ledgers
     @cached_property
     def attempts(self) -> DataFrame:
@@ -624,7 +629,7 @@ def hash_chain(x):
 
 @query()
 def chain_heads(x):
-    return audit.chain_the_heads(audit.chain_heads(x.chained))
+    return audit.chain_the_heads(audit.chain_heads(x.kept_chain))
 
 
 @query()
@@ -638,7 +643,7 @@ def verify_summary(x):
 
 
 def _drill(x, kind):
-    return audit.verify(audit.tamper(x.chained, kind), "pos").where("NOT ok").select("chain_id", "seq", "error")
+    return audit.verify(audit.tamper(x.kept_chain, kind), "pos").where("NOT ok").select("chain_id", "seq", "error")
 
 
 @query()
@@ -663,7 +668,7 @@ def tamper_insert(x):
 
 @query()
 def tail_cut(x):
-    kept = materialize(x.chained, "chained")
+    kept = x.kept_chain
     last = kept.groupBy("chain_id").agg(F.max("seq").alias("last"))
     cut = kept.join(last, "chain_id").where("seq < last").drop("last")
     return audit.verify_heads(cut, audit.chain_heads(kept))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import asdict, replace
 from typing import Any
 
@@ -13,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import EngineConfig
 from ..functions.expressions import blend, excess_score, risk_tier
 from ..operators.explain import explain
-from ..operators.features import bigram_counts, feature_matrix, session_bigrams
+from ..operators.features import feature_matrix, priced_features
 from ..operators.forest import NODE_SCHEMA, fit_forest, forest_score
 from ..operators.peers import fit_peers, peer_score
 from ..operators.stats import evaluation_report, robust_baseline, scaler_fit, standardised
 from ..session import materialize
+from . import model_store
 
 SESSION_KEY = ["user_id", "day"]
 
@@ -25,9 +25,10 @@ SESSION_KEY = ["user_id", "day"]
 class RiskEstimator(Estimator):
     """Fits on rows whose `split` is 'train'; expects a materialized feature matrix."""
 
-    def __init__(self, cfg: EngineConfig):
+    def __init__(self, cfg: EngineConfig, bigrams: DataFrame | None = None):
+        """`bigrams` are the pair counts that priced the matrix; the model keeps them."""
         super().__init__()
-        self.cfg = cfg
+        self.cfg, self.bigrams = cfg, bigrams
 
     def _fit(self, dataset: DataFrame) -> "RiskModel":
         cfg, columns = self.cfg, list(self.cfg.features)
@@ -37,7 +38,7 @@ class RiskEstimator(Estimator):
             raise ValueError("no training sessions before the split day")
         scaled = train.select(*SESSION_KEY, *standardised(columns, scaler))
         nodes = fit_forest(scaled, columns, SESSION_KEY, scaler["n"], cfg).toPandas()
-        model = RiskModel(cfg, scaler, nodes, None, None)
+        model = RiskModel(cfg, scaler, nodes, None, None, self.bigrams)
         raw = materialize(train.select(model.raw_forest_score().alias("raw")), "raw-scores")
         fit = robust_baseline(raw, F.col("raw")).first()
         model.forest_fit = {"baseline": fit["baseline"], "scale": fit["scale"]}
@@ -47,13 +48,20 @@ class RiskEstimator(Estimator):
 
 class RiskModel(Model):
     """Frozen baselines. `scaler`, `forest_fit` and the node table have a fixed size; the role
-    model is a table of one row per role."""
+    model is a table of one row per role, the pair counts one of a row per pair of tokens."""
 
     def __init__(self, cfg: EngineConfig, scaler: dict, nodes: pd.DataFrame,
-                 forest_fit: dict | None, roles: DataFrame | None):
+                 forest_fit: dict | None, roles: DataFrame | None, bigrams: DataFrame | None = None):
         super().__init__()
         self.cfg, self.scaler, self.nodes = cfg, scaler, nodes
-        self.forest_fit, self.roles = forest_fit, roles
+        self.forest_fit, self.roles, self.bigrams = forest_fit, roles, bigrams
+
+    def price(self, activity: DataFrame, directory: DataFrame, answers: DataFrame) -> DataFrame:
+        """Scored sessions of new activity, their sequences priced by the counts of the fitting run."""
+        if self.bigrams is None:
+            raise ValueError("the model was fitted without pair counts")
+        features = materialize(feature_matrix(activity, directory, answers, self.cfg, self.bigrams), "features")
+        return self.transform(features)
 
     def raw_forest_score(self):
         spark = SparkSession.getActiveSession()
@@ -81,22 +89,21 @@ class RiskModel(Model):
                              "peer_group_score", "risk_score", "risk_tier", "top_features")
 
     # ---- persistence -----------------------------------------------------------------------
-    def save(self, folder: str) -> None:
+    def save(self, folder: str) -> int:
+        """Publish the model as the next version in `folder`; see `model_store`."""
         spark = self.roles.sparkSession
-        self.roles.write.mode("overwrite").parquet(f"{folder}/roles")
-        (spark.createDataFrame(self.nodes, NODE_SCHEMA).coalesce(1)
-         .write.mode("overwrite").parquet(f"{folder}/forest"))
+        parts = {"roles": self.roles, "forest": spark.createDataFrame(self.nodes, NODE_SCHEMA).coalesce(1)}
+        if self.bigrams is not None:
+            parts["bigrams"] = self.bigrams
         settings = {"scaler": self.scaler, "forest_fit": self.forest_fit,
                     "cfg": {**asdict(self.cfg), "start_day": self.cfg.start_day.isoformat()}}
-        (spark.createDataFrame([(json.dumps(settings),)], "settings string").coalesce(1)
-         .write.mode("overwrite").parquet(f"{folder}/settings"))
+        return model_store.publish(spark, folder, parts, settings)
 
     @staticmethod
-    def load(spark: SparkSession, folder: str) -> "RiskModel":
-        kept = json.loads(spark.read.parquet(f"{folder}/settings").first()[0])
-        nodes = spark.read.parquet(f"{folder}/forest").toPandas()
-        return RiskModel(_config(kept["cfg"]), kept["scaler"], nodes, kept["forest_fit"],
-                         spark.read.parquet(f"{folder}/roles"))
+    def load(spark: SparkSession, folder: str, version: int | None = None) -> "RiskModel":
+        parts, kept = model_store.read(spark, folder, version)
+        return RiskModel(_config(kept["cfg"]), kept["scaler"], parts["forest"].toPandas(), kept["forest_fit"],
+                         parts["roles"], parts.get("bigrams"))
 
 
 def _config(kept: dict[str, Any]) -> EngineConfig:
@@ -116,16 +123,12 @@ def rejects(scored: DataFrame) -> DataFrame:
 
 def run_detection(activity: DataFrame, directory: DataFrame, answers: DataFrame, cfg: EngineConfig) -> dict:
     """load -> features -> split -> fit -> score; returns features, model and scored table."""
-    features = materialize(feature_matrix(activity, directory, answers, cfg), "features")
-    model = RiskEstimator(cfg).fit(features)
+    features, bigrams = priced_features(activity, directory, answers, cfg)
+    features = materialize(features, "features")
+    model = RiskEstimator(cfg, bigrams).fit(features)
     return {"features": features, "model": model, "scored": model.transform(features)}
 
 
 def evaluate(scored: DataFrame) -> DataFrame:
     """Held-out detection report."""
     return evaluation_report(scored.where("split = 'test'"))
-
-
-def frozen_bigrams(activity: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Bigram counts of the training days, for scoring later sessions one batch at a time."""
-    return bigram_counts(session_bigrams(activity, cfg), cfg.with_(rarity_scope="train"))

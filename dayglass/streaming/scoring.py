@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.decisions import decide, decision_events
-from ..operators.features import bigram_rarity, session_bigrams
 from ..plans.risk_model import RiskModel
 
 
@@ -15,11 +14,6 @@ def score_stream(features: DataFrame, model: RiskModel) -> DataFrame:
     return model.transform(features)
 
 
-def frozen_rarity(activity: DataFrame, counts: DataFrame, model: RiskModel) -> DataFrame:
-    """Sequence rarity of one batch of complete sessions against frozen bigram counts."""
-    return bigram_rarity(session_bigrams(activity, model.cfg), counts)
-
-
 def decide_stream(scored: DataFrame, entitlements: DataFrame, model: RiskModel, folder: str) -> DataStreamWriter:
     """Decisions, audit events and rejects (sessions without a score) per micro-batch. A batch
     that is retried overwrites its own output, so each lands exactly once."""

@@ -173,3 +173,11 @@ def test_directory_and_answers(spark, tmp_path):
     answers = logs.read_answers(spark, str(tmp_path / "a.csv")).collect()
     assert [(r.user_id, r.day, r.scenario_id) for r in answers] == [("ann", dt.date(2026, 1, 5), "S1")]
     assert DIRECTORY_SCHEMA.names[0] == "user"
+
+
+def test_heads_are_chained_by_day_and_days_in_turn(chained):
+    top = audit.chain_the_heads(audit.chain_heads(chained)).collect()
+    days = {r.chain_id.split("/")[0] for r in chained.select("chain_id").distinct().collect()}
+    assert {r.chain_id for r in top} == {f"heads/{d}" for d in days} | {"days"}
+    assert [r.event_time for r in sorted((r for r in top if r.chain_id == "days"), key=lambda r: r.seq)] == sorted(days)
+    assert sum(r.chain_id != "days" for r in top) == chained.select("chain_id").distinct().count()

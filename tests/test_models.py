@@ -195,13 +195,58 @@ def test_unseen_roles_go_to_the_reject_table(spark, detection):
 
 def test_save_and_load(spark, detection, tmp_path):
     folder = str(tmp_path / "model")
-    detection["model"].save(folder)
+    assert detection["model"].save(folder) == 1
     again = risk_model.RiskModel.load(spark, folder)
     assert again.cfg == detection["model"].cfg
     a, b = (m.transform(detection["features"]).select("user_id", "day", "risk_score", "risk_tier") for m in (detection["model"], again))
     assert a.exceptAll(b).count() == 0
 
 
+def test_a_loaded_model_prices_new_sessions(spark, detection, inputs, tmp_path):
+    """Priced from raw activity, the sessions of the fitting run get the scores they had."""
+    folder = str(tmp_path / "model")
+    detection["model"].save(folder)
+    again = risk_model.RiskModel.load(spark, folder)
+    columns = ["user_id", "day", F.round("risk_score", 6).alias("s"), "risk_tier", "top_features"]
+    priced = risk_model.materialize(again.price(inputs.activity, inputs.directory, inputs.answers).select(*columns), "priced")
+    want = detection["scored"].select(*columns)
+    assert priced.count() == want.count() and priced.exceptAll(want).count() == 0
+    unseen = inputs.activity.where("user_id % 2 = 0")
+    some = again.price(unseen, inputs.directory, inputs.answers).select("user_id", "day", F.round("risk_score", 6).alias("s"))
+    assert some.exceptAll(want.where("user_id % 2 = 0").select("user_id", "day", "s")).count() == 0
+    again.bigrams = None
+    with pytest.raises(ValueError, match="pair counts"):
+        again.price(inputs.activity, inputs.directory, inputs.answers)
+
+
+def test_versions_and_torn_models(spark, tmp_path):
+    import glob
+    import os
+
+    from dayglass.plans import model_store
+
+    folder = str(tmp_path / "store")
+    with pytest.raises(FileNotFoundError):
+        model_store.read(spark, folder)
+    rows = lambda n: spark.range(n).selectExpr("id AS a", "string(id) AS b")
+    assert [model_store.publish(spark, folder, {"x": rows(n), "y": rows(0)}, {"n": n}) for n in (5, 7)] == [1, 2]
+    parts, settings = model_store.read(spark, folder)
+    assert settings == {"n": 7} and parts["x"].count() == 7 and parts["y"].count() == 0
+    parts, settings = model_store.read(spark, folder, 1)
+    assert settings == {"n": 5} and parts["x"].count() == 5
+
+    rows(9).write.parquet(f"{folder}/parts/unfinished/x")  # a save that broke off before its manifest
+    assert model_store.read(spark, folder)[1] == {"n": 7}
+    ident = {r.version: r.ident for r in model_store.manifests(spark, folder).collect()}
+    rows(1).write.mode("append").parquet(f"{folder}/parts/{ident[2]}/x")  # something else was written there
+    with pytest.raises(model_store.TornModel, match="part x of version 2"):
+        model_store.read(spark, folder)
+    for file in glob.glob(f"{folder}/parts/{ident[1]}/y/*.parquet"):
+        os.truncate(file, 3)
+    with pytest.raises(model_store.TornModel, match="part y of version 1"):
+        model_store.read(spark, folder, 1)
+
+
 def test_stream_scoring_equals_batch(spark, detection, inputs, tmp_path):
     from dayglass.streaming import scoring
 
