@@ -12,6 +12,7 @@ from ..config import CAUSES, EngineConfig
 from ..functions.expressions import (
     canonical_json, canonical_number, clean_nan, midnight_text, stepup_passed, unpacked,
 )
+from .lookup import attach
 
 QUARANTINED = ("quarantined_after_failed_stepup", "auto_quarantined")
 CONTINUED = ("stepup_flagged", "stepup_required_passed")
@@ -56,7 +57,7 @@ def with_lease(decisions: DataFrame, entitlements: DataFrame, cfg: EngineConfig)
     go_on = F.col("action").isin(*CONTINUED)
     text = F.concat_ws("|", F.lit("lease"), F.col("user_id").cast("string"), midnight_text(F.col("day")))
     issued = decision_time()
-    return (decisions.join(known, "role", "left")
+    return (attach(decisions, known, ["role"])
             .withColumn("secret_id", F.when(go_on, F.col("secret_id")))
             .withColumn("lease_id", F.when(go_on, F.substring(F.sha2(text, 256), 1, 16)))
             .withColumn("issued_at", F.when(go_on, issued))

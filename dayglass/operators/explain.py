@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import EngineConfig
 from ..functions.expressions import compress_z
+from .lookup import attach
 
 
 def explain(df: DataFrame, columns: Sequence[str], model: DataFrame, cfg: EngineConfig,
-            count: int | None = None) -> DataFrame:
+            count: int | None = None, written: bool = False) -> DataFrame:
     """Adds `top_features`: the strongest features with their share of the weighted deviation.
 
     Shares of all features sum to 100 (or are all 0); equal shares keep feature order.
@@ -21,7 +22,7 @@ def explain(df: DataFrame, columns: Sequence[str], model: DataFrame, cfg: Engine
     columns; only the chosen few pass through an array function.
     """
     places = range(len(columns))
-    rows = df.join(model.select("role", "mean", "std", "population_std"), "role", "left")
+    rows = attach(df, model.select("role", "mean", "std", "population_std"), ["role"], written=written)
     zs, pulls = {}, {}
     for i in places:
         floor = F.greatest(F.lit(cfg.std_floor_fraction) * F.get("population_std", F.lit(i)), F.lit(1e-9))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..config import CAUSES, EngineConfig
 from ..functions.expressions import canonical_json, unpacked
 from . import timeline
+from .lookup import attach
 
 MOMENT = "struct<at: timestamp_ntz, id: bigint>"
 
@@ -111,8 +112,7 @@ def ledger_events(grants: DataFrame, attempts: DataFrame, revokes: DataFrame, bu
     of unknown leases leave none. The four inputs are sorted by time and id alike, so the merge is
     a union: (at, ord) is the order, wherever a row lies. Attempts need user_id.
     """
-    named = with_role(grants, directory).join(
-        entitlements.groupBy("role").agg(F.min("secret_id").alias("secret_id")), "role", "left")
+    named = attach(with_role(grants, directory), entitlements.groupBy("role").agg(F.min("secret_id").alias("secret_id")), ["role"])
     owner = states.select("lease_id", F.col("user_id").alias("owner"), "redeemed", "revoked")
     user = F.col("user_id").cast("string")
     lease = F.col("lease_id").cast("string")
@@ -206,8 +206,7 @@ def resume_events(outcomes: DataFrame, directory: DataFrame, entitlements: DataF
                   ttl_seconds: int | None = None) -> DataFrame:
     """Audit events of the requests: none, one (denied) or three (approval, lease, release)."""
     ttl = cfg.lease_ttl_seconds if ttl_seconds is None else ttl_seconds
-    rows = with_role(outcomes, directory).join(
-        entitlements.groupBy("role").agg(F.min("secret_id").alias("secret_id")), "role", "left")
+    rows = attach(with_role(outcomes, directory), entitlements.groupBy("role").agg(F.min("secret_id").alias("secret_id")), ["role"])
     user, approver = F.col("user_id").cast("string"), F.col("approver")
     lease = resume_lease_id()
     expires = F.date_format(F.col("at") + F.make_interval(secs=F.lit(ttl)), "yyyy-MM-dd HH:mm:ss")

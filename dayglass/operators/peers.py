@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import EngineConfig
 from ..functions.expressions import excess_score
+from ..session import materialize
+from .lookup import attach
 from .stats import group_moments, robust_baseline
 
 
@@ -67,22 +69,24 @@ def role_moments(train: DataFrame, columns: Sequence[str], cfg: EngineConfig,
         numbers(everyone).alias("population_std"))
 
 
-def with_distance(df: DataFrame, columns: Sequence[str], roles: DataFrame) -> DataFrame:
+def with_distance(df: DataFrame, columns: Sequence[str], roles: DataFrame, written: bool = False) -> DataFrame:
     """Adds `peer_distance`; sessions of unseen roles get NULL."""
-    rows = df.join(roles.select("role", "mean", "cov_inv"), "role", "left")
+    rows = attach(df, roles.select("role", "mean", "cov_inv"), ["role"], written=written)
     return with_mahalanobis(rows, columns, "peer_distance").drop("mean", "cov_inv")
 
 
 def fit_peers(train: DataFrame, columns: Sequence[str], cfg: EngineConfig, keep=lambda df, label: df) -> DataFrame:
     """The role model table. `keep` writes intermediate tables that several jobs read."""
     roles = keep(role_moments(train, columns, cfg, keep), "role-moments")
-    distances = keep(with_distance(train, columns, roles).select("role", "peer_distance"), "distances")
+    distances = keep(with_distance(train, columns, roles, written=keep is materialize).select("role", "peer_distance"), "distances")
     fit = robust_baseline(distances.where(F.col("role").isNotNull()), F.col("peer_distance"), ["role"])
     return roles.join(fit.select("role", "baseline", "scale"), "role")
 
 
 def peer_score(df: DataFrame, columns: Sequence[str], model: DataFrame, cfg: EngineConfig) -> DataFrame:
-    scored = with_distance(df, columns, model).join(model.select("role", "baseline", "scale"), "role", "left")
+    """Adds `peer_distance` and `peer_group_score` by a written model table."""
+    rows = attach(df, model.select("role", "mean", "cov_inv", "baseline", "scale"), ["role"], written=True)
+    scored = with_mahalanobis(rows, columns, "peer_distance").drop("mean", "cov_inv")
     score = excess_score(F.col("peer_distance"), F.col("baseline"), F.col("scale"), cfg.peer_k)
     score = F.when(F.col("peer_distance").isNotNull(), score)
     return scored.withColumn("peer_group_score", score).drop("baseline", "scale")

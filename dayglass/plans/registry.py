@@ -13,6 +13,7 @@ from ..functions.expressions import (
     hour_of_day, midnight_text, risk_tier, split_of, stepup_passed, unpacked,
 )
 from ..operators import audit, decisions, explain, features, feeds, forest, ledgers, peers, sessions, stats
+from ..operators.lookup import attach
 from ..session import materialize, tune
 from ..sources import events as source, logs
 from . import policy, risk_model
@@ -306,7 +307,7 @@ def robust_baseline(x):
 @query(4)
 def excess_by_role(x):
     fit = stats.robust_baseline(x.peaks.where("split = 'train'"), F.col("max_value"), ["role"])
-    rows = x.peaks.join(fit.select("role", "baseline", "scale"), "role", "left")
+    rows = attach(x.peaks, fit.select("role", "baseline", "scale"), ["role"])
     return rows.select("user_id", "day", "role", excess_score(
         F.col("max_value"), F.col("baseline"), F.col("scale"), x.cfg.peer_k).alias("score"))
 
@@ -386,7 +387,7 @@ def compressed_z(x):
     fit = x.peaks.where("split = 'train'").groupBy("role").agg(
         F.avg("max_value").alias("m"), F.stddev_pop("max_value").alias("s"))
     z = (F.col("max_value") - F.col("m")) / F.col("s")
-    return x.peaks.join(fit, "role", "left").select("user_id", "day", compress_z(z, 1.5).alias("z"))
+    return attach(x.peaks, fit, ["role"]).select("user_id", "day", compress_z(z, 1.5).alias("z"))
 
 
 @query()

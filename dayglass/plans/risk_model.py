@@ -82,7 +82,7 @@ class RiskModel(Model):
         risk score (see `rejects`) unless `allow_partial` is set."""
         cfg = self.cfg
         scored = self.add_scores(dataset)
-        scored = explain(scored, list(cfg.features), self.roles, cfg)
+        scored = explain(scored, list(cfg.features), self.roles, cfg, written=True)
         scored = scored.withColumn("risk_tier", risk_tier(F.col("risk_score"), cfg))
         ids = ["user_id", "role", "day", "is_malicious", "scenario_id", "split"]
         return scored.select(*[c for c in ids if c in dataset.columns], "isolation_forest_score",

@@ -11,7 +11,7 @@ import pytest
 
 from conftest import SF_DIR
 
-from dayglass.operators import features, sessions
+from dayglass.operators import features, lookup, sessions
 from dayglass.plans.oracle_text import ORACLES
 from dayglass.plans.registry import QUERIES, Inputs, shown
 
@@ -80,3 +80,31 @@ def test_entry_runs_from_any_folder():
             "print('rows', m.entry(spark).count())")
     done = subprocess.run([sys.executable, "-c", code], cwd="/tmp", capture_output=True, text=True, timeout=300)
     assert "rows 397" in done.stdout, done.stderr[-2000:]
+
+
+# ---- lookups by role
+BY_ROLE = ["q_compressed_z", "q_excess_by_role", "q_drilldown", "q_contributions", "q_mahalanobis_2d", "q_peer_score", "q_lease_grants",
+           "q_decision_events", "q_resume_events"]
+
+
+@pytest.mark.parametrize("name", BY_ROLE)
+def test_facts_are_not_dealt_by_role(spark, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20480")
+    try:
+        text = plan(QUERIES[name](Inputs(spark, SF_DIR)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not re.search(r"hashpartitioning\(role#\d+, \d+\)", text)
+
+
+def test_a_table_too_large_to_broadcast_is_salted(spark, monkeypatch):
+    facts = spark.range(2000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 7 = 0 THEN NULL ELSE string(id % 50) END AS role")
+    table = spark.range(40).selectExpr("string(id) AS role", "id AS n").unionByName(spark.sql("SELECT 'hot' AS role, 99L AS n"))
+    want = sorted(map(tuple, facts.join(table, "role", "left").select("id", "role", "n").collect()))
+    for limit in (lookup.LOOKUP_BYTES, 0):
+        monkeypatch.setattr(lookup, "LOOKUP_BYTES", limit)
+        got = lookup.attach(facts, table, ["role"])
+        assert sorted(map(tuple, got.select("id", "role", "n").collect())) == want and got.columns == ["role", "id", "n"]
+        assert ("_salt" in got._jdf.queryExecution().analyzed().toString()) == (limit == 0)
+    assert lookup.attach(facts, table, ["role"], "inner").count() == sum(r[2] is not None for r in want)
