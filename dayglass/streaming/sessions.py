@@ -54,6 +54,9 @@ def stream_hour_entropy(activity: DataFrame, cfg: EngineConfig, delay: str = "1
     return with_entropy(active, HOURS, "hour_entropy_7d").select("user_id", "day", "hour_entropy_7d")
 
 
+ANY_DAY = "day"
+
+
 class FirstSeen(StatefulProcessor):
     """Per user: first active day and the hosts and devices known so far."""
 
@@ -65,19 +68,24 @@ class FirstSeen(StatefulProcessor):
         self.known = handle.getMapState("known", "kind string, item string", "day int")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("day_number")
+        """One frame after the other, in whatever order of days: between frames only the first day
+        of each item that is new in this batch is kept."""
+        start = self.start.get()[0] if self.start.exists() else None
+        new: dict[tuple[str, str], int] = {}
+        for frame in rows:
+            for day, kind, item in zip(frame["day_number"].tolist(), frame["kind"], frame["item"]):
+                start = day if start is None else min(start, day)
+                if kind != ANY_DAY and not self.known.containsKey((kind, item)):
+                    new[kind, item] = min(day, new.get((kind, item), day))
+        if start is not None:
+            self.start.update((start,))
         flagged: dict[int, dict[str, int]] = {}
-        for day, kind, item in zip(batch["day_number"], batch["kind"], batch["item"]):
-            day = int(day)
-            if not self.start.exists():
-                self.start.update((day,))
-            if kind is None or self.known.containsKey((kind, item)):
-                continue
+        for (kind, item), day in new.items():
             self.known.updateValue((kind, item), (day,))
-            if day - self.start.get()[0] >= self.warmup_days:
+            if day - start >= self.warmup_days:
                 flagged.setdefault(day, {"host": 0, "device": 0})[kind] = 1
         if flagged:
-            yield pd.DataFrame([(key[0], d, f["host"], f["device"]) for d, f in flagged.items()],
+            yield pd.DataFrame([(key[0], d, f["host"], f["device"]) for d, f in sorted(flagged.items())],
                                columns=["user_id", "day_number", "new_host_flag", "new_device_flag"])
 
     def close(self) -> None:
@@ -91,7 +99,8 @@ def stream_new_flags(activity: DataFrame, cfg: EngineConfig, delay: str = "1 day
     runs map-side too, so the per-user state sees few rows even of a very busy user.
     """
     items = F.array(F.struct(F.lit("host").alias("kind"), F.col("pc").alias("item")),
-                    F.struct(F.lit("device").alias("kind"), F.col("device_id").alias("item")))
+                    F.struct(F.lit("device").alias("kind"), F.col("device_id").alias("item")),
+                    F.struct(F.lit(ANY_DAY).alias("kind"), F.lit("").alias("item")))  # a day without either starts the warm-up too
     daily = (with_event_time(activity, delay).select("user_id", EVENT_TIME, F.explode(items).alias("i"))
              .where("i.item IS NOT NULL")
              .groupBy("user_id", F.window(EVENT_TIME, "1 day").alias("w"), "i.kind", "i.item").count())

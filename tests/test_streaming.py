@@ -90,6 +90,26 @@ def test_first_seen(inputs, replay, cfg, tmp_path):
     same(streamed, features.new_item_days(cells, sessions.user_day_spine(inputs.activity), cfg))
 
 
+def test_first_seen_of_a_busy_user(spark, inputs, cfg, replay, tmp_path):
+    """Items in many Arrow batches and out of order, after a first day without host and device."""
+    one = inputs.activity.limit(1)
+    day = lambda n: F.date_add(F.lit(cfg.start_day), n)
+    first = one.withColumns({"day": day(F.lit(0)), "pc": F.lit(None).cast("string"), "device_id": F.lit(None).cast("string")})
+    later = spark.range(6000).crossJoin(one.drop("pc", "device_id")).withColumns({
+        "day": day((F.pmod(F.xxhash64("id"), F.lit(12)) + 1).cast("int")), "pc": F.concat(F.lit("pc"), F.col("id") % 900),
+        "device_id": F.when(F.col("id") % 3 == 0, F.concat(F.lit("usb"), F.col("id") % 700))}).drop("id")
+    rows = first.unionByName(later).withColumn("ts", F.col("day").cast("timestamp_ntz"))
+    conf = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        streamed = drain(stream.stream_new_flags(replay(with_flush(rows), "ts", files=2), cfg), "t3busy", tmp_path).where("user_id >= 0")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", conf)
+    batch = features.new_item_days(sessions.activity_cells(rows), sessions.user_day_spine(rows), cfg)
+    assert batch.count() > 0
+    same(streamed, batch)
+
+
 @pytest.fixture(scope="module")
 def access_rows(inputs):
     events = inputs.events
