@@ -7,7 +7,8 @@ bound must not exceed the rule's share of `risk`. Cutoffs are tested from the lo
 first failure ends the sequence, so that only the rule-stratum chains need a Bonferroni
 correction. The rules of a stratum share its risk evenly: all together reject at most `risk` of
 its good texts, in all strata at once with confidence 1 - `error`. A stratum with too few labels
-gets no cutoffs, and its texts are judged by the base rules alone.
+gets no cutoffs, and its texts are judged by the base rules alone. Copies of a text are one trial, as
+the bound asks for independent ones.
 
 Defined results: null texts have no words and fail the base rule; null strata form one of their
 own; a text with several labels counts as good only if all say so; repeated rows are judged each;
@@ -23,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import materialize
-from .common import table, with_columns
+from .common import table, whole_text, with_columns
 
 SYMBOLS = b"#*$%&|<>"
+COPY = "_copy"  # digest of the text, the same for copies
 RISK, ERROR, WINDOW = 0.02, 0.05, 5
 # statistic of each rule (large is bad) and its cutoffs, loosest first
 RULES: dict[str, tuple[str, tuple[float, ...]]] = {
@@ -97,9 +99,11 @@ def fit_cutoffs(counted: DataFrame, labels: DataFrame, stratum: str = "lang", ri
     One aggregate over the labelled texts counts, for all cutoffs at once, the good ones beyond.
     """
     truth = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_good"))
-    good = counted.where(~base_failed()).join(truth.where("_good = 1"), "doc_id")
+    good = counted.where(~base_failed()).join(truth.where("_good = 1"), "doc_id").withColumn("_stratum", F.coalesce(stratum, F.lit("")))
+    if COPY in counted.columns:
+        good = good.dropDuplicates(["_stratum", COPY])
     beyond = [F.sum((F.expr(stat) > cut).cast("long")).alias(f"{rule}_{j}") for rule, (stat, cuts) in RULES.items() for j, cut in enumerate(cuts)]
-    beyond_by_stratum = good.groupBy(F.coalesce(stratum, F.lit("")).alias("_stratum")).agg(F.count("*").alias("n"), *beyond)
+    beyond_by_stratum = good.groupBy("_stratum").agg(F.count("*").alias("n"), *beyond)
     chains = len(RULES) * max(1, counted.select(F.coalesce(stratum, F.lit(""))).distinct().count())
 
     def choose(frames):
@@ -121,16 +125,57 @@ def fit_cutoffs(counted: DataFrame, labels: DataFrame, stratum: str = "lang", ri
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
     """`docs` without text, with the counts, base_failed, the first rule that rejects, and kept."""
-    counted = materialize(with_counts(docs), "quality-counts")
+    counted = materialize(with_counts(docs.withColumn(COPY, F.md5(whole_text()))), "quality-counts")
     cuts = materialize(fit_cutoffs(counted, labels, stratum, risk, error), "quality-cuts")  # a row a stratum: Spark sees its size
     joined = counted.join(cuts, F.coalesce(counted[stratum], F.lit("")) == cuts["_stratum"], "left")
     rejecting = F.coalesce(F.when(base_failed(), F.lit("base")),
                            *(F.when((F.expr(stat) > F.col(f"cut_{rule}")) & ~F.isnan(f"cut_{rule}"), F.lit(rule)) for rule, (stat, _) in RULES.items()))
     return (joined.withColumn("base_failed", base_failed()).withColumn("rejected_by", rejecting)
-            .withColumn("kept", F.col("rejected_by").isNull()).drop("_stratum", *(f"cut_{rule}" for rule in RULES)))
+            .withColumn("kept", F.col("rejected_by").isNull()).drop("_stratum", COPY, *(f"cut_{rule}" for rule in RULES)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = judge(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+
+
+_CHAINS = "\n  UNION ALL ".join(
+    f"SELECT _stratum, '{rule}' AS rule, {j} AS j, {cut} AS cut, count(*) AS n, count(*) FILTER (({stat}) > {cut}) AS k FROM trial GROUP BY _stratum"
+    for rule, (stat, cuts) in RULES.items() for j, cut in enumerate(cuts))
+ORACLE = f"""
+WITH d AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents
+), w AS (
+  SELECT r, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d
+), win AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, win) AS c
+  FROM (SELECT r, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS win FROM (SELECT r, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM w))
+), again AS (
+  SELECT r, count(DISTINCT i + o) AS n FROM win, range({WINDOW}) t(o) WHERE c > 1 GROUP BY r
+), counted AS (
+  SELECT d.doc_id, coalesce(d.lang, '') AS _stratum, md5(d.text) AS copy, len(words) AS n_words, length(regexp_replace(d.text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+         length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(a.n, 0) AS n_repeat_words, len(lines) AS n_lines
+  FROM d JOIN w USING (r) LEFT JOIN again a USING (r)
+), truth AS (
+  SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1
+), trial AS (
+  SELECT DISTINCT ON (_stratum, copy) * FROM counted JOIN truth USING (doc_id) WHERE NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+), chain AS (
+  {_CHAINS}
+), tested AS (
+  SELECT *, k < n * {RISK / len(RULES)} AND list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END
+           - lgamma(n - i + 1) + i * ln({RISK / len(RULES)}) + (n - i) * ln(1 - {RISK / len(RULES)})))) <= {ERROR / len(RULES)} / strata AS ok
+  FROM chain, (SELECT greatest(1, count(DISTINCT _stratum)) AS strata FROM counted)
+), cuts AS (
+  SELECT _stratum, {", ".join(f"min(cut) FILTER (rule = '{rule}' AND j < stop) AS cut_{rule}" for rule in RULES)}
+  FROM (SELECT *, coalesce(min(j) FILTER (NOT ok) OVER (PARTITION BY _stratum, rule), 1000) AS stop FROM tested) GROUP BY _stratum
+), judged AS (
+  SELECT c.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+         CASE WHEN n_words < 10 OR 100 * n_repeat_words > 20 * n_words THEN 'base' {" ".join(f"WHEN {stat} > cut_{rule} THEN '{rule}'" for rule, (stat, _) in RULES.items())} END AS rejected_by
+  FROM counted c LEFT JOIN cuts USING (_stratum)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rejected_by IS NULL AS kept, rejected_by FROM judged
+"""

@@ -21,6 +21,7 @@ QUERIES = {
 }
 ORACLES = {
     "op4_mixing": mixing.ORACLE,
+    "op5_quality_rules": quality_rules.ORACLE,
     "op6_url_filters": url_filters.ORACLE,
     "op8_chat_formatting": chat_format.ORACLE,
     "op13_hard_negatives": hard_negatives.ORACLE,
