@@ -54,8 +54,9 @@ def role_moments(train: DataFrame, columns: Sequence[str], cfg: EngineConfig,
                  keep=lambda df, label: df) -> DataFrame:
     """role, n, mean, std, cov_inv, population_std. A role with fewer than two training rows
     has no covariance of its own and takes the whole population's."""
-    everyone = train.agg(*[F.stddev_pop(c) for c in columns]).first()
-    roles = keep(group_moments(train.where(F.col("role").isNotNull()), columns, ["role"]), "moments")
+    whole = train.agg(*[F.avg(c) for c in columns], *[F.stddev_pop(c) for c in columns]).first()
+    means, everyone = whole[:len(columns)], whole[len(columns):]
+    roles = keep(group_moments(train.where(F.col("role").isNotNull()), columns, ["role"], means), "moments")
 
     def numbers(values) -> Column:
         return F.array(*[F.lit(float(v or 0.0)) for v in values])

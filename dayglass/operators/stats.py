@@ -96,29 +96,31 @@ def standardised(columns: Sequence[str], params) -> list[Column]:
     return [((F.col(c) - F.lit(params[f"mean_{c}"])) / F.lit(params[f"std_{c}"])).alias(c) for c in columns]
 
 
-def group_moments(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+def group_moments(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), shift: Sequence[float] | None = None) -> DataFrame:
     """n, mean[], std[] (population) and cov[] (sample, row-major square) per group.
 
-    Two passes, means first: sums of products of centred values neither cancel nor need more
-    than one running number per pair of columns. All sums merge map-side, so a dominant group
-    is no hot spot.
+    One pass: sums and sums of products of the values less `shift`, by default their means over
+    all groups. That takes out what the groups have in common, so the sums hardly cancel; they
+    merge map-side, so a dominant group is no hot spot, and no row meets its group's mean.
     """
     keys, d = list(keys), len(columns)
-    means = df.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*[F.avg(c) for c in columns]).alias("mean"))
-    if keys:
-        rows = df.select(*keys, *columns).join(materialize(means, "means"), keys)
-        centre = [F.get("mean", F.lit(i)) for i in range(d)]
-    else:  # one group: its means are one row, so they travel as literals
-        whole = means.first()
-        centre = [F.lit(m).cast("double") for m in whole["mean"]]
-        rows = df.select(*columns).withColumns({"n": F.lit(whole["n"]).cast("bigint"), "mean": F.array(*centre)})
-    rows = rows.select(*keys, "n", "mean", *[(F.col(c) - centre[i]).alias(f"_{i}") for i, c in enumerate(columns)])
+    if shift is None:
+        shift = df.agg(*[F.avg(c) for c in columns]).first()
+    shift = [float(x or 0.0) for x in shift]
+    rows = df.select(*keys, *[(F.col(c) - F.lit(x)).alias(f"_{i}") for i, (c, x) in enumerate(zip(columns, shift))])
+    sums = [F.sum(f"_{i}").alias(f"_t{i}") for i in range(d)]
     products = [F.sum(F.col(f"_{i}") * F.col(f"_{j}")).alias(f"_s{i}_{j}") for i in range(d) for j in range(i, d)]
-    sums = rows.groupBy(*keys, "n").agg(*products, F.any_value("mean").alias("mean"))
-    free = F.nullif((F.col("n") - 1).cast("double"), F.lit(0.0))
-    std = [F.sqrt(F.col(f"_s{i}_{i}") / F.col("n")) for i in range(d)]
-    cov = [F.col(f"_s{min(i, j)}_{max(i, j)}") / free for i in range(d) for j in range(d)]
-    return sums.select(*keys, "n", "mean", F.array(*std).alias("std"), F.array(*cov).alias("cov"))
+    found = rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums, *products)
+    found = found.withColumns({"_n": F.col("n").cast("double"), "_free": F.when(F.col("n") > 1, F.col("n") - 1).cast("double")})
+
+    def scatter(i: int, j: int) -> Column:
+        i, j = min(i, j), max(i, j)
+        return F.col(f"_s{i}_{j}") - F.col(f"_t{i}") * F.col(f"_t{j}") / F.col("_n")
+
+    mean = [F.col(f"_t{i}") / F.col("_n") + F.lit(x) for i, x in enumerate(shift)]
+    std = [F.sqrt(F.greatest(scatter(i, i), F.lit(0.0)) / F.col("_n")) for i in range(d)]
+    cov = [scatter(i, j) / F.col("_free") for i in range(d) for j in range(d)]
+    return found.select(*keys, "n", F.array(*mean).alias("mean"), F.array(*std).alias("std"), F.array(*cov).alias("cov"))
 
 
 def count_by(df: DataFrame, *keys: str) -> DataFrame:
