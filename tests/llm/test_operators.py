@@ -263,8 +263,13 @@ def test_ppm_equals_brute_force(spark, odd):
             assert math.isclose(got[i].score, brute_ppm(train, lower(t)), abs_tol=1e-6), (t, got[i].score, brute_ppm(train, lower(t)))
 
 
-def test_ppm_beats_word_counts(spark):
-    rows = lm_scores.query(spark, "/root/testdata/sf0.1").where("held_out").collect()
+@pytest.fixture(scope="module")
+def held_out_scores(spark):
+    return lm_scores.query(spark, "/root/testdata/sf0.1").where("held_out").collect()
+
+
+def test_ppm_beats_word_counts(held_out_scores):
+    rows = held_out_scores
     assert lm_scores.ORDER == 5 and sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
@@ -276,8 +281,8 @@ def test_ppm_keeps_doubles_over_long_texts(spark):
         assert math.isclose(r.score, brute_ppm(train, lower(texts[r.doc_id])), rel_tol=1e-11)
 
 
-def test_ppm_bits_a_byte_and_handles_odd_rows(spark, odd, none):
-    rows = lm_scores.score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").collect()
+def test_ppm_bits_a_byte_and_handles_odd_rows(held_out_scores, odd, none):
+    rows = held_out_scores
     assert -sum(r.score for r in rows) / math.log10(2) < 2.25 * sum(r.n_bytes for r in rows)  # bits a byte
     assert lm_scores.score(odd).count() == len(ODD) and lm_scores.score(none).count() == 0
 
