@@ -1,10 +1,10 @@
 """Hard negatives for anchors: rows of another label that score nearly as high as a positive.
 
 A score is the inner product of two vectors of whole numbers, floor(256 c). Rows are packed where
-they are read into blocks of at most `BLOCK_ROWS`, anchors into blocks of at most `ANCHOR_ROWS`;
-each pair of an anchor block and a row block is a tile, and tiles are dealt over tasks by anchor
-block and a salt, so neither a frequent label nor a frequent vector gathers anywhere. A tile's
-scores are a matrix product by Strassen's recursion on 64-bit integers, odd sizes padded
+they are read into blocks of at most `BLOCK_ROWS`, anchors into blocks of about `ANCHOR_ROWS`; an anchor
+block beside a row block is a tile. Tiles are dealt over tasks by anchor block and group of about
+`GROUP_BLOCKS` row blocks, whatever the labels, ids and vectors, so none of these gathers anywhere,
+and a task holds one tile at a time. A tile's scores are a matrix product by Strassen's recursion on 64-bit integers, odd sizes padded
 with zeros, small ones multiplied directly. Sums and differences wrap round alike in every step,
 so scores are exact whenever they fit 64 bits themselves.
 
@@ -15,16 +15,14 @@ ids, then the row's place in the packed table; what a heap has already bounds wh
 
 Defined results: rows with a null label, null vector, null or non-finite component take no part,
 nor do vectors of another length than the commonest (of equally common ones the shortest) or with
-components of 2^24 or more (65,536 unscaled), which keeps scores within 64 bits. Rows with a null id are no anchors and come last among
-ties. Repeated rows are rows of their own: each may be positive or negative, and each
+components of 2^24 or more (65,536 unscaled) or 16,384 dimensions or more, which keeps scores within
+64 bits. Rows with a null id are no anchors and come last among ties. Repeated rows are rows of their own: each may be positive or negative, and each
 is an anchor that leaves out itself alone. A positive score below 0 has an empty window. Empty
 tables and tables without anchors give empty results.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
