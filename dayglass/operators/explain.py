@@ -33,7 +33,7 @@ def explain(df: DataFrame, columns: Sequence[str], model: DataFrame, cfg: Engine
     rows = rows.withColumn("_whole", F.when(F.col("_total") == 0, F.lit(1.0)).otherwise(F.col("_total")))
     cells = [F.struct((-(F.col(f"_p{i}") / F.col("_whole") * 100)).alias("order"), F.lit(i).alias("place"),
                       F.col(f"_z{i}").alias("z")) for i in places]
-    rows = rows.withColumn("_ranked", F.slice(F.array_sort(F.array(*cells)), 1, count or cfg.top_features))
+    rows = rows.withColumn("_ranked", F.slice(F.sort_array(F.array(*cells)), 1, count or cfg.top_features))
     names = F.array(*[F.lit(c) for c in columns])
     top = F.transform("_ranked", lambda x: F.struct(
         F.get(names, x["place"]).alias("feature"),

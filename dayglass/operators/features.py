@@ -9,7 +9,7 @@ from ..functions.expressions import entropy_bits, entropy_terms, split_of
 from ..session import materialize
 from . import timeline
 from .sessions import (
-    HOURS, SESSION, activity_cells, after_hours, attach_labels, attach_roles, fold_cells, token_rows,
+    HOURS, SESSION, after_hours, attach_labels, attach_roles, fold_activity, token_rows,
 )
 
 
@@ -64,7 +64,7 @@ def with_entropy(df: DataFrame, counters: list[str], out: str) -> DataFrame:
 
 
 def first_seen(cells: DataFrame) -> DataFrame:
-    """First day of every (user, host) and (user, device)."""
+    """First day of every (user, host) and (user, device), from cells or from the activity itself."""
     pairs = cells.groupBy("user_id", "pc", "device_id").agg(F.min("day").alias("day"))
     items = pairs.select("user_id", "day", F.explode(F.array(
         F.struct(F.lit("host").alias("kind"), F.col("pc").alias("item")),
@@ -138,18 +138,17 @@ def priced_features(activity: DataFrame, directory: DataFrame, answers: DataFram
                     counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The feature matrix, and the pair counts that priced its sequences.
 
-    Cells, user-days and bigrams are written once to the shared folder, as several branches
+    User-days and bigrams are written once to the shared folder, as several branches
     read them.
     Pass frozen `counts` to price sequences against an earlier period.
     """
-    cells = materialize(activity_cells(activity), "cells")
-    days = materialize(fold_cells(cells), "user-days")
+    days = materialize(fold_activity(activity), "user-days")
     largest = days.agg(F.max(F.greatest("n_http_events", "n_file_events"))).first()[0] or 0
     bigrams = materialize(session_bigrams(activity, cfg, largest), "bigrams")
     if counts is None:
         counts = materialize(bigram_counts(bigrams, cfg), "bigram-counts")
     rarity = bigram_rarity(bigrams, counts)
-    flags = new_item_days(cells, days, cfg)
+    flags = new_item_days(activity, days, cfg)
 
     # roles first, while rows are still partitioned by user; the other joins share (user, day)
     table = attach_roles(rolling_entropies(days, cfg), directory)

@@ -70,18 +70,21 @@ def tree_samples(df: DataFrame, columns: Sequence[str], key: Sequence[str], n_ro
     name = F.concat_ws("|", F.lit(str(cfg.seed)), *[F.col(k).cast("string") for k in key])
     rows = df.select(*key, *columns, name.alias("_name"))
     rows = rows.withColumn("_u", _unit(F.sha2("_name", 256), F.lit(1))).where(F.col("_u") < upto[-1])
-    first = F.size(F.filter(F.array(*map(F.lit, upto)), lambda c: c <= F.col("_u")))
-    hashes = F.transform(F.sequence(F.lit(0), F.lit((cfg.n_trees - 1) // PER_HASH)), lambda b: F.struct(
-        (b * PER_HASH).alias("tree"), F.sha2(F.concat_ws("|", "_name", b.cast("string")), 256).alias("digest")))
-    numbers = F.flatten(F.transform(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.lit(PER_HASH - 1)), lambda j: F.struct(
-        (h["tree"] + j).alias("tree_id"), _unit(h["digest"], j * DIGITS + 1).alias("number")))))
-    rows = rows.withColumn("_first", first).withColumn("_numbers", numbers)
-    entered = F.filter("_numbers", lambda x: (x["tree_id"] < cfg.n_trees) & (
-        (x["tree_id"] == F.col("_first")) | ((x["tree_id"] > F.col("_first")) & (x["number"] < chance))))
-    # the outer form spares a size test that would hash every pair twice
-    drawn = rows.select(*key, *columns, "_first", F.explode_outer(entered).alias("_draw")).where(F.col("_draw").isNotNull())
-    number = F.when(F.col("_draw.tree_id") == F.col("_first"), F.col("_draw.number") * F.lit(chance)).otherwise(F.col("_draw.number"))
-    drawn = drawn.select(*key, *columns, "_draw.tree_id", number.alias("_number"))
+    # one hash serves a block of trees; pairs of row and tree are compared one by one, as plain rows
+    trees = [F.struct(F.lit(t).alias("tree_id"), F.lit(low).alias("low"), F.lit(high).alias("high"))
+             for t, (low, high) in enumerate(zip([0.0, *upto], upto))]
+    blocks = F.array(*[F.array(*trees[t:t + PER_HASH]) for t in range(0, len(trees), PER_HASH)])
+    rows = rows.select("*", F.posexplode(blocks).alias("_block", "_trees"))
+    rows = rows.withColumn("_digest", F.sha2(F.concat_ws("|", "_name", F.col("_block").cast("string")), 256))
+    pairs = rows.select(*key, *columns, "_u", "_digest", F.posexplode("_trees").alias("_j", "_tree"))
+    place = F.col("_j") * DIGITS + 1
+    first = (F.col("_u") >= F.col("_tree.low")) & (F.col("_u") < F.col("_tree.high"))
+    later = F.col("_u") < F.col("_tree.low")
+    if chance < 1.0:  # digits compare as their number does, and need not be turned into it
+        later &= F.substr("_digest", place, F.lit(DIGITS)) < F.lit(f"{math.ceil(chance * 16**DIGITS):0{DIGITS}x}")
+    number = _unit(F.col("_digest"), place)
+    drawn = pairs.where(first | later).select(
+        *key, *columns, "_tree.tree_id", F.when(first, number * F.lit(chance)).otherwise(number).alias("_number"))
     order = Window.partitionBy("tree_id").orderBy("_number", *key)
     return (drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= take)
             .select("tree_id", "place", *columns))
@@ -133,12 +136,20 @@ def fit_forest(df: DataFrame, columns: Sequence[str], key: Sequence[str], n_rows
 
 # ---- scoring -----------------------------------------------------------------------------
 class PackedForest(NamedTuple):
-    """The node table as complete binary trees of arrays, for vectorised descent."""
+    """The node table as complete binary trees of arrays, for vectorised descent.
 
-    feature: np.ndarray    # tree x inner node
-    threshold: np.ndarray  # tree x inner node; infinite where a leaf sits above the last level
-    path: np.ndarray       # tree x last level: path length of the leaf that ends there
+    A threshold is given as its place among the distinct ones of its feature. A value is put in
+    its place among them once, and every step then compares two small whole numbers.
+    """
+
+    feature: np.ndarray          # tree x inner node
+    place: np.ndarray            # tree x inner node; NOWHERE where a leaf sits above the last level
+    path: np.ndarray             # tree x last level: path length of the leaf that ends there
     norm: float
+    cuts: tuple[np.ndarray, ...]  # the distinct thresholds of each feature in order
+
+
+NOWHERE = np.iinfo(np.int32).max
 
 
 def pack_forest(nodes: pd.DataFrame, tree_rows: int) -> PackedForest:
@@ -146,30 +157,40 @@ def pack_forest(nodes: pd.DataFrame, tree_rows: int) -> PackedForest:
     trees = np.sort(nodes["tree_id"].unique())
     inner = 2**levels - 1
     feature = np.zeros((len(trees), inner), dtype=np.int32)
-    threshold = np.full((len(trees), inner), np.inf)
+    cut_place = np.full((len(trees), inner), NOWHERE, dtype=np.int32)
     path = np.zeros((len(trees), inner + 1))
     place = np.searchsorted(trees, nodes["tree_id"].to_numpy())
     node, depth = nodes["node_id"].to_numpy(), nodes["depth"].to_numpy()
-    split = nodes["feature"].to_numpy() >= 0
-    feature[place[split], node[split]] = nodes["feature"].to_numpy()[split]
-    threshold[place[split], node[split]] = nodes["threshold"].to_numpy()[split]
+    chosen, threshold = nodes["feature"].to_numpy(), nodes["threshold"].to_numpy()
+    split = chosen >= 0
+    feature[place[split], node[split]] = chosen[split]
+    cuts = tuple(np.unique(threshold[chosen == f]) for f in range(chosen.max(initial=-1) + 1))
+    for f, own in enumerate(cuts):
+        mine = chosen == f
+        cut_place[place[mine], node[mine]] = np.searchsorted(own, threshold[mine])
     # below a leaf every step goes left, so its path length belongs at the leftmost slot
     steps = levels - depth[~split]
     slot = (node[~split] + 1) * 2**steps - 1 - inner
     path[place[~split], slot] = depth[~split] + mean_path(nodes["rows"].to_numpy()[~split])
-    return PackedForest(feature, threshold, path, float(mean_path(tree_rows)) or 1.0)
+    return PackedForest(feature, cut_place, path, float(mean_path(tree_rows)) or 1.0, cuts)
 
 
 def anomaly(forest: PackedForest, x: np.ndarray) -> np.ndarray:
     """2^(-mean path / normal path): near 1 is anomalous, 0.5 and below is ordinary."""
-    n, width = x.shape
-    flat, base = x.ravel(), np.arange(n) * width
-    total = np.zeros(n)
-    inner = forest.feature.shape[1]
-    for feature, threshold, path in zip(forest.feature, forest.threshold, forest.path):
+    n, inner = len(x), forest.feature.shape[1]
+    passed = np.zeros((max(len(forest.cuts), 1), n), dtype=np.int32)  # thresholds below the value; none below NaN
+    for own, cuts, column in zip(passed, forest.cuts, x.T):
+        own[:] = np.where(np.isnan(column), 0, np.searchsorted(cuts, column))
+    flat, rows, total = passed.ravel(), np.arange(n), np.zeros(n)
+    cell, value, limit = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int32), np.empty(n, dtype=np.int32)
+    for start, place, path in zip(forest.feature.astype(np.int64) * n, forest.place, forest.path):
         at = np.zeros(n, dtype=np.int64)
-        while at[:1].size and at[0] < inner:  # all rows go down level by level
-            at = 2 * at + 1 + (flat[base + feature[at]] > threshold[at])
+        for _ in range(inner.bit_length()):  # all rows go down level by level
+            np.add(start.take(at, out=cell, mode="clip"), rows, out=cell)
+            right = flat.take(cell, out=value, mode="clip") > place.take(at, out=limit, mode="clip")
+            at += at
+            at += 1
+            at += right
         total += path[at - inner]
     return 2.0 ** (-(total / len(forest.path)) / forest.norm)
 

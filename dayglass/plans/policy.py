@@ -27,6 +27,7 @@ def run_policy(scored: DataFrame, entitlements: DataFrame, cfg: EngineConfig, re
     if requests is None:
         spark, kind = scored.sparkSession, dict(scored.dtypes)["user_id"]
         requests = spark.createDataFrame([], REQUESTS.format(kind=kind))
+    requests = materialize(requests, "requests")  # may be a selection from a large log, and is read several times
     outcomes = materialize(ledgers.resume_outcomes(quarantines, requests, cfg), "resume-outcomes")
     nothing = outcomes.where("false")
     states = ledgers.lease_states(

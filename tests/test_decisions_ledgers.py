@@ -270,6 +270,23 @@ def test_lockouts_against_replay(spark, cfg, ent, seed, hot_rows):
                        for u, d, _, t, _, s in rows if actions[u, d] in decisions.QUARANTINED}
 
 
+def test_requests_are_read_once(spark, cfg, ent):
+    """They may be a selection from a large log: every step reads what was written."""
+    rows, asks = make_sessions(3)
+    schema = "user_id bigint, day date, role string, risk_tier string, risk_score double, scenario_id string"
+    sessions = spark.createDataFrame(rows, schema).withColumns({c: F.col("risk_score") for c in ("isolation_forest_score", "peer_group_score")})
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(approver):
+        seen.add(1)
+        return approver
+
+    requests = spark.createDataFrame(asks, "request_id bigint, at timestamp_ntz, user_id bigint, approver string")
+    out = policy.run_policy(sessions, ent, cfg, requests.withColumn("approver", noted("approver")))
+    assert len(out["outcomes"].collect()) == len(asks) == seen.value
+
+
 def test_a_lockout_revokes_the_lease_of_an_earlier_release(spark, cfg, ent):
     rows = [(1, DAY, "ops", "Critical", 90.0, None), (1, DAY + dt.timedelta(days=1), "ops", "Critical", 91.0, None)]
     sessions = spark.createDataFrame(rows, "user_id bigint, day date, role string, risk_tier string, risk_score double, scenario_id string")

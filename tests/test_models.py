@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import math
 import random
 import statistics
@@ -143,6 +144,31 @@ def test_forest_samples_a_large_table(spark):
     assert len(sizes) == 5 and all(r["count"] == 32 for r in sizes)
 
 
+@pytest.mark.parametrize("n", [12, 90])  # every row enters every tree, or some do
+def test_forest_samples_by_hand(spark, n):
+    cfg = EngineConfig(n_trees=13, tree_rows=5)
+    df = spark.range(n).select(F.col("id").alias("user_id"), F.lit(DAY).alias("day"), (F.col("id") * 2.0).alias("f"))
+    drawn = forest.tree_samples(df, ["f"], ["user_id", "day"], n, cfg)
+    assert "lambda" not in drawn._jdf.queryExecution().executedPlan().toString()  # pairs of row and tree are plain rows
+    chance, want = forest.draw_chance(n, 5), []
+
+    def number(digest, place):
+        return int(digest[place * 12:place * 12 + 12], 16) / 16**12
+
+    entered = {t: [] for t in range(13)}
+    for i in range(n):
+        name = f"{cfg.seed}|{i}|{DAY}"
+        u = number(hashlib.sha256(name.encode()).hexdigest(), 0)
+        first = next((t for t in range(13) if u < 1 - (1 - chance) ** (t + 1)), 13)
+        for t in range(first, 13):
+            own = number(hashlib.sha256(f"{name}|{t // 5}".encode()).hexdigest(), t % 5)
+            if t == first or own < chance:
+                entered[t].append((own * chance if t == first else own, i))
+    for t, found in entered.items():
+        want += [(t, place, 2.0 * i) for place, (_, i) in enumerate(sorted(found)[:5], 1)]
+    assert sorted(map(tuple, drawn.collect())) == want
+
+
 def test_planted_outlier_ranks_first(spark, cloud):
     cfg = EngineConfig(n_trees=100)
     score = forest.forest_score(fit(cloud, cfg), [F.col(c) for c in "fgh"], 256, spark)
@@ -167,6 +193,10 @@ def test_descent_matches_recursion():
 
     want = [2 ** (-path(r) / float(forest.mean_path(64))) for r in x]
     assert forest.anomaly(packed, x) == pytest.approx(want)
+    # values at a cut, beyond all cuts and no number: compared by place as by value
+    odd = np.array([[v] * 3 for v in (*[n[3] for n in nodes if n[2] >= 0], np.inf, -np.inf, np.nan)])
+    assert forest.anomaly(packed, odd) == pytest.approx([2 ** (-path(r) / float(forest.mean_path(64))) for r in odd])
+    assert packed.place.dtype == np.int32 and all((np.diff(c) > 0).all() for c in packed.cuts)
 
 
 # ---- whole model -----------------------------------------------------------------------------

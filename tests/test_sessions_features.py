@@ -90,6 +90,32 @@ def random_days(spark):
     return data, logs.unify_logs({"logon": logon, "device": device})
 
 
+def test_activity_folds_in_one_shuffle_as_its_cells_do(tiny, random_days):
+    for activity in (logs.unify_logs(tiny), random_days[1]):
+        direct, by_cells = (f.orderBy("user_id", "day") for f in (
+            sessions.fold_activity(activity), sessions.fold_cells(sessions.activity_cells(activity))))
+        assert direct.columns == by_cells.columns and direct.collect() == by_cells.collect()
+        text = sessions.fold_activity(activity)._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange") == 1 and "partial_" in text
+
+
+def test_first_seen_needs_no_cells(random_days, cfg):
+    activity, spine = random_days[1], sessions.user_day_spine(random_days[1])
+    direct, by_cells = (features.new_item_days(x, spine, cfg).orderBy("user_id", "day").collect()
+                        for x in (activity, sessions.activity_cells(activity)))
+    assert direct == by_cells and direct
+
+
+def test_number_k_is_what_the_json_parser_says(spark):
+    plain = ['{"k": 0}', '{"k":7}', '{"k": 123456789}']
+    other = ['{"k": 007}', '{"k": -3}', '{"k": 1.5}', '{"k": 1e3}', '{"k":  8}', '{"k": 12345678901}', '{"k": "9"}', '{"k": null}', '{"j": 1, "k": 2}',
+             '{"k": 4}\n', ' {"k": 5}', '{"k": 1, "k": 2}', '{"k": {"k": 3}}', '{"k": }', '{"k": 6', '{"K": 6}', "[]", "", None]
+    df = spark.createDataFrame([(x,) for x in plain + other], "p string")
+    rows = df.select("p", source.number_k("p").alias("got"), F.get_json_object("p", "$.k").alias("want"), F.col("p").rlike(source.ONLY_K).alias("plain")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows]
+    assert [r.p for r in rows if r.plain] == plain
+
+
 def per_user(data):
     users = {}
     for u, t, p, d in data:
