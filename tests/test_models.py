@@ -193,7 +193,20 @@ def test_descent_matches_recursion():
 
     want = [2 ** (-path(r) / float(forest.mean_path(64))) for r in x]
     assert forest.anomaly(packed, x) == pytest.approx(want)
-    # values at a cut, beyond all cuts and no number: compared by place as by value
+
+
+def test_descent_by_place_is_descent_by_value():
+    """Values at a cut, beyond all cuts and no number take the same way as compared themselves."""
+    import pandas as pd
+
+    nodes = [(0, *n) for n in forest.grow_tree(np.random.default_rng(0).normal(size=(64, 3)), 1, 0, 6)]
+    packed = forest.pack_forest(pd.DataFrame(nodes, columns=["tree_id", "node_id", "feature", "threshold", "rows", "depth"]), 64)
+    tree = {n[1]: n for n in nodes}
+
+    def path(row, node=0):
+        _, _, feature, cut, size, depth = tree[node]
+        return depth + float(forest.mean_path(size)) if feature < 0 else path(row, 2 * node + 1 + int(row[feature] > cut))
+
     odd = np.array([[v] * 3 for v in (*[n[3] for n in nodes if n[2] >= 0], np.inf, -np.inf, np.nan)])
     assert forest.anomaly(packed, odd) == pytest.approx([2 ** (-path(r) / float(forest.mean_path(64))) for r in odd])
     assert packed.place.dtype == np.int32 and all((np.diff(c) > 0).all() for c in packed.cuts)
