@@ -27,7 +27,7 @@ an empty result; repeated rows are counted and scored each; a text longer than a
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import groupby
 from operator import itemgetter
 from zlib import crc32
@@ -50,6 +50,7 @@ PACKED = "kind int, block long, bucket int, keys binary, numbers binary"
 SUMS = "kind int, bucket int, keys binary, numbers binary, total long, seen long"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 SLICE_WINDOWS, SPREAD = 1 << 20, 0x9E3779B1
+PARTS = 16  # of a block's windows, merged one after another; no more than there are buckets
 TEXT = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("text", pa.binary())])
 
 
@@ -87,6 +88,11 @@ def packed_texts(rows: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def give_back() -> None:
+    """Returns memory that Arrow keeps for later; the worker lives on when its task has ended."""
+    pa.default_memory_pool().release_unused()
+
+
 # ---- blocks
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Windows of ORDER + 1 bytes ending at each byte and at the end of each text, as numbers, and
@@ -108,7 +114,7 @@ def slices(rows: pa.Table) -> Iterator[pa.Table]:
             yield rows.slice(part[0], len(part))
 
 
-def merged(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def merged(grams: Sequence[np.ndarray], counts: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct windows in order and the sums of their counts."""
     every = np.concatenate([np.empty(0, np.int64), *grams])
     order = np.argsort(every, kind="stable")
@@ -128,39 +134,50 @@ def gram_bucket(gram: Column, buckets: int) -> Column:
     return (F.shiftright(shared * SPREAD, 12) % buckets).cast("int")
 
 
+def learned_counts(found: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows in order and how many of each are learned; `found` is overwritten."""
+    found <<= 1
+    found |= learned
+    found.sort()
+    starts = np.flatnonzero(np.diff(found >> 1, prepend=-1))
+    return found[starts] >> 1, np.add.reduceat(found & 1, starts).astype(np.int32)
+
+
 class Block:
     """What a block needs and counts: its distinct windows and words (the end token as the empty
-    word) with their training occurrences."""
+    word) with their training occurrences. The windows of each slice are dealt to PARTS ranges of
+    buckets, so that those of the whole block are merged part by part."""
 
-    def __init__(self) -> None:
-        self.size, self.grams, self.counts, self.words, self.other = 0, [], [], Counter(), set()
+    def __init__(self, buckets: int) -> None:
+        self.size, self.buckets, self.grams, self.words, self.other = 0, buckets, [], Counter(), set()
 
     def add(self, rows: pa.Table) -> None:
-        texts = [x.lower() for x in rows["text"].to_pylist()]
-        for learned in (True, False):
-            own = [x for x, t in zip(texts, rows["train"].to_pylist()) if t == learned]
-            if own:
-                keys, times = np.unique(windows(own)[0], return_counts=True)
-                self.grams.append(keys)
-                self.counts.append(times * learned)
-            for text in own:
-                self.words.update(text.split()) if learned else self.other.update(text.split())
-            self.words[b""] += learned * len(own)
-        self.size += sum(len(x) + 1 for x in texts)
-
-    def runs(self, buckets: int) -> Iterator[tuple]:
+        texts, train = [x.lower() for x in rows["text"].to_pylist()], rows["train"].to_numpy()
+        sizes = [len(x) + 1 for x in texts]
+        keys, times = learned_counts(windows(texts)[0], np.repeat(train, sizes))
+        part = (gram_buckets(keys, self.buckets) * PARTS // self.buckets).astype(np.uint8)
+        order = np.argsort(part, kind="stable")
+        self.grams.append((keys[order], times[order], np.searchsorted(part[order], np.arange(PARTS + 1))))
+        for text, learned in zip(texts, train.tolist()):
+            self.words.update(text.split()) if learned else self.other.update(text.split())
+        self.words[b""] += int(train.sum())
+        self.size += sum(sizes)
+
+    def runs(self) -> Iterator[tuple]:
         """kind, bucket, keys and numbers, packed."""
-        grams, counts = merged(self.grams, self.counts)
-        place = gram_buckets(grams, buckets)
-        order = np.argsort(place, kind="stable")
-        for at in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
-            if len(at):
-                yield GRAMS, int(place[at[0]]), packed_keys(GRAMS, grams[at]), packed(counts[at])
+        for part in range(PARTS):
+            held = [(keys[at[part]:at[part + 1]], times[at[part]:at[part + 1]]) for keys, times, at in self.grams]
+            grams, counts = merged(*zip(*held))
+            place = gram_buckets(grams, self.buckets)
+            order = np.argsort(place, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+                if len(at):
+                    yield GRAMS, int(place[at[0]]), packed_keys(GRAMS, grams[at]), packed(counts[at])
         for word in self.other:
             self.words.setdefault(word, 0)
         dealt: dict[int, list[bytes]] = {}
         for word in self.words:
-            dealt.setdefault(crc32(word) % buckets, []).append(word)
+            dealt.setdefault(crc32(word) % self.buckets, []).append(word)
         for bucket, words in dealt.items():
             yield WORDS, bucket, packed_keys(WORDS, words), packed(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
 
@@ -171,11 +188,12 @@ def packed_blocks(docs: DataFrame, buckets: int, block_chars: int = BLOCK_CHARS)
     def work(batches):
         from pyspark import TaskContext
 
-        number, block = TaskContext.get().partitionId() << 32, Block()
+        number, block = TaskContext.get().partitionId() << 32, Block(buckets)
 
         def finish():
-            found = list(zip(*block.runs(buckets)))
+            found = list(zip(*block.runs()))
             yield [found[0], np.full(len(found[0]), number), *found[1:]]
+            give_back()
 
         for batch in batches:
             for rows in slices(pa.Table.from_batches([batch]).cast(TEXT)):
@@ -183,7 +201,7 @@ def packed_blocks(docs: DataFrame, buckets: int, block_chars: int = BLOCK_CHARS)
                 yield [[TEXTS], [number], [None], [None], [packed_texts(rows)]]
                 if block.size >= block_chars:
                     yield from finish()
-                    number, block = number + 1, Block()
+                    number, block = number + 1, Block(buckets)
         if block.size:
             yield from finish()
 
@@ -192,10 +210,17 @@ def packed_blocks(docs: DataFrame, buckets: int, block_chars: int = BLOCK_CHARS)
     return map_columns(rows, PACKED, work)
 
 
+def rows_of(batches, columns: tuple[str, ...]) -> Iterator[tuple]:
+    """Rows one at a time: runs are long, and a batch of them, copied, as long again."""
+    for batch in batches:
+        held = [batch[c] for c in columns]
+        for k in range(batch.num_rows):
+            yield tuple(column[k].as_py() for column in held)
+
+
 def by_bucket(batches, columns: tuple[str, ...]) -> Iterator[tuple]:
     """kind, bucket and an iterator over the other columns, for rows ordered by kind and bucket."""
-    rows = (row for batch in batches for row in zip(*(batch[c].to_pylist() for c in ("kind", "bucket", *columns))))
-    for (kind, bucket), own in groupby(rows, itemgetter(0, 1)):
+    for (kind, bucket), own in groupby(rows_of(batches, ("kind", "bucket", *columns)), itemgetter(0, 1)):
         yield kind, bucket, (row[2:] for row in own)
 
 
@@ -375,8 +400,7 @@ def score_texts(rows: pa.Table, values: Index, count_of: dict[bytes, int], total
 def score_stream(batches, total: int, distinct: int):
     """Scores of the texts in rows ordered by block and kind: a block's words and windows come
     before its texts and are kept until the next block."""
-    rows = (row for batch in batches for row in zip(*(batch[c].to_pylist() for c in ("block", "kind", "keys", "numbers"))))
-    for _, own in groupby(rows, itemgetter(0)):
+    for _, own in groupby(rows_of(batches, ("block", "kind", "keys", "numbers")), itemgetter(0)):
         count_of, keys, values, value_of = {}, [], [], None
         for _, kind, asked, numbers in own:
             if kind == WORDS:
@@ -388,6 +412,7 @@ def score_stream(batches, total: int, distinct: int):
                 if value_of is None:
                     value_of = Index(np.concatenate(keys), np.concatenate(values))
                 yield score_texts(pa.ipc.open_stream(numbers).read_all(), value_of, count_of, total, distinct)
+        give_back()
 
 
 def score(docs: DataFrame, block_chars: int = BLOCK_CHARS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:

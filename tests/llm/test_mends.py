@@ -3,8 +3,13 @@
 import hashlib
 import random
 import re
+import tracemalloc
+from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +136,73 @@ def test_runs_survive_packing():
         assert lm_scores.unpacked_keys(lm_scores.WORDS, lm_scores.packed_keys(lm_scores.WORDS, words)) == words
 
 
+def traced_peak(work) -> int:
+    """Bytes that `work` held at most at a time."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_block_holds_few_bytes_for_each_byte_of_text(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vocabulary = np.array(["".join(map(chr, 97 + rng.integers(0, 26, n))) for n in rng.integers(3, 10, 3000)])
+    texts = [" ".join(vocabulary[rng.integers(0, 3000, 300)]).encode() for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([k % 7 != 2 for k in range(1000)]), pa.array(texts)], ["doc_id", "train", "text"])
+    monkeypatch.setattr(lm_scores, "map_columns", lambda rows, schema, work: work)
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(lm_scores, "SLICE_WINDOWS", 1 << 17)
+    work, kinds = lm_scores.packed_blocks(spark.createDataFrame([(1, "")], "doc_id long, text string"), 16), Counter()
+
+    def read():
+        for columns in work([batch]):
+            kinds.update(columns[0])
+
+    peak = traced_peak(read)
+    assert kinds[lm_scores.GRAMS] == kinds[lm_scores.WORDS] == 16 and kinds[lm_scores.TEXTS] > 10
+    assert peak < 16 * sum(map(len, texts)), peak / sum(map(len, texts))
+
+
+@pytest.mark.parametrize("slices", [1, 5])
+def test_blocks_count_as_plain_counters(monkeypatch, slices):
+    monkeypatch.setattr(lm_scores, "SLICE_WINDOWS", 4000 // slices)
+    rng, block = random.Random(6), lm_scores.Block(37)
+    texts = ["".join(rng.choices("abC \u00e9", k=rng.randint(0, 60))).encode() for _ in range(100)] + [b"a" * 900, b""]
+    train = [rng.random() < 0.6 for _ in texts]
+    for rows in lm_scores.slices(pa.table([pa.array(range(len(texts))), pa.array(train), pa.array(texts)], schema=lm_scores.TEXT)):
+        block.add(rows)
+    want = {lm_scores.GRAMS: Counter(), lm_scores.WORDS: Counter()}
+    for text, learned in zip(texts, train):
+        data = bytes([lm_scores.START]) * lm_scores.ORDER + text.lower() + bytes([lm_scores.END])
+        for i in range(lm_scores.ORDER, len(data)):
+            want[lm_scores.GRAMS][int.from_bytes(data[i - lm_scores.ORDER:i + 1], "big")] += learned
+        for word in [*text.lower().split(), b""]:
+            want[lm_scores.WORDS][word] += learned
+    got, places = {lm_scores.GRAMS: {}, lm_scores.WORDS: {}}, set()
+    for kind, bucket, keys, numbers in block.runs():
+        assert (kind, bucket) not in places
+        places.add((kind, bucket))
+        keys = lm_scores.unpacked_keys(kind, keys)
+        if kind == lm_scores.GRAMS:
+            assert (np.diff(keys) > 0).all() and (lm_scores.gram_buckets(keys, 37) == bucket).all()
+            keys = keys.tolist()
+        assert not set(keys) & set(got[kind])
+        got[kind].update(zip(keys, lm_scores.unpacked(numbers).tolist()))
+    assert got == want
+
+
+def test_runs_are_read_one_at_a_time():
+    rows = [(lm_scores.GRAMS, k // 10, bytes(100_000), b"x") for k in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["kind", "bucket", "keys", "numbers"])
+
+    def read():
+        assert [sum(len(keys) for keys, _ in own) for _, _, own in lm_scores.by_bucket([batch], ("keys", "numbers"))] == [1_000_000] * 6
+
+    assert traced_peak(read) < 1_000_000
+
+
 @pytest.mark.parametrize("buckets", [1, 16, 153])
 def test_buckets_of_columns_and_arrays_agree(spark, buckets):
     grams = np.random.default_rng(4).integers(0, 2 ** 48, 500)
