@@ -1,6 +1,7 @@
-"""Ledgers that repeat, roles that hold control strings, long rule lists, the forest's recall."""
+"""Ledgers that repeat, roles that hold control strings, long rule lists, the forest's recall, units searched together."""
 
 import hashlib
+import math
 import random
 import re
 import tracemalloc
@@ -13,7 +14,7 @@ import pyspark
 import pytest
 from pyspark.sql import functions as F
 
-from dayglass.llm import chat_format, common, jaccard_join, lm_scores, secret_scans, toxicity, url_filters
+from dayglass.llm import chat_format, common, jaccard_join, lm_scores, pieces, secret_scans, toxicity, url_filters
 
 
 # ---- secret scans
@@ -208,3 +209,42 @@ def test_buckets_of_columns_and_arrays_agree(spark, buckets):
     grams = np.random.default_rng(4).integers(0, 2 ** 48, 500)
     frame = spark.createDataFrame([(int(g),) for g in grams], "gram long")
     assert [r.b for r in frame.select(lm_scores.gram_bucket(F.col("gram"), buckets).alias("b")).collect()] == lm_scores.gram_buckets(grams, buckets).tolist()
+
+
+# ---- pieces
+def one_at_a_time(encoder, text):
+    found = [encoder.segment(x) for x in encoder.units(text)]
+    return [i for ids, _ in found for i in ids.tolist()], math.fsum(score for _, score in found)
+
+
+def test_short_units_are_searched_together(monkeypatch):
+    vocabulary, rng = pieces.load_vocabulary(), random.Random(5)
+    words = ["".join(rng.choices("aeinorst\n.é🎉▁", k=rng.randint(1, 12))) for _ in range(3000)]
+    texts = [" ".join(words[k:k + 100]) for k in range(0, 3000, 100)]
+    plain = pieces.Encoder(vocabulary)
+    want = [one_at_a_time(plain, x) for x in texts]
+
+    def alone(self, unit):
+        raise AssertionError(unit)
+
+    monkeypatch.setattr(pieces.Encoder, "segment", alone)
+    encoder = pieces.Encoder(vocabulary)
+    assert [(ids.tolist(), score) for ids, score in map(encoder.encode, texts)] == want
+
+
+@pytest.mark.parametrize("kept", [0, 7, 100_000])
+def test_units_together_equal_one_at_a_time_whatever_is_kept(monkeypatch, kept):
+    monkeypatch.setattr(pieces, "MEMO_UNITS", kept)
+    monkeypatch.setattr(pieces, "TOGETHER", 50)
+    monkeypatch.setattr(pieces, "GROUP_CHARS", 200)
+    rng = random.Random(6)
+    texts = ["", " ", "   ", "▁", " a", "a ", "a  b", "▁ ▁▁", "é" * 70, "x" * 63, "x" * 64, " " * 70 + "y", "🎉\x00\n\t", "same same same"]
+    texts += ["".join(rng.choices("aeth n▁é🎉\n.", k=rng.randint(1, 120))) for _ in range(300)] * 2
+    encoder = pieces.Encoder(pieces.load_vocabulary())
+    got = []
+    for group in pieces.groups(texts):
+        ids, sizes, scores = encoder.encode_texts(group)
+        ends = np.cumsum([0, *sizes]).tolist()
+        got += [(ids[a:b].tolist(), score) for a, b, score in zip(ends, ends[1:], scores)]
+        assert len(encoder.slots) == len(encoder.sizes) == len(encoder.scores) <= kept and not encoder.slots.passing and len(encoder.ids) == sum(encoder.sizes)
+    assert got == [one_at_a_time(encoder, x) for x in texts]
