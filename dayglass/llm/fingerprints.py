@@ -31,6 +31,7 @@ from .common import WHITE, let, table, whole_text
 
 K, S = 4, 2
 RANGE_DOCS, RANGES = 512, 1 << 16  # documents in an id range, about, up to so many ranges; then the ranges grow
+SORT_IDS, SORT_PARTS = 1 << 16, 512  # ids that a task sorts, about, up to so many tasks; then they sort more
 
 
 def word_hashes(text: Column) -> Column:
@@ -125,31 +126,30 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
 
 def range_starts(ids: DataFrame, range_docs: int) -> list[int]:
-    """Ids that occur in `ids` (doc_id), the least one first, with about `range_docs` rows from one
-    to the next. They are placed by a sample drawn by hash, of RANGES times 32 ids at most, then
-    moved to the next id that occurs."""
-    n, least = ids.where("doc_id IS NOT NULL").agg(F.count("*"), F.min("doc_id")).first()
+    """Ids that occur in `ids` (doc_id), the least one first, with `range_docs` rows from one to the
+    next, fewer where a sorted part ends. All ids are sorted, on executors; the driver gets the
+    starts alone, RANGES and one for each part at most."""
+    ids = ids.where("doc_id IS NOT NULL")
+    n = ids.count()
     if not n:
         return []
-    ranges = min(RANGES, -(-n // range_docs))
-    share = max(1, n // (32 * RANGES))
-    drawn = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("doc_id").orderBy("doc_id")
-    sample = [r.doc_id for r in drawn.where("doc_id IS NOT NULL").collect()]
-    cuts = sorted({least, *(sample[len(sample) * k // ranges] for k in range(1, ranges) if sample)})
-    found = ids.groupBy(range_of(F.col("doc_id"), cuts).alias("r")).agg(F.min("doc_id").alias("m")).where("m IS NOT NULL").collect()  # one for each range
-    return sorted(r.m for r in found)
+    range_docs = max(range_docs, -(-n // RANGES))
+    parts = ids.repartitionByRange(min(SORT_PARTS, -(-n // SORT_IDS)), "doc_id").sortWithinPartitions("doc_id")
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # in its part, from 0
+    found = parts.select("doc_id", place.alias("_at")).where(F.col("_at") % range_docs == 0).select("doc_id").collect()
+    return sorted({r.doc_id for r in found})
 
 
 def constant(numbers: list[int]) -> Column:
-    """An array of long integers, folded into the plan as one value."""
-    return F.transform(F.split(F.lit(",".join(map(str, numbers))), ","), lambda x: x.cast("long")) if numbers else F.array().cast("array<bigint>")
+    """An array of long integers, folded into the plan as one value (a lambda would not be)."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>") if numbers else F.array().cast("array<bigint>")
 
 
 def range_of(id_: Column, starts: list[int]) -> Column:
     """How many of the sorted `starts` are not above the id, by halving; 0 for null."""
     steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(starts).bit_length()))))
-    return let(constant(starts), lambda all_: F.aggregate(
-        steps, F.lit(0), lambda at, step: F.when(F.get(all_, at + step - 1) <= id_, at + step).otherwise(at))) if starts else F.lit(0)
+    all_ = constant(starts)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(all_, at + step - 1) <= id_, at + step).otherwise(at)) if starts else F.lit(0)
 
 
 def with_next(docs: DataFrame, range_docs: int = RANGE_DOCS) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Ledgers that repeat, roles that hold control strings, long rule lists, the forest's recall, units searched together."""
+"""Ledgers that repeat, roles that hold control strings, long rule lists, the forest's recall, units searched together,
+id ranges that the driver places without their ids."""
 
 import hashlib
 import math
@@ -14,7 +15,7 @@ import pyspark
 import pytest
 from pyspark.sql import functions as F
 
-from dayglass.llm import chat_format, common, jaccard_join, lm_scores, pieces, secret_scans, toxicity, url_filters
+from dayglass.llm import chat_format, common, fingerprints, jaccard_join, lm_scores, pieces, secret_scans, toxicity, url_filters
 
 
 # ---- secret scans
@@ -248,3 +249,48 @@ def test_units_together_equal_one_at_a_time_whatever_is_kept(monkeypatch, kept):
         got += [(ids[a:b].tolist(), score) for a, b, score in zip(ends, ends[1:], scores)]
         assert len(encoder.slots) == len(encoder.sizes) == len(encoder.scores) <= kept and not encoder.slots.passing and len(encoder.ids) == sum(encoder.sizes)
     assert got == [one_at_a_time(encoder, x) for x in texts]
+
+
+# ---- fingerprints
+def id_table(spark, n):
+    """Ids from -7 in steps of 3, hashed over the partitions; -7 and one in the middle are there 300 times, null 40 times."""
+    ids = spark.range(n).select((F.col("id") * 3 - 7).alias("doc_id"))
+    more = spark.range(640).select(F.when(F.col("id") < 300, -7).when(F.col("id") < 600, 3 * (n // 2) - 7).cast("long").alias("doc_id"))
+    return ids.unionByName(more).repartition(6, F.xxhash64("doc_id"))
+
+
+@pytest.mark.parametrize("sorted_by_a_task", [1 << 20, 1 << 11])
+def test_only_the_starts_of_id_ranges_reach_the_driver(spark, monkeypatch, sorted_by_a_task):
+    monkeypatch.setattr(fingerprints, "SORT_IDS", sorted_by_a_task, raising=False)
+    ids, fetched = id_table(spark, 20_000), []
+    collect = type(ids).collect
+
+    def counted(frame):
+        rows = collect(frame)
+        fetched.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(type(ids), "collect", counted)
+    starts = fingerprints.range_starts(ids, 500)
+    assert max(fetched) < 100
+    monkeypatch.undo()
+    assert starts[0] == -7 and starts == sorted(set(starts))
+    held = {r.r: r["count"] for r in ids.groupBy(fingerprints.range_of(F.col("doc_id"), starts).alias("r")).count().collect()}
+    assert held.pop(0) == 40 and sorted(held) == list(range(1, len(starts) + 1))
+    assert max(held.values()) <= 500 + 300 and sum(held.values()) == 20_600
+
+
+def test_ranges_grow_beyond_their_greatest_number(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGES", 8)
+    starts = fingerprints.range_starts(id_table(spark, 5000), 2)
+    assert starts[0] == -7 and 6 <= len(starts) <= 9
+    assert fingerprints.range_starts(spark.createDataFrame([(None,)], "doc_id long"), 2) == []
+
+
+def test_starts_are_one_value_of_the_plan(spark):
+    """They were cast from text again for each row, within a lambda."""
+    starts = list(range(0, 4000, 2))
+    ids = spark.createDataFrame([(None,), (-1,), (0,), (1,), (3998,), (9999,)], "doc_id long").repartition(2)
+    found = ids.select("doc_id", fingerprints.range_of(F.col("doc_id"), starts).alias("r"))
+    assert "transform(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {x.doc_id: x.r for x in found.collect()} == {None: 0, -1: 0, 0: 1, 1: 1, 3998: 2000, 9999: 2000}
